@@ -133,22 +133,19 @@ def _object_marks(value: Column, schema: dict, path: Column) -> Column:
     for key, child in properties.items():
         if not isinstance(child, dict) or not _constrains(child):
             continue
-        child_path = F.concat(path, F.lit(f".{key}"))
-        groups.append(
-            let(
-                _member(value, key),
-                lambda member, child=child, child_path=child_path: F.when(
-                    member.isNotNull(), _marks(member, child, child_path)
-                ).otherwise(_no_marks()),
-            )
-        )
+        groups.append(let(_member(value, key), _if_present(child, F.concat(path, F.lit(f".{key}")))))
     return F.concat(*groups) if groups else _no_marks()
 
 
+def _if_present(schema: dict, path: Column):
+    return lambda member: F.when(member.isNotNull(), _marks(member, schema, path)).otherwise(_no_marks())
+
+
 def _constrains(schema) -> bool:
-    return isinstance(schema, dict) and any(
-        schema.get(key) for key in ("type", "enum", "required", "properties", "items")
-    ) or (isinstance(schema, dict) and schema.get("additionalProperties") is False)
+    if not isinstance(schema, dict):
+        return False
+    keywords = ("type", "enum", "required", "properties", "items")
+    return any(schema.get(key) for key in keywords) or schema.get("additionalProperties") is False
 
 
 def _marks(value: Column, schema, path: Column) -> Column:

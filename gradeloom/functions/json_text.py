@@ -33,7 +33,7 @@ def _outermost_span(text: Column) -> Column:
     first = F.regexp_extract(text, r"[{\[]", 0)
     closer = F.when(first == "{", F.lit("}")).when(first == "[", F.lit("]"))
     start = F.when(first != "", F.instr(text, first))
-    end = F.length(text) - F.length(F.substring_index(text, closer, F.lit(-1)))
+    end = F.length(text) - F.length(F.call_function("substring_index", text, closer, F.lit(-1)))
     return F.when(end > start, F.substring(text, start, end - start + 1))
 
 

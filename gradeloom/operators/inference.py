@@ -8,7 +8,7 @@ import time
 from collections.abc import Callable, Iterator
 from email.utils import parsedate_to_datetime
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,11 +106,11 @@ def infer(
     schema = T.StructType([*kept, *added])
     names = [f.name for f in kept]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         send = _caller(client_factory, interval_s, max_retries, max_backoff_s)
         for batch in batches:
             raws, errors, times, attempts = [], [], [], []
-            for row in batch[["request", *KEYS]].to_dict("records"):
+            for row in batch.select(["request", *KEYS]).to_pylist():
                 started = time.monotonic()
                 raw = error = None
                 tries = 1
@@ -124,10 +124,19 @@ def infer(
                 errors.append(error)
                 times.append(int((time.monotonic() - started) * 1000))
                 attempts.append(tries)
-            yield batch[names].assign(raw=raws, error=errors, elapsed_ms=times, attempts=attempts)
+            # Input columns pass through as they are; only the keys and the body were decoded.
+            made = [
+                pa.array(raws, pa.string()),
+                pa.array(errors, pa.string()),
+                pa.array(times, pa.int64()),
+                pa.array(attempts, pa.int32()),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in names), *made], names=[*names, *(a.name for a in added)]
+            )
 
     lane = F.pmod(F.xxhash64(*KEYS), F.lit(max_concurrency)).cast("int")
-    return requests.select(*names).repartitionById(max_concurrency, lane).mapInPandas(run, schema)
+    return requests.select(*names).repartitionById(max_concurrency, lane).mapInArrow(run, schema)
 
 
 def infer_to(

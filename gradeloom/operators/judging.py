@@ -126,11 +126,21 @@ def judge(
     asked = build_judge_requests(answered, model, provider, max_tokens)
     # The row travels as one column, so its own raw/error/timing columns stay apart
     # from those of the judge call.
-    packed = asked.select(
-        "model", F.col("provider"), "item_id", "request", F.struct(*df.columns).alias("_row")
-    )
-    replies = infer(packed, client_factory, **options) if client_factory else replay_responses(packed, recorded)
-    read = normalize_responses(replies.withColumn("provider", F.lit(provider)))
+    row = F.struct(*df.columns).alias("_row")
+    if client_factory is not None:
+        # The call goes to the judge: its model and provider, under that provider's limits.
+        call = asked.select(
+            F.lit(model).alias("model"),
+            F.lit(provider).alias("provider"),
+            F.concat_ws("/", "provider", "model", "item_id").alias("item_id"),
+            "request",
+            row,
+        )
+        replies = infer(call, client_factory, **options)
+    else:
+        call = asked.select("model", "provider", "item_id", row)
+        replies = replay_responses(call, recorded).withColumn("provider", F.lit(provider))
+    read = normalize_responses(replies)
     verdicts = parse_verdicts(read, "content", "truncated", max_tokens).select(
         "_row.*",
         F.when(F.col("error").isNull(), F.col("score")).alias("score"),

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.operators.spread import count_below, join_null_safe
+from gradeloom.operators.spread import join_null_safe, with_count_below
 
 
 def exact_quantiles(
@@ -27,11 +25,8 @@ def exact_quantiles(
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = present.agg(F.percentile_approx("_v", cuts, 20 * buckets)).scalar()
 
-    weighted = (
-        present.groupBy(*by, "_v")
-        .agg(F.count("*").alias("_w"))
-        .withColumn("_bucket", count_below(F.col("_v"), bounds, buckets - 1))
-    )
+    merged = present.groupBy(*by, "_v").agg(F.count("*").alias("_w"))
+    weighted = with_count_below(merged, "_v", bounds, buckets - 1, "_bucket")
 
     group = Window.partitionBy(*by)
     # One row per group and bucket: at most `buckets` rows per window partition.

@@ -38,21 +38,23 @@ def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str =
     return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in on])
 
 
-def count_below(value: Column, bounds: Column, size: int) -> Column:
-    """How many of the ascending `bounds` (at most `size`) are smaller than `value`.
+def with_count_below(df: DataFrame, value: str, bounds: Column, size: int, name: str) -> DataFrame:
+    """Adds how many of the ascending `bounds` (at most `size`) are smaller than a column.
 
-    A binary search, so that a row costs log2(size) comparisons.
+    A binary search, one projection per step, so that a row costs log2(size)
+    comparisons in generated code.
     """
-    steps = []
     step = 1
-    while step <= size:
-        steps.append(step)
+    while step * 2 <= size:
         step *= 2
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in reversed(steps)]),
-        F.lit(0),
-        lambda found, s: F.when(F.try_element_at(bounds, found + s) < value, found + s).otherwise(found),
-    )
+    found = df.withColumn(name, F.lit(0))
+    while step >= 1:
+        probe = F.col(name) + F.lit(step)
+        found = found.withColumn(
+            name, F.when(F.try_element_at(bounds, probe) < F.col(value), probe).otherwise(F.col(name))
+        )
+        step //= 2
+    return found
 
 
 def key_bounds(df: DataFrame, key: str, buckets: int) -> Column:
@@ -71,8 +73,7 @@ def with_row_index(df: DataFrame, key: str, name: str, buckets: int = 256) -> Da
     A plain row_number over the whole table would sort it in one task. Here rows
     are numbered inside key ranges, and each range adds the size of those before.
     """
-    bounds = key_bounds(df, key, buckets)
-    ranged = df.withColumn("_range", count_below(F.col(key), bounds, buckets - 1))
+    ranged = with_count_below(df, key, key_bounds(df, key, buckets), buckets - 1, "_range")
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     # At most `buckets` rows, so one task and a broadcast are bounded.
     before = sizes.select(
