@@ -88,7 +88,7 @@ def infer(
     a provider with most of the rows still uses every lane. Each lane waits the
     interval times the number of lanes, which keeps the total rate of a provider
     under its limit. A failing call becomes an error row, never an exception.
-    Only 429 and transport errors are retried.
+    Only 429 and transport errors are retried. Rows without a request pass through.
     """
     providers = fixed.PROVIDERS if isinstance(min_interval_ms, int) else list(min_interval_ms)
     intervals = (
@@ -114,6 +114,13 @@ def infer(
                 started = time.monotonic()
                 raw = error = None
                 tries = 1
+                if row["request"] is None:
+                    # Nothing to ask, e.g. a row to judge that has no answer.
+                    raws.append(None)
+                    errors.append(None)
+                    times.append(None)
+                    attempts.append(0)
+                    continue
                 try:
                     reply, tries = send(json.loads(row["request"]), row)
                     raw = reply if isinstance(reply, str) else json.dumps(reply, ensure_ascii=False)
@@ -174,17 +181,21 @@ def _existing(spark, path: str) -> DataFrame | None:
     return spark.read.parquet(path)
 
 
-def replay_responses(matrix: DataFrame, recorded: DataFrame) -> DataFrame:
+def replay_responses(matrix: DataFrame, recorded: DataFrame, unique: bool = False) -> DataFrame:
     """Replies from a recorded table instead of a live endpoint.
 
     The first recorded reply of a pair counts (smallest `recorded_at` where that
-    column exists). A pair without one becomes an error row.
+    column exists). `unique` says that there is one per pair, which saves the
+    pass that folds them. A pair without a reply becomes an error row.
     """
     payload = [c for c in recorded.columns if c not in KEYS]
-    order = F.struct(*(["recorded_at"] if "recorded_at" in payload else []), F.xxhash64(*payload))
-    one_each = recorded.groupBy(*KEYS).agg(
-        F.min_by(F.struct(*payload), order).alias("_reply"), F.lit(True).alias("_found")
-    )
+    if unique:
+        one_each = recorded.select(*KEYS, F.struct(*payload).alias("_reply"), F.lit(True).alias("_found"))
+    else:
+        order = F.struct(*(["recorded_at"] if "recorded_at" in payload else []), F.xxhash64(*payload))
+        one_each = recorded.groupBy(*KEYS).agg(
+            F.min_by(F.struct(*payload), order).alias("_reply"), F.lit(True).alias("_found")
+        )
     known_error = F.col("_reply.error") if "error" in payload else F.lit(None).cast("string")
     return (
         matrix.join(one_each, KEYS, "left")

@@ -122,34 +122,31 @@ def judge(
     A failed judge call leaves the row unscored. Rows that carry an error are
     not judged and keep null verdict columns.
     """
-    answered = df.where(F.col("error").isNull()) if "error" in df.columns else df
-    asked = build_judge_requests(answered, model, provider, max_tokens)
     # The row travels as one column, so its own raw/error/timing columns stay apart
     # from those of the judge call.
     row = F.struct(*df.columns).alias("_row")
+    answered = F.col("_row.error").isNull() if "error" in df.columns else F.lit(True)
     if client_factory is not None:
         # The call goes to the judge: its model and provider, under that provider's limits.
-        call = asked.select(
+        asked = build_judge_requests(df, model, provider, max_tokens).select(
             F.lit(model).alias("model"),
             F.lit(provider).alias("provider"),
             F.concat_ws("/", "provider", "model", "item_id").alias("item_id"),
             "request",
             row,
         )
-        replies = infer(call, client_factory, **options)
+        replies = infer(asked.withColumn("request", F.when(answered, F.col("request"))), client_factory, **options)
     else:
-        call = asked.select("model", "provider", "item_id", row)
-        replies = replay_responses(call, recorded).withColumn("provider", F.lit(provider))
+        packed = df.select("model", "provider", "item_id", row)
+        replies = replay_responses(packed, recorded).withColumn("provider", F.lit(provider))
     read = normalize_responses(replies)
-    verdicts = parse_verdicts(read, "content", "truncated", max_tokens).select(
+    failed = F.col("error").isNotNull()
+    return parse_verdicts(read, "content", "truncated", max_tokens).select(
         "_row.*",
-        F.when(F.col("error").isNull(), F.col("score")).alias("score"),
-        F.when(F.col("error").isNotNull(), F.concat(F.lit("Judge call failed: "), F.col("error")))
-        .otherwise(F.col("reasoning"))
-        .alias("reasoning"),
-        F.col("error").isNotNull().alias("judge_failed"),
+        F.when(answered & ~failed, F.col("score")).alias("score"),
+        F.when(
+            answered,
+            F.when(failed, F.concat(F.lit("Judge call failed: "), F.col("error"))).otherwise(F.col("reasoning")),
+        ).alias("reasoning"),
+        F.when(answered, failed).alias("judge_failed"),
     )
-    if "error" not in df.columns:
-        return verdicts
-    failed = df.where(F.col("error").isNotNull())
-    return verdicts.unionByName(failed, allowMissingColumns=True)

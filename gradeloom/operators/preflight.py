@@ -14,7 +14,7 @@ def missing_models(requested: DataFrame, catalog: DataFrame) -> DataFrame:
     return (
         requested.select("provider", "model")
         .distinct()
-        .join(catalog.select("provider", "model"), ["provider", "model"], "left_anti")
+        .join(catalog.select("provider", "model").distinct(), ["provider", "model"], "left_anti")
     )
 
 
@@ -134,10 +134,11 @@ def closest_match(keys: DataFrame, known: DataFrame, max_distance: int = 2) -> D
     all keys with all names. Smaller distance wins, then the smaller `ordinal`.
     Keys that are known are not reported; keys without a match have nulls.
     """
-    unknown = keys.select("key").distinct().join(known.select("key"), "key", "left_anti")
+    names = known.groupBy("key").agg(F.min("ordinal").alias("ordinal"))
+    unknown = keys.select("key").distinct().join(names, "key", "left_anti")
     variants = F.explode(_deletions(F.col("key"), max_distance)).alias("_variant")
     probes = unknown.select("key", variants)
-    index = known.select(F.col("key").alias("candidate"), "ordinal", variants)
+    index = names.select(F.col("key").alias("candidate"), "ordinal", variants)
     best = (
         probes.join(index, "_variant")
         .select(

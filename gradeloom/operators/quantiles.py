@@ -2,83 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gradeloom.operators.spread import join_null_safe, with_count_below
+from gradeloom.operators.spread import constant_array, join_null_safe, with_count_below
+
+# Up to this many groups the wanted buckets are broadcast: a few rows per group.
+BROADCAST_GROUPS = 20_000
+
+
+def _low(q: float) -> Column:
+    return F.floor((F.col("_n") - 1) * F.lit(float(q)))
+
+
+def _high(q: float) -> Column:
+    return F.ceil((F.col("_n") - 1) * F.lit(float(q)))
+
+
+def _within(rank: Column, start: Column, end: Column) -> Column:
+    return (rank >= start) & (rank < end)
 
 
 def exact_quantiles(
-    df: DataFrame, by: list[str], value: str, wanted: dict[str, float], buckets: int = 512
+    df: DataFrame, by: list[str], value: str, wanted: dict[str, float], buckets: int = 256
 ) -> DataFrame:
     """One row per group with a column per entry of `wanted` (name -> quantile).
 
     The built-in exact percentile keeps all distinct values of a group in one
     buffer. Here the value range is cut into `buckets` even parts, the parts are
-    counted, and only those that hold a wanted rank are sorted, each in its own
-    task: no task sees more than about 1/buckets of the distinct values of the
-    whole table, however large one group is. Equal values are merged first.
+    counted per group, and only those that hold a wanted rank are shuffled and
+    sorted, each part in its own task. No task sorts more than about 1/buckets
+    of the distinct values of the whole table, however large one group is.
+
+    Cutting the range runs a job when this is called; it returns `buckets`
+    numbers and the rough number of groups, which decides on the broadcast.
     """
     present = df.select(*by, F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
     cuts = [i / buckets for i in range(1, buckets)]
-    bounds = present.agg(F.percentile_approx("_v", cuts, 20 * buckets)).scalar()
-
-    merged = present.groupBy(*by, "_v").agg(F.count("*").alias("_w"))
-    weighted = with_count_below(merged, "_v", bounds, buckets - 1, "_bucket")
+    sketch = present.agg(
+        F.percentile_approx("_v", cuts, 8 * buckets), F.approx_count_distinct(F.struct(*by))
+    ).first()
+    bounds = constant_array(sketch[0] or [], T.DoubleType())
+    marked = with_count_below(present, "_v", bounds, buckets - 1, "_bucket")
 
     group = Window.partitionBy(*by)
-    # One row per group and bucket: at most `buckets` rows per window partition.
-    counted = weighted.groupBy(*by, "_bucket").agg(F.sum("_w").alias("_c"))
+    # One row per group and bucket, so at most `buckets` rows per window partition.
+    counted = marked.groupBy(*by, "_bucket").agg(F.count("*").alias("_c"))
+    earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.select(
         *by,
         "_bucket",
         "_c",
         F.sum("_c").over(group).alias("_n"),
-        F.coalesce(
-            F.sum("_c").over(
-                group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("_before"),
+        F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"),
     )
-
-    def low(q):
-        return F.floor((F.col("_n") - 1) * F.lit(float(q)))
-
-    def high(q):
-        return F.ceil((F.col("_n") - 1) * F.lit(float(q)))
-
-    def within(rank, start, end):
-        return (rank >= start) & (rank < end)
-
-    end = F.col("_before") + F.col("_c")
     holds_a_rank = F.lit(False)
     for q in wanted.values():
-        holds_a_rank = (
-            holds_a_rank | within(low(q), F.col("_before"), end) | within(high(q), F.col("_before"), end)
-        )
+        for rank in (_low(q), _high(q)):
+            holds_a_rank = holds_a_rank | _within(rank, F.col("_before"), F.col("_before") + F.col("_c"))
     targets = placed.where(holds_a_rank).select(*by, "_bucket", "_n", "_before")
-
-    ordered = Window.partitionBy(*by, "_bucket").orderBy("_v")
-    ranked = join_null_safe(weighted, targets, [*by, "_bucket"], "inner").withColumn(
-        "_end", F.col("_before") + F.sum("_w").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    if sketch[1] <= BROADCAST_GROUPS:
+        targets = F.broadcast(targets)
+
+    # Only the wanted buckets are left; equal values are merged before they are shuffled.
+    keys = [*by, "_bucket", "_n", "_before", "_v"]
+    merged = (
+        join_null_safe(marked, targets, [*by, "_bucket"], "inner")
+        .groupBy(*keys)
+        .agg(F.count("*").alias("_w"))
     )
+    ordered = Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = merged.withColumn("_end", F.col("_before") + F.sum("_w").over(ordered))
     start = F.col("_end") - F.col("_w")
 
     picks = [F.max("_n").alias("_n")]
     for i, q in enumerate(wanted.values()):
-        picks.append(F.max(F.when(within(low(q), start, F.col("_end")), F.col("_v"))).alias(f"_lo{i}"))
-        picks.append(F.max(F.when(within(high(q), start, F.col("_end")), F.col("_v"))).alias(f"_hi{i}"))
+        for side, rank in (("lo", _low(q)), ("hi", _high(q))):
+            picks.append(
+                F.max(F.when(_within(rank, start, F.col("_end")), F.col("_v"))).alias(f"_{side}{i}")
+            )
     picked = ranked.groupBy(*by).agg(*picks)
 
     columns = []
     for i, (name, q) in enumerate(wanted.items()):
-        fraction = (F.col("_n") - 1) * F.lit(float(q)) - low(q)
-        columns.append(
-            (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * fraction).alias(name)
-        )
+        fraction = (F.col("_n") - 1) * F.lit(float(q)) - _low(q)
+        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        columns.append((low + (high - low) * fraction).alias(name))
     return picked.select(*by, *columns)
 
 

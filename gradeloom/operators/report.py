@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from gradeloom import fixed
 from gradeloom.functions import identity
 from gradeloom.operators.quantiles import approx_quantiles, exact_quantiles
-from gradeloom.operators.spread import join_null_safe
+from gradeloom.operators.spread import join_null_safe, join_unique
 
 LATENCY_QUANTILES = {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95}
 
-# Column name -> (aggregate over raw score rows, how partial results combine, value without scores)
+# Totals of `scores_by_observation` that add up over observations.
 SCORE_TOTALS = ["judge_sum", "judge_n", "unscored", "schema_pass", "schema_total", "truncated"]
 
 
@@ -48,9 +48,10 @@ def join_scores(generations: DataFrame, scores: DataFrame) -> DataFrame:
     """Every generation with its score totals; counts are 0 where it has none.
 
     Scores are folded before the join, so the row count stays that of the
-    generations and a much-scored observation is reduced map-side.
+    generations and a much-scored observation is reduced map-side. Copies of one
+    generation are joined apart (see `join_unique`).
     """
-    joined = generations.join(scores_by_observation(scores), "observation_id", "left")
+    joined = join_unique(generations, scores_by_observation(scores), "observation_id", "left")
     counts = ["judge_n", "unscored", "schema_pass", "schema_total", "truncated"]
     return joined.fillna(0, subset=counts)
 
@@ -106,27 +107,40 @@ def model_report(
 
     Generations are counted and summed without any join. Only `(id, group)`
     pairs meet the folded scores, so that join shuffles two narrow columns.
-    Groups by model name alone unless `by` also names the provider.
+    Groups by model name alone unless `by` also names the provider. Two sketch
+    jobs run when this is called (see `exact_quantiles`, `join_unique`).
     """
     keys = list(by)
     named = named_generations(generations)
 
-    # "First seen" provider: that of the earliest tagged generation.
+    # Folded by provider as well, so that the big pass only keeps numbers per
+    # group; the "first seen" provider, that of the earliest tagged generation,
+    # is then picked among a few rows per model.
+    per_provider = named.groupBy(*dict.fromkeys([*keys, "provider"])).agg(
+        F.count("*").alias("n"),
+        F.sum("latency_ms").alias("latency_sum"),
+        F.count("latency_ms").alias("latency_n"),
+        F.sum("tokens_in").alias("tokens_in"),
+        F.sum("tokens_out").alias("tokens_out"),
+        F.sum("total_cost").alias("cost"),
+        F.min("start_time").alias("first_time"),
+    )
     first_provider = F.min_by(
-        "provider", F.when(F.col("provider").isNotNull(), F.struct("start_time", "observation_id"))
+        "provider", F.when(F.col("provider").isNotNull(), F.struct("first_time", "provider"))
     )
-    base = named.groupBy(*keys).agg(
+    base = per_provider.groupBy(*keys).agg(
         *([first_provider.alias("provider")] if "provider" not in keys else []),
-        F.count("*").alias("n"),
-        F.avg("latency_ms").alias("latency_mean_ms"),
+        F.sum("n").alias("n"),
+        (F.sum("latency_sum") / F.nullif(F.sum("latency_n"), F.lit(0))).alias("latency_mean_ms"),
         F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"),
         F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"),
-        F.coalesce(F.sum("total_cost"), F.lit(0.0)).alias("cost"),
+        F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"),
     )
 
     scored = (
-        named.select("observation_id", *keys)
-        .join(scores_by_observation(scores), "observation_id")
+        join_unique(
+            named.select("observation_id", *keys), scores_by_observation(scores), "observation_id", "inner"
+        )
         .groupBy(*keys)
         .agg(
             *[F.sum(c).alias(c) for c in SCORE_TOTALS],

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def salted_join(
@@ -29,6 +31,41 @@ def salted_join(
     return spread.join(copies, [*on, salt], how).drop(salt)
 
 
+def hot_keys(df: DataFrame, key: str, share: float = 0.005, least: int = 1_000_000) -> list:
+    """Keys (null included) that hold more than `share` of the rows and at least `least` of them.
+
+    Runs a job: a bounded frequent-items sketch over one column. Its error is
+    far below `share`, so no such key is missed; at most 1/share keys come back.
+    """
+    limit = int(1 / share)
+    counted = df.agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col(key).isNull()).alias("nulls"),
+        F.expr(f"approx_top_k(`{key}`, {limit}, 50000)").alias("top"),
+    ).first()
+    floor = max(share * counted["n"], least)
+    found = [row[0] for row in counted["top"] or [] if row[0] is not None and row[1] >= floor]
+    return found + ([None] if counted["nulls"] >= floor else [])
+
+
+def join_unique(large: DataFrame, unique: DataFrame, key: str, how: str, least: int = 1_000_000) -> DataFrame:
+    """Joins a table with one that has a row per key, whatever the skew of the first.
+
+    Rows of hot keys are joined apart: the other side has one row for each of
+    those few keys, so that part is a broadcast of bounded size. For left, inner
+    and left_semi joins. Finding the hot keys runs a job when this is called.
+    """
+    hot = hot_keys(large, key, least=least)
+    if not hot:
+        return large.join(unique, key, how)
+    values = [k for k in hot if k is not None]
+    # Null keys match nothing; next to the hot ones they cost nothing either.
+    is_hot = F.col(key).isNull() | F.col(key).isin(values)
+    few = unique.where(F.col(key).isin(values))
+    rest = large.where(~is_hot).join(unique, key, how)
+    return rest.unionByName(large.where(is_hot).join(F.broadcast(few), key, how))
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Equi-join in which null keys match each other; keeps the left keys."""
     renamed = reduce(lambda df, k: df.withColumnRenamed(k, f"_right_{k}"), on, right)
@@ -38,33 +75,33 @@ def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str =
     return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in on])
 
 
+def constant_array(values: list, element_type: T.DataType) -> Column:
+    """A short Python list as an array constant."""
+    return F.from_json(F.lit(json.dumps(values, default=str)), T.ArrayType(element_type))
+
+
 def with_count_below(df: DataFrame, value: str, bounds: Column, size: int, name: str) -> DataFrame:
-    """Adds how many of the ascending `bounds` (at most `size`) are smaller than a column.
+    """Adds how many of the ascending constant `bounds` (at most `size`) are below a column.
 
-    A binary search, one projection per step, so that a row costs log2(size)
-    comparisons in generated code.
+    A binary search with one projection per step: a row costs log2(size)
+    comparisons, all in generated code.
     """
-    step = 1
-    while step * 2 <= size:
-        step *= 2
     found = df.withColumn(name, F.lit(0))
-    while step >= 1:
-        probe = F.col(name) + F.lit(step)
-        found = found.withColumn(
-            name, F.when(F.try_element_at(bounds, probe) < F.col(value), probe).otherwise(F.col(name))
-        )
-        step //= 2
+    for bit in reversed(range(size.bit_length())):
+        probe = F.col(name) + F.lit(1 << bit)
+        below = F.try_element_at(bounds, probe) < F.col(value)
+        found = found.withColumn(name, F.when(below, probe).otherwise(F.col(name)))
     return found
 
 
-def key_bounds(df: DataFrame, key: str, buckets: int) -> Column:
+def key_bounds(df: DataFrame, key: str, buckets: int) -> list:
     """Up to `buckets - 1` ascending keys that cut a unique key into even ranges.
 
     The keys with the smallest hashes are an even, repeatable sample of any
-    orderable type, and a top-k keeps the result bounded.
+    orderable type. This runs a job; its result is at most `buckets - 1` keys.
     """
-    sample = df.select(F.col(key).alias("_k")).orderBy(F.xxhash64("_k"), "_k").limit(buckets - 1)
-    return sample.agg(F.sort_array(F.collect_list("_k"))).scalar()
+    sample = df.select(F.col(key).alias("k")).orderBy(F.xxhash64("k"), "k").limit(buckets - 1)
+    return sample.agg(F.sort_array(F.collect_list("k"))).first()[0]
 
 
 def with_row_index(df: DataFrame, key: str, name: str, buckets: int = 256) -> DataFrame:
@@ -72,8 +109,10 @@ def with_row_index(df: DataFrame, key: str, name: str, buckets: int = 256) -> Da
 
     A plain row_number over the whole table would sort it in one task. Here rows
     are numbered inside key ranges, and each range adds the size of those before.
+    Finding the ranges runs a job when this is called.
     """
-    ranged = with_count_below(df, key, key_bounds(df, key, buckets), buckets - 1, "_range")
+    bounds = constant_array(key_bounds(df, key, buckets), df.schema[key].dataType)
+    ranged = with_count_below(df, key, bounds, buckets - 1, "_range")
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     # At most `buckets` rows, so one task and a broadcast are bounded.
     before = sizes.select(

@@ -50,14 +50,16 @@ def evaluate(
     responses_path: str | None = None,
     judge_recorded: DataFrame | None = None,
     judge_client_factory=None,
-    judge_path: str | None = None,
+    results_path: str | None = None,
     schemas: dict[str, dict] | None = None,
     **options,
 ) -> Evaluation:
     """Fills the requests and scores the answers.
 
     Live calls need a path: replies are written there first, so that scoring
-    never repeats a call and an interrupted run goes on where it stopped.
+    never repeats a call and an interrupted run goes on where it stopped. The
+    same holds for verdicts and `results_path`, which also serves replays whose
+    results are read more than once.
     """
     if client_factory is not None:
         if responses_path is None:
@@ -66,12 +68,12 @@ def evaluate(
     else:
         replies = replay_responses(requests, recorded)
     answered = normalize_responses(replies).withColumnRenamed("content", "output").drop("request", "raw")
+    if judge_client_factory is not None and results_path is None:
+        raise ValueError("live judge calls need results_path")
     judged = judge(answered, judge_client_factory, judge_recorded)
-    if judge_client_factory is not None:
-        if judge_path is None:
-            raise ValueError("live judge calls need judge_path")
-        judged.write.mode("overwrite").parquet(judge_path)
-        judged = judged.sparkSession.read.parquet(judge_path)
+    if results_path is not None:
+        judged.write.mode("overwrite").parquet(results_path)
+        judged = judged.sparkSession.read.parquet(results_path)
     return Evaluation(
         results=judged,
         scores=all_scores(judged, schemas=schemas, keys=("session_id", "observation_id")),

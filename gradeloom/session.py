@@ -19,6 +19,9 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Plans here are built from many small expressions; recording the call site of
+    # each one more than doubles the time that takes.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # A second attempt of a running task would repeat paid model calls.
     "spark.speculation": "false",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom import fixed, schemas
-from gradeloom.operators.spread import salted_join
+from gradeloom.operators.spread import join_unique, salted_join
 
 
 def of_sessions(generations: DataFrame, session_ids: DataFrame | list[str] | None) -> DataFrame:
@@ -37,7 +37,8 @@ def read_scores(spark: SparkSession, path: str, observation_ids: DataFrame | Non
     scores = spark.read.schema(schemas.SCORES).parquet(path).where(F.col("observation_id").isNotNull())
     if observation_ids is None:
         return scores
-    return scores.join(observation_ids.select("observation_id").distinct(), "observation_id", "left_semi")
+    wanted = observation_ids.select("observation_id").distinct()
+    return join_unique(scores, wanted, "observation_id", "left_semi")
 
 
 def recent_sessions(

@@ -97,7 +97,7 @@ def report_cte(by_provider: bool = False, source: str = "named") -> str:
     provider = (
         ""
         if by_provider
-        else "first(provider ORDER BY start_time, observation_id) FILTER (WHERE provider IS NOT NULL) AS provider,"
+        else "first(provider ORDER BY start_time, provider) FILTER (WHERE provider IS NOT NULL) AS provider,"
     )
     return f"""report AS (
   SELECT {keys}, {provider} count(*) AS n,
