@@ -65,7 +65,7 @@ def _has_type(value: Column, name: str) -> Column:
     if name == "number":
         return _is_number(value)
     if name == "integer":
-        return _is_number(value) & (F.floor(_number(value)) == _number(value))
+        return _is_number(value) & (F.rint(_number(value)) == _number(value))
     if name == "boolean":
         return F.schema_of_variant(value) == "BOOLEAN"
     if name == "null":

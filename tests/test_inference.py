@@ -1,0 +1,168 @@
+"""Calls through a client: limits, retries, error rows, resuming."""
+
+import datetime as dt
+import json
+import pathlib
+import sys
+import time
+
+from conftest import one, rows
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+
+from gradeloom import scratch_path
+from gradeloom.operators import inference, judging
+from gradeloom.operators.inference import RateLimited, TransportError, infer, infer_to, retry_wait
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def requests(spark, n=6, provider="groq"):
+    made = [("m", provider, f"i{i}", json.dumps({"n": i})) for i in range(n)]
+    return spark.createDataFrame(made, "model string, provider string, item_id string, request string")
+
+
+def test_retry_wait():
+    now = dt.datetime(2015, 10, 21, 7, 28, 0, tzinfo=dt.timezone.utc)
+    assert retry_wait("30", 0, 30) == 30 and retry_wait("0", 3, 30) == 0 and retry_wait(2.5, 0, 30) == 2.5
+    assert retry_wait("Wed, 21 Oct 2015 07:28:10 GMT", 0, 30, now) == 10
+    assert retry_wait("Wed, 21 Oct 2015 07:27:00 GMT", 0, 30, now) == 0
+    assert [retry_wait(None, n, 30) for n in (0, 1, 2, 10)] == [1, 2, 4, 30]
+    assert retry_wait("soon", 1, 30) == retry_wait("  ", 1, 30) == 2
+
+
+def flaky():
+    """Fails twice per item, then answers."""
+    seen = {}
+
+    def call(body, row):
+        seen[row["item_id"]] = seen.get(row["item_id"], 0) + 1
+        if seen[row["item_id"]] == 1:
+            raise RateLimited(retry_after="0")
+        if seen[row["item_id"]] == 2:
+            raise TransportError("reset")
+        return {"n": body["n"]}
+
+    return call
+
+
+def test_retries_then_answers(spark):
+    found = rows(infer(requests(spark), flaky, max_concurrency=3, max_backoff_s=0.01), "item_id")
+    assert [json.loads(r["raw"])["n"] for r in found] == list(range(6))
+    assert {r["attempts"] for r in found} == {3} and {r["error"] for r in found} == {None}
+    assert all(r["elapsed_ms"] >= 0 for r in found)
+
+
+def limited():
+    def call(body, row):
+        raise RateLimited("API error (429)", retry_after="0")
+
+    return call
+
+
+def refused():
+    def call(body, row):
+        if body["n"] % 2:
+            raise RuntimeError("API error (500)")
+        return "plain text"
+
+    return call
+
+
+def test_gives_up_after_the_limit(spark):
+    found = rows(infer(requests(spark, 2), limited, max_concurrency=2, max_retries=2))
+    assert [(r["attempts"], r["error"], r["raw"]) for r in found] == [(3, "API error (429)", None)] * 2
+
+
+def test_other_failures_are_not_retried_and_stay_with_their_row(spark):
+    found = rows(infer(requests(spark, 4), refused, max_concurrency=2), "item_id")
+    assert [r["error"] for r in found] == [None, "API error (500)", None, "API error (500)"]
+    assert [r["attempts"] for r in found] == [1, 1, 1, 1]
+    assert found[0]["raw"] == "plain text"
+
+
+def test_rows_without_request_pass_through(spark):
+    df = requests(spark, 2).withColumn("request", F.when(F.col("item_id") == "i1", F.col("request")))
+    found = rows(infer(df, refused, max_concurrency=1), "item_id")
+    assert [(r["raw"], r["error"], r["attempts"]) for r in found] == [(None, None, 0), (None, "API error (500)", 1)]
+
+
+def stamped():
+    def call(body, row):
+        return {"at": time.time()}
+
+    return call
+
+
+def test_interval_holds_over_all_lanes(spark):
+    df = requests(spark, 8)
+    infer(df, stamped, max_concurrency=2).collect()
+    found = rows(infer(df, stamped, max_concurrency=2, min_interval_ms={"groq": 50}))
+    times = sorted(json.loads(r["raw"])["at"] for r in found)
+    # Two lanes of 100 ms each; the longer lane holds at least four of the eight calls.
+    assert times[-1] - times[0] >= 0.28
+
+
+class Counting:
+    """A client factory that leaves one file per call."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def __call__(self):
+        folder = self.folder
+
+        def call(body, row):
+            name = f"{row['item_id']}-{time.time_ns()}"
+            pathlib.Path(folder, name).write_text("x")
+            return {"n": body["n"]}
+
+        return call
+
+
+def test_resume_repeats_no_call(spark, tmp_path):
+    path = scratch_path(spark, "responses")
+    infer_to(requests(spark, 3), path, Counting(str(tmp_path)), max_concurrency=2)
+    table = infer_to(requests(spark, 7), path, Counting(str(tmp_path)), parts=3, max_concurrency=2)
+    assert sorted(r["item_id"] for r in table.collect()) == [f"i{i}" for i in range(7)]
+    assert len(list(tmp_path.iterdir())) == 7
+
+
+def test_replay(spark):
+    matrix = requests(spark, 3)
+    recorded = spark.createDataFrame(
+        [("m", "groq", "i0", "first", 1, None), ("m", "groq", "i0", "second", 2, None), ("m", "groq", "i1", None, 1, "API error (500)"),
+         ("m", "ollama", "i2", "other provider", 1, None)],
+        "model string, provider string, item_id string, raw string, recorded_at long, error string",
+    )
+    found = rows(inference.replay_responses(matrix, recorded), "item_id")
+    assert [(r["raw"], r["error"]) for r in found] == [("first", None), (None, "API error (500)"), (None, "no recorded response")]
+    once = recorded.where("raw <> 'second' or raw is null")
+    assert [r["raw"] for r in rows(inference.replay_responses(matrix, once, unique=True), "item_id")] == ["first", None, None]
+
+
+def test_failed_judge_call_is_unscored(spark):
+    df = spark.createDataFrame(
+        [("m", "groq", "i0", "in", "out", "crit", None), ("m", "groq", "i1", "in", "out", "crit", None),
+         ("m", "groq", "i2", "in", None, "crit", "API error (500)")],
+        "model string, provider string, item_id string, input string, output string, criteria string, error string",
+    )
+    replies = [("m", "groq", "i0", json.dumps({"choices": [{"message": {"content": '{"score": 4}'}}]}))]
+    recorded = spark.createDataFrame(replies, "model string, provider string, item_id string, raw string")
+    found = rows(judging.judge(df, recorded=recorded), "item_id")
+    assert [(r["score"], r["judge_failed"], r["reasoning"]) for r in found] == [
+        (4.0, False, ""), (None, True, "Judge call failed: no recorded response"), (None, None, None),
+    ]
+    assert found[2]["error"] == "API error (500)" and found[0]["error"] is None
+
+
+def prose():
+    return lambda body, row: {"choices": [{"message": {"content": "Nice."}}]}
+
+
+def test_live_judge_that_talks(spark):
+    df = spark.createDataFrame([("m", "ollama", "i0", "in", "out", "crit")],
+                               "model string, provider string, item_id string, input string, output string, criteria string")
+    found = one(judging.judge(df, prose, max_concurrency=1))
+    assert found["score"] is None and found["judge_failed"] is False and found["provider"] == "ollama"
+    assert found["reasoning"] == "Failed to parse judge output (not valid JSON). Raw: Nice."
