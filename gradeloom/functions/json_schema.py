@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from gradeloom.functions.text import let
 
 MARKS = "array<struct<counted:boolean,path:string,problem:string>>"
-KNOWN_TYPES = ("object", "array", "string", "number", "integer", "boolean", "null")
 
 
 def _no_marks() -> Column:
@@ -29,54 +28,60 @@ def _mark(path: Column, problem: Column, counted: bool = True) -> Column:
     )
 
 
-def _as_map(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "map<string,variant>")
+class _Node:
+    """A value inside the document: a root VARIANT and a path below it.
 
+    Members are reached by longer paths from the same root, so that a nested
+    object costs no intermediate values.
+    """
 
-def _as_array(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "array<variant>")
+    def __init__(self, root: Column, steps: str = "$"):
+        self.root = root
+        self.steps = steps
 
+    def get(self, cast: str) -> Column:
+        return F.try_variant_get(self.root, self.steps, cast)
 
-def _member(value: Column, key: str) -> Column:
-    if "'" not in key:
-        return F.try_variant_get(value, f"$['{key}']", "variant")
-    if '"' not in key:
-        return F.try_variant_get(value, f'$["{key}"]', "variant")
-    return F.try_element_at(_as_map(value), F.lit(key))
+    @property
+    def value(self) -> Column:
+        return self.root if self.steps == "$" else self.get("variant")
 
+    def member(self, key: str) -> _Node:
+        if "'" not in key:
+            return _Node(self.root, f"{self.steps}['{key}']")
+        if '"' not in key:
+            return _Node(self.root, f'{self.steps}["{key}"]')
+        return _Node(F.try_element_at(self.get("map<string,variant>"), F.lit(key)))
 
-def _is_number(value: Column) -> Column:
-    kind = F.schema_of_variant(value)
-    numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-    return numeric & (F.abs(_number(value)) < F.lit(float("inf")))
 
+def _is_number(node: _Node) -> Column:
+    numeric = F.schema_of_variant(node.value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    return numeric & (F.abs(node.get("double")) < F.lit(float("inf")))
 
-def _number(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "double")
 
-
-def _has_type(value: Column, name: str) -> Column:
+def _has_type(node: _Node, name: str) -> Column:
     if name == "object":
-        return _as_map(value).isNotNull()
+        # Cheapest cast that only an object survives: no field is read.
+        return node.get("struct<>").isNotNull()
     if name == "array":
-        return _as_array(value).isNotNull()
+        return node.get("array<variant>").isNotNull()
     if name == "string":
-        return F.schema_of_variant(value) == "STRING"
+        return F.schema_of_variant(node.value) == "STRING"
     if name == "number":
-        return _is_number(value)
+        return _is_number(node)
     if name == "integer":
-        return _is_number(value) & (F.rint(_number(value)) == _number(value))
+        return _is_number(node) & (F.rint(node.get("double")) == node.get("double"))
     if name == "boolean":
-        return F.schema_of_variant(value) == "BOOLEAN"
+        return F.schema_of_variant(node.value) == "BOOLEAN"
     if name == "null":
-        return F.is_variant_null(value)
+        return F.is_variant_null(node.value)
     return F.lit(True)
 
 
-def _type_name(value: Column) -> Column:
-    kind = F.schema_of_variant(value)
+def _type_name(node: _Node) -> Column:
+    kind = F.schema_of_variant(node.value)
     return (
-        F.when(F.is_variant_null(value), "null")
+        F.when(kind == "VOID", "null")
         .when(kind.startswith("ARRAY"), "array")
         .when(kind.startswith("OBJECT"), "object")
         .when(kind == "STRING", "string")
@@ -85,44 +90,42 @@ def _type_name(value: Column) -> Column:
     )
 
 
-def _in_enum(value: Column, allowed: list) -> Column:
+def _in_enum(node: _Node, allowed: list) -> Column:
     texts = [x for x in allowed if isinstance(x, str)]
     flags = [x for x in allowed if isinstance(x, bool)]
     numbers = [float(x) for x in allowed if isinstance(x, (int, float)) and not isinstance(x, bool)]
     hit = F.lit(False)
     if texts:
-        hit = hit | (_has_type(value, "string") & F.try_variant_get(value, "$", "string").isin(texts))
+        hit = hit | (_has_type(node, "string") & node.get("string").isin(texts))
     if flags:
-        hit = hit | (_has_type(value, "boolean") & F.try_variant_get(value, "$", "boolean").isin(flags))
+        hit = hit | (_has_type(node, "boolean") & node.get("boolean").isin(flags))
     if numbers:
-        hit = hit | (_is_number(value) & _number(value).isin(numbers))
+        hit = hit | (_is_number(node) & node.get("double").isin(numbers))
     if None in allowed:
-        hit = hit | F.is_variant_null(value)
+        hit = hit | F.is_variant_null(node.value)
     return F.coalesce(hit, F.lit(False))
 
 
-def _object_marks(value: Column, schema: dict, path: Column) -> Column:
+def _object_marks(node: _Node, schema: dict, path: Column) -> Column:
     properties = schema.get("properties") or {}
     groups = []
 
     required = schema.get("required") or []
     if required:
+        missing = F.lit("required property is missing")
         groups.append(
             F.array(
                 *[
-                    _mark(
-                        F.concat(path, F.lit(f".{key}")),
-                        F.when(_member(value, key).isNull(), F.lit("required property is missing")),
-                    )
+                    _mark(F.concat(path, F.lit(f".{key}")), F.when(node.member(key).value.isNull(), missing))
                     for key in required
                 ]
             )
         )
 
     if schema.get("additionalProperties") is False:
-        extra = F.map_keys(_as_map(value))
+        extra = F.map_keys(node.get("map<string,variant>"))
         if properties:
-            extra = F.filter(extra, lambda key: ~key.isin(list(properties)))
+            extra = F.array_except(extra, F.array(*[F.lit(key) for key in properties]))
         groups.append(
             F.transform(
                 extra,
@@ -131,16 +134,13 @@ def _object_marks(value: Column, schema: dict, path: Column) -> Column:
         )
 
     for key, child in properties.items():
-        if not isinstance(child, dict) or not _constrains(child):
-            continue
-        groups.append(let(_member(value, key), _if_present(child, F.concat(path, F.lit(f".{key}")))))
+        if _constrains(child):
+            member = node.member(key)
+            inside = _marks(member, child, F.concat(path, F.lit(f".{key}")))
+            groups.append(F.when(member.value.isNotNull(), inside).otherwise(_no_marks()))
     return F.concat(*groups) if groups else _no_marks()
 
 
-def _if_present(schema: dict, path: Column):
-    return lambda member: F.when(member.isNotNull(), _marks(member, schema, path)).otherwise(_no_marks())
-
-
 def _constrains(schema) -> bool:
     if not isinstance(schema, dict):
         return False
@@ -148,11 +148,14 @@ def _constrains(schema) -> bool:
     return any(schema.get(key) for key in keywords) or schema.get("additionalProperties") is False
 
 
-def _marks(value: Column, schema, path: Column) -> Column:
-    """Marks of one value; `value` must be cheap to repeat (a lambda variable)."""
-    if not isinstance(schema, dict):
-        return _no_marks()
+def _item_marks(schema: dict, path: Column):
+    def marks(element: Column, i: Column) -> Column:
+        return _marks(_Node(element), schema, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))
+
+    return marks
 
+
+def _marks(node: _Node, schema: dict, path: Column) -> Column:
     groups = []
     declared = schema.get("type")
     types = declared if isinstance(declared, list) else [declared] if declared else []
@@ -160,38 +163,18 @@ def _marks(value: Column, schema, path: Column) -> Column:
     if isinstance(schema.get("enum"), list):
         allowed = schema["enum"]
         shown = json.dumps(allowed, separators=(",", ":"), ensure_ascii=False)
-        groups.append(
-            F.array(
-                _mark(
-                    path,
-                    F.when(
-                        ~_in_enum(value, allowed),
-                        F.concat(F.to_json(value), F.lit(f" is not one of {shown}")),
-                    ),
-                )
-            )
-        )
+        problem = F.concat(F.to_json(node.value), F.lit(f" is not one of {shown}"))
+        groups.append(F.array(_mark(path, F.when(~_in_enum(node, allowed), problem))))
 
-    object_keywords = any(schema.get(k) for k in ("required", "properties"))
-    if object_keywords or schema.get("additionalProperties") is False:
-        inside = _object_marks(value, schema, path)
-        if types == ["object"]:
-            groups.append(inside)
-        else:
-            groups.append(F.when(_has_type(value, "object"), inside).otherwise(_no_marks()))
+    if schema.get("required") or schema.get("properties") or schema.get("additionalProperties") is False:
+        inside = _object_marks(node, schema, path)
+        if types != ["object"]:
+            inside = F.when(_has_type(node, "object"), inside).otherwise(_no_marks())
+        groups.append(inside)
 
     if _constrains(schema.get("items")):
-        elements = F.coalesce(_as_array(value), F.array().cast("array<variant>"))
-        groups.append(
-            F.flatten(
-                F.transform(
-                    elements,
-                    lambda element, i: _marks(
-                        element, schema["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
-                    ),
-                )
-            )
-        )
+        elements = F.coalesce(node.get("array<variant>"), F.array().cast("array<variant>"))
+        groups.append(F.flatten(F.transform(elements, _item_marks(schema["items"], path))))
 
     body = F.concat(*groups) if groups else None
     if not types:
@@ -199,17 +182,23 @@ def _marks(value: Column, schema, path: Column) -> Column:
 
     matches = F.lit(False)
     for name in types:
-        matches = matches | F.coalesce(_has_type(value, name), F.lit(False))
+        matches = matches | F.coalesce(_has_type(node, name), F.lit(False))
     passed = F.array(_mark(path, F.lit(None)))
-    failed = F.array(
-        _mark(path, F.concat(F.lit(f"expected {'|'.join(types)}, got "), _type_name(value)))
-    )
+    failed = F.array(_mark(path, F.concat(F.lit(f"expected {'|'.join(types)}, got "), _type_name(node))))
     return F.when(matches, F.concat(passed, body) if body is not None else passed).otherwise(failed)
 
 
 def conformance_marks(value: Column, schema: dict) -> Column:
-    """All constraint outcomes of a VARIANT against a schema; null for a null value."""
-    return let(value, lambda v: F.when(v.isNotNull(), _marks(v, schema, F.lit("$"))))
+    """All constraint outcomes of a VARIANT against a schema; null for a null value.
+
+    The value is bound once: the checks name it many times.
+    """
+
+    def marks(v: Column) -> Column:
+        found = _marks(_Node(v), schema, F.lit("$")) if _constrains(schema) else _no_marks()
+        return F.when(v.isNotNull(), found)
+
+    return let(value, marks)
 
 
 def marks_checked(marks: Column) -> Column:

@@ -8,32 +8,38 @@ from pyspark.sql import functions as F
 from gradeloom.functions.text import let, trim_all
 
 
-def strict_json(text: Column) -> Column:
-    """VARIANT of a text that is one JSON value and nothing else, else null.
+def _proof(text: Column) -> Column:
+    return F.xxhash64(text)
+
 
-    The built-in parser ignores whatever follows the first value. Here the text
-    is parsed as the first of two array elements, the second being its own hash:
-    trailing text breaks the array, makes it longer or hides the hash. Texts
-    that do not start and end as a JSON value are not parsed at all, since a
-    failing parse is what costs most.
+def _parse_pair(text: Column) -> Column:
+    """The text parsed as the first of two array elements, the second being its own hash.
+
+    The built-in parser ignores whatever follows the first value. Here, trailing
+    text breaks the array, makes it longer or hides the hash. Texts that do not
+    start and end as a JSON value are not parsed, as failing is what costs most.
     """
     bare = F.btrim(text, F.lit(" \t\n\r"))
     plausible = F.left(bare, F.lit(1)).isin(list('{["-0123456789tfn')) & F.right(bare, F.lit(1)).isin(
         list('}]"0123456789el')
     )
-    proof = F.xxhash64(text)
-    pair = F.try_variant_get(
-        F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), proof.cast("string"), F.lit("]"))),
-        "$",
-        "array<variant>",
-    )
-    return let(
-        F.when(plausible, pair),
-        lambda parsed: F.when(
-            (F.size(parsed) == 2) & (F.try_variant_get(F.get(parsed, F.lit(1)), "$", "bigint") == proof),
-            F.get(parsed, F.lit(0)),
-        ),
-    )
+    wrapped = F.concat(F.lit("["), text, F.lit(","), _proof(text).cast("string"), F.lit("]"))
+    return F.when(plausible, F.try_variant_get(F.try_parse_json(wrapped), "$", "array<variant>"))
+
+
+def _proven(pair: Column, text: Column) -> Column:
+    """The first element, if the pair is the text and its hash and nothing else."""
+    hash_seen = F.try_variant_get(F.get(pair, F.lit(1)), "$", "bigint")
+    return F.when((F.size(pair) == 2) & (hash_seen == _proof(text)), F.get(pair, F.lit(0)))
+
+
+def strict_json(text: Column) -> Column:
+    """VARIANT of a text that is one JSON value and nothing else, else null.
+
+    Text and parse are bound once, so the expression stays small wherever the
+    optimizer moves it, e.g. into a filter below.
+    """
+    return let(text, lambda t: let(_parse_pair(t), lambda pair: _proven(pair, t)))
 
 
 def _first_fenced_block(text: Column) -> Column:
@@ -49,6 +55,11 @@ def _outermost_span(text: Column) -> Column:
     return F.when(end > start, F.substring(text, start, end - start + 1))
 
 
+def _candidates(text: Column) -> list[Column]:
+    """Readings of a trimmed model response, in the order they are tried."""
+    return [text, _first_fenced_block(text), _outermost_span(text)]
+
+
 def extract_json_loose(text: Column) -> Column:
     """First reading of a model response that is strict JSON, as VARIANT, else null.
 
@@ -56,12 +67,7 @@ def extract_json_loose(text: Column) -> Column:
     the first `{` or `[` to the last matching closer.
     """
     trimmed = trim_all(F.coalesce(text, F.lit("")))
-    return let(
-        trimmed,
-        lambda t: F.coalesce(
-            strict_json(t), strict_json(_first_fenced_block(t)), strict_json(_outermost_span(t))
-        ),
-    )
+    return let(trimmed, lambda t: F.coalesce(*[strict_json(c) for c in _candidates(t)]))
 
 
 def loose_parse_error(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gradeloom import fixed
 from gradeloom.functions.identity import is_finite
 from gradeloom.functions.json_text import strict_json
-from gradeloom.functions.text import trim_all
+from gradeloom.functions.text import let, trim_all
 from gradeloom.operators.inference import infer, replay_responses
 from gradeloom.operators.requests import build_messages, build_provider_requests
 from gradeloom.operators.responses import normalize_responses
@@ -54,16 +54,23 @@ def build_judge_requests(
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
 
 
-def _score_value(verdict: Column) -> Column:
-    """The score of a verdict where it is a finite number or a numeric string, else null."""
-    field = F.try_variant_get(verdict, "$.score", "variant")
+def _score_value(field: Column) -> Column:
+    """A score field that is a finite number or a numeric string, else null."""
     kind = F.schema_of_variant(field)
     text = trim_all(F.try_variant_get(field, "$", "string"))
-    numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-    value = F.when(numeric, F.try_variant_get(field, "$", "double")).when(
+    value = F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(field, "$", "double")).when(
         (kind == "STRING") & text.rlike(_NUMBER), text.try_cast("double")
     )
-    return F.when(is_finite(value), value)
+    return let(value, lambda v: F.when(is_finite(v), v))
+
+
+def _read_verdict(verdict: Column) -> Column:
+    """(readable, score, reasoning) of a parsed verdict."""
+    return F.struct(
+        verdict.isNotNull().alias("readable"),
+        let(F.try_variant_get(verdict, "$.score", "variant"), _score_value).alias("score"),
+        F.try_variant_get(verdict, "$.reasoning", "string").alias("reasoning"),
+    )
 
 
 def parse_verdicts(
@@ -80,28 +87,20 @@ def parse_verdicts(
         bare = F.regexp_replace(bare, fence, "")
     verdict = F.col("_verdict")
     cut = F.coalesce(F.col(truncated), F.lit(False))
-    score = F.when(~cut, _score_value(verdict))
-    problem = F.when(verdict.isNull(), "not valid JSON").otherwise("score is not a finite number")
+    problem = F.when(~verdict["readable"], "not valid JSON").otherwise("score is not a finite number")
+    too_long = f"Judge response was truncated at {max_tokens} tokens, so no verdict could be read. Raw: "
     return (
-        df.withColumn("_verdict", strict_json(bare))
-        .withColumn("score", score)
-        .withColumn(
-            "reasoning",
-            F.when(
-                cut,
-                F.concat(
-                    F.lit(
-                        f"Judge response was truncated at {max_tokens} tokens, so no verdict "
-                        "could be read. Raw: "
-                    ),
-                    text,
-                ),
-            )
-            .when(
-                F.col("score").isNull(),
-                F.concat(F.lit("Failed to parse judge output ("), problem, F.lit("). Raw: "), text),
-            )
-            .otherwise(F.coalesce(F.try_variant_get(verdict, "$.reasoning", "string"), F.lit(""))),
+        df.withColumn("_verdict", let(strict_json(bare), _read_verdict))
+        .withColumns(
+            {
+                "score": F.when(~cut, verdict["score"]),
+                "reasoning": F.when(cut, F.concat(F.lit(too_long), text))
+                .when(
+                    verdict["score"].isNull(),
+                    F.concat(F.lit("Failed to parse judge output ("), problem, F.lit("). Raw: "), text),
+                )
+                .otherwise(F.coalesce(verdict["reasoning"], F.lit(""))),
+            }
         )
         .drop("_verdict")
     )

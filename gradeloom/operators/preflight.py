@@ -126,24 +126,14 @@ def _deletions(text: Column, depth: int) -> Column:
     return F.transform(F.array_distinct(found), lambda x: F.xxhash64(x))
 
 
-def closest_match(keys: DataFrame, known: DataFrame, max_distance: int = 2) -> DataFrame:
-    """Best known name for each unknown key, if at most `max_distance` edits away.
-
-    Two texts within d edits share a text reachable from each by at most d
-    deletions, so an equi-join on those finds every true pair without comparing
-    all keys with all names. Smaller distance wins, then the smaller `ordinal`.
-    Keys that are known are not reported; keys without a match have nulls.
-    """
-    names = known.groupBy("key").agg(F.min("ordinal").alias("ordinal"))
-    unknown = keys.select("key").distinct().join(names, "key", "left_anti")
-    variants = F.explode(_deletions(F.col("key"), max_distance)).alias("_variant")
+def _matches(unknown: DataFrame, names: DataFrame, distance: int) -> DataFrame:
+    """Best name within `distance` edits of each key that has one."""
+    variants = F.explode(_deletions(F.col("key"), distance)).alias("_variant")
     probes = unknown.select("key", variants)
     index = names.select(F.col("key").alias("candidate"), "ordinal", variants)
-    best = (
+    return (
         probes.join(index, "_variant")
-        .select(
-            "key", "candidate", "ordinal", F.levenshtein("key", "candidate", max_distance).alias("distance")
-        )
+        .select("key", "candidate", "ordinal", F.levenshtein("key", "candidate", distance).alias("distance"))
         .where(F.col("distance") >= 0)
         .groupBy("key")
         .agg(
@@ -151,4 +141,23 @@ def closest_match(keys: DataFrame, known: DataFrame, max_distance: int = 2) -> D
             F.min("distance").alias("distance"),
         )
     )
-    return unknown.join(best, "key", "left")
+
+
+def closest_match(keys: DataFrame, known: DataFrame, max_distance: int = 2) -> DataFrame:
+    """Best known name for each unknown key, if at most `max_distance` edits away.
+
+    Two texts within d edits share a text reachable from each by at most d
+    deletions, so an equi-join on those finds every true pair without comparing
+    all keys with all names. Distances are tried in turn, and only keys without
+    a match go on to the next, wider one. Smaller distance wins, then the smaller
+    `ordinal`. Known keys are not reported; keys without a match have nulls.
+    """
+    names = known.groupBy("key").agg(F.min("ordinal").alias("ordinal"))
+    left = keys.select("key").distinct().join(names, "key", "left_anti")
+    found = None
+    for distance in range(1, max_distance + 1):
+        matched = _matches(left, names, distance)
+        found = matched if found is None else found.unionByName(matched)
+        left = left.join(matched.select("key"), "key", "left_anti")
+    nothing = {"suggestion": F.lit(None).cast("string"), "distance": F.lit(None).cast("int")}
+    return found.unionByName(left.withColumns(nothing))

@@ -76,9 +76,15 @@ def _json_value(text: Column) -> Column:
 
 
 def _option(name: str) -> Column:
+    """A parameter as it was given."""
     return F.try_element_at(F.col("effective"), F.lit(name))
 
 
+def _typed_option(name: str) -> Column:
+    """A parameter as JSON value."""
+    return F.try_element_at(F.col("_typed"), F.lit(name))
+
+
 def _null_if_no_fields(fields: Column, sources: list[Column]) -> Column:
     return F.when(F.coalesce(*sources).isNotNull(), fields)
 
@@ -112,11 +118,11 @@ def _openai_request(budget_name: str, with_effort: bool) -> Column:
     fields = [
         F.col("model").alias("model"),
         _openai_messages().alias("messages"),
-        _json_value(_option("temperature")).alias("temperature"),
-        _json_value(_option("max_completion_tokens")).alias(budget_name),
-        _json_value(_option("top_p")).alias("top_p"),
+        _typed_option("temperature").alias("temperature"),
+        _typed_option("max_completion_tokens").alias(budget_name),
+        _typed_option("top_p").alias("top_p"),
         F.lit(False).alias("stream"),
-        _json_value(_option("response_format")).alias("response_format"),
+        _typed_option("response_format").alias("response_format"),
     ]
     if with_effort:
         fields.append(_option("reasoning_effort").alias("reasoning_effort"))
@@ -146,7 +152,7 @@ def _native_request() -> Column:
         "repeat_penalty": "repeat_penalty",
         "seed": "seed",
     }
-    options = F.struct(*[_json_value(_option(k)).alias(v) for k, v in option_names.items()])
+    options = F.struct(*[_typed_option(k).alias(v) for k, v in option_names.items()])
     wanted = _option("response_format")
     kind = F.get_json_object(wanted, "$.type")
     output_format = F.when(
@@ -159,8 +165,8 @@ def _native_request() -> Column:
             F.lit(False).alias("stream"),
             _null_if_no_fields(options, [_option(k) for k in option_names]).alias("options"),
             output_format.alias("format"),
-            _json_value(_option("think")).alias("think"),
-            _json_value(_option("keep_alive")).alias("keep_alive"),
+            _typed_option("think").alias("think"),
+            _typed_option("keep_alive").alias("keep_alive"),
         )
     )
 
@@ -193,9 +199,9 @@ def _contents_request() -> Column:
         F.struct(
             F.filter(F.transform(F.col("messages"), content), lambda c: F.size(c["parts"]) > 0).alias("contents"),
             F.struct(
-                _json_value(_option("temperature")).alias("temperature"),
-                _json_value(_option("max_completion_tokens")).alias("maxOutputTokens"),
-                _json_value(_option("top_p")).alias("topP"),
+                _typed_option("temperature").alias("temperature"),
+                _typed_option("max_completion_tokens").alias("maxOutputTokens"),
+                _typed_option("top_p").alias("topP"),
                 F.when(wants_json, "application/json").alias("responseMimeType"),
                 F.struct(F.lit(0).alias("thinkingBudget")).alias("thinkingConfig"),
             ).alias("generationConfig"),
@@ -210,10 +216,11 @@ def build_provider_requests(matrix: DataFrame) -> DataFrame:
     Unset fields are absent, not null. An unknown provider has a null request.
     """
     provider = F.col("provider")
-    return matrix.withColumn(
+    typed = F.transform_values("effective", lambda _, value: _json_value(value))
+    return matrix.withColumn("_typed", typed).withColumn(
         "request",
         F.when(provider == "groq", _openai_request("max_completion_tokens", with_effort=False))
         .when(provider == "nvidia", _openai_request("max_tokens", with_effort=True))
         .when(provider == "ollama", _native_request())
         .when(provider == "gemini", _contents_request()),
-    )
+    ).drop("_typed")

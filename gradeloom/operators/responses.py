@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions.identity import is_finite, ns_to_ms
 from gradeloom.functions.json_text import strict_json
-from gradeloom.functions.text import is_blank, trim_all
+from gradeloom.functions.text import is_blank, let, trim_all
 
 
 def _typed(value: Column, kind: str, cast: str) -> Column:
@@ -30,6 +30,10 @@ def message_text(message: Column) -> Column:
     A non-blank string content; else its joined text parts; else the first
     reasoning field set; else the blank content itself.
     """
+    return let(message, _message_text)
+
+
+def _message_text(message: Column) -> Column:
     content = _get(message, "$.content")
     plain = _typed(content, "STRING", "string")
     parts = F.coalesce(_get(content, "$", "array<variant>"), F.array().cast("array<variant>"))

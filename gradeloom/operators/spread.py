@@ -88,9 +88,9 @@ def with_count_below(df: DataFrame, value: str, bounds: Column, size: int, name:
     """
     found = df.withColumn(name, F.lit(0))
     for bit in reversed(range(size.bit_length())):
-        probe = F.col(name) + F.lit(1 << bit)
-        below = F.try_element_at(bounds, probe) < F.col(value)
-        found = found.withColumn(name, F.when(below, probe).otherwise(F.col(name)))
+        step = F.lit(1 << bit)
+        below = F.try_element_at(bounds, F.col(name) + step) < F.col(value)
+        found = found.withColumn(name, F.col(name) + F.when(below, step).otherwise(0))
     return found
 
 

@@ -26,7 +26,7 @@ class Evaluation:
 
 
 def plan_requests(models: DataFrame, items: DataFrame, session_id: str, enabled=None) -> DataFrame:
-    """One request per model and item, with trace attributes.
+    """One row per model and item: messages, effective parameters, trace attributes.
 
     Models and items need their index columns (see `eval_matrix`).
     """
@@ -38,9 +38,7 @@ def plan_requests(models: DataFrame, items: DataFrame, session_id: str, enabled=
             "messages": build_messages(F.col("input"), F.col("image")),
         }
     )
-    return build_provider_requests(trace_identity(matrix)).drop(
-        "messages", "effective", "params", "options", "image", "model_index", "item_index"
-    )
+    return trace_identity(matrix).drop("params", "options", "image", "model_index", "item_index")
 
 
 def evaluate(
@@ -64,9 +62,10 @@ def evaluate(
     if client_factory is not None:
         if responses_path is None:
             raise ValueError("live calls need responses_path")
-        replies = infer_to(requests, responses_path, client_factory, **options)
+        bodies = build_provider_requests(requests).drop("messages", "effective")
+        replies = infer_to(bodies, responses_path, client_factory, **options)
     else:
-        replies = replay_responses(requests, recorded)
+        replies = replay_responses(requests.drop("messages", "effective"), recorded)
     answered = normalize_responses(replies).withColumnRenamed("content", "output").drop("request", "raw")
     if judge_client_factory is not None and results_path is None:
         raise ValueError("live judge calls need results_path")
