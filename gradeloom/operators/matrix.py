@@ -73,7 +73,9 @@ def eval_matrix(models: DataFrame, items: DataFrame) -> DataFrame:
     indexes = F.when(sides > 0, F.sequence(F.lit(0).cast("long"), sides - 1))
     repeated = items.withColumn("model_index", F.explode(indexes))
     keyed = models.withColumn("model_index", F.col("model_index").cast("long"))
-    return salted_join(repeated, keyed, ["model_index"], "inner", ["item_index"]).withColumn(
+    # Every index has its model, so a left join drops nothing; it also rules out a
+    # broadcast of the repeated items, whose size is estimated without the repeats.
+    return salted_join(repeated, keyed, ["model_index"], "left", ["item_index"]).withColumn(
         "position", F.col("model_index") * n_items + F.col("item_index") + 1
     )
 

@@ -131,8 +131,11 @@ def _matches(unknown: DataFrame, names: DataFrame, distance: int) -> DataFrame:
     variants = F.explode(_deletions(F.col("key"), distance)).alias("_variant")
     probes = unknown.select("key", variants)
     index = names.select(F.col("key").alias("candidate"), "ordinal", variants)
+    # Sizes are estimated without the growth by variants, so neither side may be
+    # taken for small enough to broadcast.
     return (
-        probes.join(index, "_variant")
+        probes.hint("merge")
+        .join(index, "_variant")
         .select("key", "candidate", "ordinal", F.levenshtein("key", "candidate", distance).alias("distance"))
         .where(F.col("distance") >= 0)
         .groupBy("key")
