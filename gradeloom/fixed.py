@@ -20,6 +20,7 @@ METADATA_LIMIT = 200
 # --- fixed values: providers, accepted parameters, client defaults -----------
 DEFAULT_PROVIDER = "groq"
 LOCAL_CAPABLE_PROVIDER = "ollama"
+DEFAULT_LOCAL_ENDPOINT = "http://localhost:11434"
 PROVIDERS = ["groq", "nvidia", "gemini", "ollama"]
 SUPPORTED_PARAMS = {
     "groq": ["model", "messages", "temperature", "max_completion_tokens", "top_p", "response_format"],

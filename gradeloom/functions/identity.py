@@ -50,9 +50,12 @@ def endpoint_locality(url: Column) -> Column:
 
 
 def provider_tag(provider: Column, url: Column | None = None) -> Column:
-    """Provider name; with `/local` or `/remote` where the provider can be either."""
+    """Provider name; with `/local` or `/remote` where the provider can be either.
+
+    Without a URL that provider is at its default endpoint.
+    """
     if url is None:
-        return provider
+        url = F.lit(fixed.DEFAULT_LOCAL_ENDPOINT)
     return F.when(
         provider == fixed.LOCAL_CAPABLE_PROVIDER, F.concat(provider, F.lit("/"), endpoint_locality(url))
     ).otherwise(provider)

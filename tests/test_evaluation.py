@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from gradeloom import scratch_path
-from gradeloom.functions import identity
+from gradeloom.functions import identity, json_text
 from gradeloom.operators import report, scoring
 from gradeloom.plans import evaluation
 from gradeloom.streaming import jobs
@@ -96,6 +96,21 @@ def test_missing_recordings_lose_only_their_rows(spark):
     assert sorted((r["level"] or "") for r in rows(made.observations.where("type = 'SPAN'"))) == ["", "ERROR", "ERROR"]
 
 
+def test_filters_on_computed_columns_keep_plans_small(spark):
+    """A filter is moved below the columns it names; those must not multiply on the way."""
+    reply = json.dumps({"choices": [{"message": {"content": '{"score": 4}'}}]})
+    recorded = spark.createDataFrame([("vendor/m:free", "groq", "i1", reply)], "model string, provider string, item_id string, raw string")
+    made = evaluation.evaluate(plan(spark, schema_id="s"), recorded, judge_recorded=recorded, schemas={"s": SCHEMA})
+    for df in (made.results.where("score > 3 AND reasoning <> 'x' AND output <> ''"), made.scores.where("value_num = 0")):
+        assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 400_000
+        assert df.count() == 1
+    parsed = spark.createDataFrame([('{"summary": 1}',)], "output string")
+    checked = scoring.validate_json(parsed.withColumn("v", json_text.extract_json_loose(F.col("output"))), "v", SCHEMA)
+    bad = checked.where("NOT valid AND checked > 1 AND size(errors) = 1")
+    assert len(bad._jdf.queryExecution().optimizedPlan().toString()) < 400_000
+    assert bad.count() == 1
+
+
 def land(df, path):
     df.coalesce(1).write.mode("append").parquet(path)
 

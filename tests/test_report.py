@@ -257,3 +257,11 @@ def test_report_plan_folds_before_the_big_shuffles(spark):
 def test_endpoint_locality(spark, url, where):
     df = spark.createDataFrame([(url,)], "u string")
     assert one(df.select(identity.endpoint_locality(F.col("u")).alias("w")))["w"] == where
+
+
+def test_provider_tag(spark):
+    df = spark.createDataFrame([("ollama", "http://10.0.0.9:1"), ("groq", "http://localhost")], "p string, u string")
+    tagged = df.select(
+        identity.provider_tag(F.col("p"), F.col("u")).alias("given"), identity.provider_tag(F.col("p")).alias("default")
+    )
+    assert rows(tagged) == [{"given": "ollama/remote", "default": "ollama/local"}, {"given": "groq", "default": "groq"}]

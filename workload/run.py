@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from gradeloom import fixed
 from gradeloom.functions import identity
-from gradeloom.functions.text import not_empty
 from gradeloom.operators import inference, judging, matrix, media, observations, preflight, requests, responses, spread
 from gradeloom.plans import evaluation
 from gradeloom.sources import datasets
