@@ -34,7 +34,7 @@ def extract_json_loose(spark, d):
 )
 def validate_json(spark, d):
     parsed = t.outputs_json(spark, d).withColumn("doc", json_text.extract_json_loose(F.col("output")))
-    checked = scoring.validate_json(parsed, "doc", t.SCHEMA).where("valid IS NOT NULL")
+    checked = scoring.validate_json(parsed.where("doc IS NOT NULL"), "doc", t.SCHEMA)
     return checked.select(
         "observation_id", "valid", "checked", "passed", F.array_join("errors", "; ").alias("errors")
     )
