@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from gradeloom.llm import chat_format, mixing, quality_rules, token_counts
+from gradeloom.llm import (
+    chat_format,
+    decontamination,
+    line_dedup,
+    mixing,
+    quality_rules,
+    simhash,
+    token_counts,
+)
 
 QUERIES = {
     f.__name__: f
     for f in (
         token_counts.op1_token_counts,
+        simhash.op2_simhash,
         quality_rules.op5_quality_rules,
+        line_dedup.op6_line_dedup,
+        decontamination.op7_decontamination,
         mixing.op9_mixing,
         chat_format.op10_chat_format,
     )
@@ -16,6 +27,8 @@ QUERIES = {
 
 ORACLES = {
     "op5_quality_rules": quality_rules.OP5_SQL,
+    "op6_line_dedup": line_dedup.OP6_SQL,
+    "op7_decontamination": decontamination.OP7_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op10_chat_format": chat_format.OP10_SQL,
 }
