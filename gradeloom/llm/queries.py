@@ -5,6 +5,7 @@ from __future__ import annotations
 from gradeloom.llm import (
     chat_format,
     decontamination,
+    html_extraction,
     line_dedup,
     mixing,
     quality_rules,
@@ -17,6 +18,7 @@ QUERIES = {
     for f in (
         token_counts.op1_token_counts,
         simhash.op2_simhash,
+        html_extraction.op4_html_extraction,
         quality_rules.op5_quality_rules,
         line_dedup.op6_line_dedup,
         decontamination.op7_decontamination,
