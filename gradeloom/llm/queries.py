@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from gradeloom.llm import (
     chat_format,
+    classifier,
     decontamination,
     html_extraction,
     line_dedup,
@@ -18,6 +19,7 @@ QUERIES = {
     for f in (
         token_counts.op1_token_counts,
         simhash.op2_simhash,
+        classifier.op3_quality_classifier,
         html_extraction.op4_html_extraction,
         quality_rules.op5_quality_rules,
         line_dedup.op6_line_dedup,
