@@ -8,6 +8,7 @@ from gradeloom.llm import (
     decontamination,
     html_extraction,
     line_dedup,
+    lm_scoring,
     mixing,
     quality_rules,
     simhash,
@@ -24,6 +25,7 @@ QUERIES = {
         quality_rules.op5_quality_rules,
         line_dedup.op6_line_dedup,
         decontamination.op7_decontamination,
+        lm_scoring.op8_lm_scoring,
         mixing.op9_mixing,
         chat_format.op10_chat_format,
     )
