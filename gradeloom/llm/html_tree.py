@@ -141,12 +141,16 @@ class Page:
             out = out or tag not in ("html", "body", "article", "main") and not LEFT_OUT_WORDS.isdisjoint(found)
             says = tag in ("article", "main") or not out and tag == "div" and not ARTICLE_WORDS.isdisjoint(found)
             label = ".".join([tag, *found[:3]]) + ("!" if out else "^" if says and tag in ("article", "main") else "~" if says else "")
-            node = [label, 0, []]
-            self.nodes[-1][2].append(node)
-            self.nodes.append(node)
+            path = f"{self.paths[-1]}>{label}"
+            if len(self.tags) <= DEPTH:
+                self.nodes[-1][2].append([label, 0, []])
+                self.nodes.append(self.nodes[-1][2][-1])
+            else:  # part of the last level, and out of it if left out
+                path = path if out and not self.left_out[-1] else self.paths[-1]
+                self.nodes.append(self.nodes[-1])
             self.tags.append(tag)
             self.left_out.append(out or self.left_out[-1])
-            self.paths.append(f"{self.paths[-1]}>{label}" if len(self.tags) <= DEPTH else self.paths[-1])
+            self.paths.append(path)
 
     def boring(self, attributes: str) -> bool:
         found, hidden = names(attributes)
