@@ -58,6 +58,7 @@ IMAGE_PATH_TEMPLATE = r"\$\{\[\s*fs\.readFile\(\s*path=b64'([^']*)'\s*,\s*encodi
 # --- fixed values: judge call -------------------------------------------------
 JUDGE_MAX_TOKENS = 512
 JUDGE_TEMPERATURE = "0"
+JUDGE_MODEL = "openai/gpt-oss-20b"
 JUDGE_PROMPT_BEFORE_INPUT = (
     'You are a strict, impartial evaluator of LLM outputs.\n\nTask given to the model:\n"""\n'
 )
@@ -77,6 +78,9 @@ JUDGE_PROMPT_AFTER_CRITERIA = (
 
 # --- fixed values: request limits ---------------------------------------------
 MAX_BACKOFF_SECONDS = 30.0
+MIN_INTERVAL_MS = {"groq": 2200, "nvidia": 2200, "gemini": 0, "ollama": 0}
+MAX_RETRIES = {"groq": 5, "nvidia": 5, "gemini": 3, "ollama": 2}
+MAX_BACKOFF_SECONDS_OF = {"groq": 30.0, "nvidia": 30.0, "gemini": 10.0, "ollama": 10.0}
 
 # --- fixed values: report -----------------------------------------------------
 TIE_MARGIN = 0.005

@@ -145,7 +145,8 @@ def _constrains(schema) -> bool:
     if not isinstance(schema, dict):
         return False
     keywords = ("type", "enum", "required", "properties", "items")
-    return any(schema.get(key) for key in keywords) or schema.get("additionalProperties") is False
+    lists = isinstance(schema.get("enum"), list) or isinstance(schema.get("type"), list)
+    return lists or any(schema.get(key) for key in keywords) or schema.get("additionalProperties") is False
 
 
 def _item_marks(schema: dict, path: Column):
@@ -177,7 +178,7 @@ def _marks(node: _Node, schema: dict, path: Column) -> Column:
         groups.append(F.flatten(F.transform(elements, _item_marks(schema["items"], path))))
 
     body = F.concat(*groups) if groups else None
-    if not types:
+    if not types and not isinstance(declared, list):
         return body if body is not None else _no_marks()
 
     matches = F.lit(False)

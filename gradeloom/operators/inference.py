@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import math
 import time
 from collections.abc import Callable, Iterator
 from email.utils import parsedate_to_datetime
@@ -34,41 +35,62 @@ class TransportError(Exception):
 
 
 def retry_wait(retry_after, attempt: int, max_backoff: float, now: dt.datetime | None = None) -> float:
-    """Seconds to wait: the header in seconds or date form, else 2^attempt up to a cap."""
-    if retry_after is not None and str(retry_after).strip():
-        text = str(retry_after).strip()
+    """Seconds to wait: the header in seconds or date form (HTTP or ISO), else 2^attempt up to a cap."""
+    text = "" if retry_after is None else str(retry_after).strip()
+    try:
+        seconds = float(text)
+        if math.isfinite(seconds):
+            return max(0.0, seconds)
+        text = ""
+    except ValueError:
+        pass
+    for read in (parsedate_to_datetime, dt.datetime.fromisoformat):
         try:
-            return max(0.0, float(text))
-        except ValueError:
-            pass
-        try:
-            until = parsedate_to_datetime(text)
-            return max(0.0, (until - (now or dt.datetime.now(dt.timezone.utc))).total_seconds())
+            until = read(text)
         except (TypeError, ValueError):
-            pass
+            continue
+        if until.tzinfo is None:
+            until = until.replace(tzinfo=dt.timezone.utc)
+        return max(0.0, (until - (now or dt.datetime.now(dt.timezone.utc))).total_seconds())
     return min(max_backoff, 2.0**attempt)
 
 
-def _caller(client_factory, interval_s: dict, max_retries: int, max_backoff: float):
+def provider_limits() -> dict:
+    """The usual limits of the known providers, as options of `infer`."""
+    return {
+        "min_interval_ms": dict(fixed.MIN_INTERVAL_MS),
+        "max_retries": dict(fixed.MAX_RETRIES),
+        "max_backoff_s": dict(fixed.MAX_BACKOFF_SECONDS_OF),
+    }
+
+
+def _of(setting, provider: str, default):
+    """A setting for all providers, or a dict of it by provider."""
+    return setting.get(provider, default) if isinstance(setting, dict) else setting
+
+
+def _caller(client_factory, lanes: int, min_interval_ms, max_retries, max_backoff):
     """Per-task function that sends one request under the interval and retry rules."""
     client = client_factory()
     last_start: dict[str, float] = {}
 
     def send(body: dict, row: dict):
         provider = row["provider"]
+        interval = _of(min_interval_ms, provider, 0) * lanes / 1000.0
         attempt = 0
         while True:
-            wait = last_start.get(provider, float("-inf")) + interval_s.get(provider, 0.0) - time.monotonic()
+            wait = last_start.get(provider, float("-inf")) + interval - time.monotonic()
             if wait > 0:
                 time.sleep(wait)
             last_start[provider] = time.monotonic()
             try:
                 return client(body, row), attempt + 1
             except (RateLimited, TransportError, ConnectionError, TimeoutError) as err:
-                if attempt >= max_retries:
+                if attempt >= _of(max_retries, provider, 0):
                     err.attempts = attempt + 1
                     raise
-                time.sleep(retry_wait(getattr(err, "retry_after", None), attempt, max_backoff))
+                longest = _of(max_backoff, provider, fixed.MAX_BACKOFF_SECONDS)
+                time.sleep(retry_wait(getattr(err, "retry_after", None), attempt, longest))
                 attempt += 1
 
     return send
@@ -79,97 +101,95 @@ def infer(
     client_factory: Callable[[], Client],
     max_concurrency: int = 8,
     min_interval_ms: int | dict[str, int] = 0,
-    max_retries: int = 5,
-    max_backoff_s: float = fixed.MAX_BACKOFF_SECONDS,
+    max_retries: int | dict[str, int] = 5,
+    max_backoff_s: float | dict[str, float] = fixed.MAX_BACKOFF_SECONDS,
 ) -> DataFrame:
-    """One reply per request row; adds raw, error, elapsed_ms, attempts.
+    """One reply per request row; adds raw, error, started_ms, elapsed_ms, attempts.
 
     Rows are dealt to `max_concurrency` lanes by key hash, one task per lane, so
     a provider with most of the rows still uses every lane. Each lane waits the
     interval times the number of lanes, which keeps the total rate of a provider
-    under its limit. A failing call becomes an error row, never an exception.
-    Only 429 and transport errors are retried. Rows without a request pass through.
+    under its limit. The limits hold for every provider, or by provider where
+    they are dicts. A failing call becomes an error row, never an exception.
+    Only 429 and transport errors are retried. Rows without a request, and rows
+    that carry an error already, pass through without a call.
     """
-    providers = fixed.PROVIDERS if isinstance(min_interval_ms, int) else list(min_interval_ms)
-    intervals = (
-        {p: min_interval_ms for p in providers} if isinstance(min_interval_ms, int) else min_interval_ms
-    )
-    interval_s = {p: ms * max_concurrency / 1000.0 for p, ms in intervals.items()}
-
     added = [
         T.StructField("raw", T.StringType()),
         T.StructField("error", T.StringType()),
+        T.StructField("started_ms", T.LongType()),
         T.StructField("elapsed_ms", T.LongType()),
         T.StructField("attempts", T.IntegerType()),
     ]
     kept = [f for f in requests.schema.fields if f.name not in {a.name for a in added}]
     schema = T.StructType([*kept, *added])
     names = [f.name for f in kept]
+    known_error = F.col("error") if "error" in requests.columns else F.lit(None).cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        send = _caller(client_factory, interval_s, max_retries, max_backoff_s)
+        send = _caller(client_factory, max_concurrency, min_interval_ms, max_retries, max_backoff_s)
         for batch in batches:
-            raws, errors, times, attempts = [], [], [], []
-            for row in batch.select(["request", *KEYS]).to_pylist():
-                started = time.monotonic()
-                raw = error = None
-                tries = 1
-                if row["request"] is None:
-                    # Nothing to ask, e.g. a row to judge that has no answer.
-                    raws.append(None)
-                    errors.append(None)
-                    times.append(None)
-                    attempts.append(0)
-                    continue
-                try:
-                    reply, tries = send(json.loads(row["request"]), row)
-                    raw = reply if isinstance(reply, str) else json.dumps(reply, ensure_ascii=False)
-                except Exception as err:  # noqa: BLE001 - any failure belongs to this row alone
-                    error = str(err) or type(err).__name__
-                    tries = getattr(err, "attempts", 1)
-                raws.append(raw)
-                errors.append(error)
-                times.append(int((time.monotonic() - started) * 1000))
-                attempts.append(tries)
+            made: dict[str, list] = {a.name: [] for a in added}
+            for row in batch.select(["request", "_error", *KEYS]).to_pylist():
+                raw, error, begun, elapsed, tries = None, row.pop("_error"), None, None, 0
+                # Nothing to ask: e.g. a row to judge that has no answer, or an item that is no item.
+                if row["request"] is not None and error is None:
+                    begun, started, tries = int(time.time() * 1000), time.monotonic(), 1
+                    try:
+                        reply, tries = send(json.loads(row["request"]), row)
+                        raw = reply if isinstance(reply, str) else json.dumps(reply, ensure_ascii=False)
+                    except Exception as err:  # noqa: BLE001 - any failure belongs to this row alone
+                        error = str(err) or type(err).__name__
+                        tries = getattr(err, "attempts", 1)
+                    elapsed = int((time.monotonic() - started) * 1000)
+                for name, value in zip(made, (raw, error, begun, elapsed, tries), strict=True):
+                    made[name].append(value)
             # Input columns pass through as they are; only the keys and the body were decoded.
-            made = [
-                pa.array(raws, pa.string()),
-                pa.array(errors, pa.string()),
-                pa.array(times, pa.int64()),
-                pa.array(attempts, pa.int32()),
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), *made], names=[*names, *(a.name for a in added)]
-            )
+            types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
+            columns = [pa.array(values, kind) for values, kind in zip(made.values(), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns], names=[*names, *made])
 
     lane = F.pmod(F.xxhash64(*KEYS), F.lit(max_concurrency)).cast("int")
-    return requests.select(*names).repartitionById(max_concurrency, lane).mapInArrow(run, schema)
+    asked = requests.select(*names, known_error.alias("_error"))
+    return asked.repartitionById(max_concurrency, lane).mapInArrow(run, schema)
+
+
+def resume_keys(df: DataFrame) -> list[str]:
+    """What a call is known by: the pair, and the session where there is one."""
+    return [*(["session_id"] if "session_id" in df.columns else []), *KEYS]
 
 
 def infer_to(
     requests: DataFrame,
     path: str,
     client_factory: Callable[[], Client],
-    parts: int = 1,
+    calls_per_commit: int = 10_000,
     **options,
 ) -> DataFrame:
-    """`infer` into a table, leaving out the pairs it already holds.
+    """`infer` into a table, leaving out the calls that it holds a reply to.
 
     Replies are written before anything reads them, so a later failure never
-    repeats a paid call. `parts` splits the work into that many separately
-    committed writes, which bounds what a lost job can cost. Returns the table.
+    repeats a paid call, and about `calls_per_commit` of them are committed at a
+    time. Failed calls are asked again. The request bodies are not stored.
+    Returns the latest row of each asked call, replies before failures.
     """
     spark = requests.sparkSession
     if spark.conf.get("spark.speculation", "false") == "true":
         raise ValueError("spark.speculation would send requests twice; turn it off")
+    keys = resume_keys(requests)
     todo = requests
     existing = _existing(spark, path)
     if existing is not None:
-        todo = requests.join(existing.select(*KEYS).distinct(), KEYS, "left_anti")
+        done = existing.where(F.col("raw").isNotNull() | (F.col("attempts") == 0))
+        todo = requests.join(done.select(*keys).distinct(), keys, "left_anti")
+    parts = max(1, math.ceil(todo.count() / calls_per_commit))
     for part in range(parts):
-        share = todo.where(F.pmod(F.xxhash64(F.lit("part"), *KEYS), F.lit(parts)) == part) if parts > 1 else todo
-        infer(share, client_factory, **options).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+        share = todo.where(F.pmod(F.xxhash64(F.lit("part"), *keys), F.lit(parts)) == part) if parts > 1 else todo
+        infer(share, client_factory, **options).drop("request").write.mode("append").parquet(path)
+    stored = spark.read.parquet(path).join(requests.select(*keys).distinct(), keys, "left_semi")
+    payload = [c for c in stored.columns if c not in keys]
+    latest = F.max_by(F.struct(*payload), F.struct(F.col("raw").isNotNull(), F.coalesce("started_ms", F.lit(0))))
+    return stored.groupBy(*keys).agg(latest.alias("_latest")).select(*keys, "_latest.*")
 
 
 def _existing(spark, path: str) -> DataFrame | None:
@@ -186,20 +206,24 @@ def replay_responses(matrix: DataFrame, recorded: DataFrame, unique: bool = Fals
 
     The first recorded reply of a pair counts (smallest `recorded_at` where that
     column exists). `unique` says that there is one per pair, which saves the
-    pass that folds them. A pair without a reply becomes an error row.
+    pass that folds them. Recordings of a session answer that session only. A
+    pair without a reply becomes an error row; one with an error keeps it.
     """
-    payload = [c for c in recorded.columns if c not in KEYS]
+    keys = resume_keys(recorded) if "session_id" in matrix.columns else KEYS
+    payload = [c for c in recorded.columns if c not in {*keys, "session_id"}]
     if unique:
-        one_each = recorded.select(*KEYS, F.struct(*payload).alias("_reply"), F.lit(True).alias("_found"))
+        one_each = recorded.select(*keys, F.struct(*payload).alias("_reply"), F.lit(True).alias("_found"))
     else:
         order = F.struct(*(["recorded_at"] if "recorded_at" in payload else []), F.xxhash64(*payload))
-        one_each = recorded.groupBy(*KEYS).agg(
+        one_each = recorded.groupBy(*keys).agg(
             F.min_by(F.struct(*payload), order).alias("_reply"), F.lit(True).alias("_found")
         )
     known_error = F.col("_reply.error") if "error" in payload else F.lit(None).cast("string")
+    before = F.col("_before") if "error" in matrix.columns else F.lit(None).cast("string")
+    given = [c for c in payload if c != "error"]
     return (
-        matrix.join(one_each, KEYS, "left")
-        .withColumns({c: F.col(f"_reply.{c}") for c in payload if c != "error"})
-        .withColumn("error", F.when(F.col("_found").isNull(), "no recorded response").otherwise(known_error))
-        .drop("_reply", "_found")
+        matrix.withColumnRenamed("error", "_before").join(one_each, keys, "left")
+        .withColumns({c: F.when(before.isNull(), F.col(f"_reply.{c}")) for c in given})
+        .withColumn("error", F.coalesce(before, F.when(F.col("_found").isNull(), "no recorded response"), known_error))
+        .drop("_reply", "_found", "_before")
     )

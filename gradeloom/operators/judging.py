@@ -9,7 +9,7 @@ from gradeloom import fixed
 from gradeloom.functions.identity import is_finite
 from gradeloom.functions.json_text import strict_json
 from gradeloom.functions.text import let, trim_all
-from gradeloom.operators.inference import infer, replay_responses
+from gradeloom.operators.inference import infer, infer_to, replay_responses
 from gradeloom.operators.requests import build_messages, build_provider_requests
 from gradeloom.operators.responses import normalize_responses
 
@@ -110,33 +110,46 @@ def judge(
     df: DataFrame,
     client_factory=None,
     recorded: DataFrame | None = None,
-    model: str = "openai/gpt-oss-20b",
+    model: str = fixed.JUDGE_MODEL,
     provider: str = fixed.DEFAULT_PROVIDER,
     max_tokens: int = fixed.JUDGE_MAX_TOKENS,
+    think: bool = False,
+    path: str | None = None,
     **options,
 ) -> DataFrame:
     """Adds score, reasoning and judge_failed to every row with an output.
 
     Judge replies come from `client_factory` (see `infer`) or from `recorded`.
-    A failed judge call leaves the row unscored. Rows that carry an error are
-    not judged and keep null verdict columns.
+    With a path, replies are stored there and a later call asks only for what
+    it lacks (see `infer_to`). A failed judge call leaves the row unscored.
+    Rows that carry an error are not judged and keep null verdict columns.
     """
     # The row travels as one column, so its own raw/error/timing columns stay apart
     # from those of the judge call.
     row = F.struct(*df.columns).alias("_row")
     answered = F.col("_row.error").isNull() if "error" in df.columns else F.lit(True)
+    session = ["session_id"] if "session_id" in df.columns else []
     if client_factory is not None:
         # The call goes to the judge: its model and provider, under that provider's limits.
-        asked = build_judge_requests(df, model, provider, max_tokens).select(
+        asked = build_judge_requests(df, model, provider, max_tokens, think).select(
+            *session,
             F.lit(model).alias("model"),
             F.lit(provider).alias("provider"),
             F.concat_ws("/", "provider", "model", "item_id").alias("item_id"),
             "request",
             row,
         )
-        replies = infer(asked.withColumn("request", F.when(answered, F.col("request"))), client_factory, **options)
+        asked = asked.withColumn("request", F.when(answered, F.col("request")))
+        if path is None:
+            replies = infer(asked, client_factory, **options)
+        else:
+            calls = infer_to(asked.where("request IS NOT NULL").drop("_row"), path, client_factory, **options)
+            replies = asked.drop("request", "model", "provider").join(
+                calls.drop("model"), [*session, "item_id"], "left"
+            )
+            replies = replies.withColumn("provider", F.lit(provider))
     else:
-        packed = df.select("model", "provider", "item_id", row)
+        packed = df.select(*session, "model", "provider", "item_id", row)
         replies = replay_responses(packed, recorded).withColumn("provider", F.lit(provider))
     read = normalize_responses(replies)
     failed = F.col("error").isNotNull()

@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gradeloom import fixed
+from gradeloom import fixed, schemas
 
 
 def _json(**fields: Column) -> Column:
@@ -20,7 +21,8 @@ def build_observations(results: DataFrame) -> DataFrame:
     Needs observation_id, session_id, trace_name, model, provider, input,
     criteria, output, error, judge_failed, truncated and the token counts. The
     root has the level: ERROR for a failed model call, WARNING for a failed
-    judge call or a truncated response, else null.
+    judge call or a truncated response, else null. Tags, metadata, start and
+    elapsed time and cost go along where the results have them.
     """
     failed = F.col("error").isNotNull()
     output = F.when(failed, _json(error=F.col("error"))).otherwise(_json(content=F.col("output")))
@@ -33,8 +35,9 @@ def build_observations(results: DataFrame) -> DataFrame:
             "id": "string", "parent_id": "string", "name": "string", "type": "string", "model": "string",
             "input": "string", "output": "string", "level": "string",
             "tokens_in": "long", "tokens_out": "long", "tokens_total": "long",
+            "start_time": "timestamp", "latency": "double", "total_cost": "double",
         }
-        values = {"type": F.lit(kind), "output": output, **columns}
+        values = {"type": F.lit(kind), "output": output, **timing(results), **columns}
         return F.struct(*[values.get(n, F.lit(None)).cast(t).alias(n) for n, t in layout.items()])
 
     def tokens(name: str) -> Column:
@@ -58,9 +61,38 @@ def build_observations(results: DataFrame) -> DataFrame:
         tokens_out=tokens("tokens_out"),
         tokens_total=tokens("tokens_total"),
     )
-    return results.select(
-        "session_id", "trace_name", F.explode(F.array(root, generation)).alias("_o")
-    ).select("session_id", "trace_name", "_o.*")
+    shared = ["session_id", "trace_name", *[c for c in ("tags", "metadata") if c in results.columns]]
+    return results.select(*shared, F.explode(F.array(root, generation)).alias("_o")).select(*shared, "_o.*")
+
+
+def timing(results: DataFrame) -> dict[str, Column]:
+    """Start, seconds taken and cost of each result, null where it isn't known."""
+
+    def known(name: str) -> Column:
+        return F.col(name) if name in results.columns else F.lit(None)
+
+    return {
+        "start_time": F.timestamp_millis(known("started_ms").cast("long")),
+        "latency": known("elapsed_ms").cast("double") / 1000,
+        "total_cost": known("total_cost").cast("double"),
+    }
+
+
+def generations_of(results: DataFrame) -> DataFrame:
+    """The results in the layout of stored generations (`schemas.GENERATIONS`)."""
+    made = {
+        **timing(results),
+        "tags": F.col("tags") if "tags" in results.columns else F.lit(None).cast("array<string>"),
+        "output": F.coalesce("output", "error"),
+    }
+    layout = T.StructType.fromDDL(schemas.GENERATIONS)
+    return results.select(*[made.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in layout])
+
+
+def sessions_of(results: DataFrame, environment: str, created_at: Column | None = None) -> DataFrame:
+    """One row per session in the layout of stored sessions; created when its first call began."""
+    began = F.min(F.timestamp_millis(F.col("started_ms"))) if created_at is None else F.min(created_at)
+    return results.groupBy("session_id").agg(began.alias("created_at")).withColumn("environment", F.lit(environment))
 
 
 def sink_traffic_summary(requests: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gradeloom import fixed
 from gradeloom.functions import json_schema
+from gradeloom.functions.json_check import check_json
 from gradeloom.functions.identity import is_finite
 from gradeloom.functions.json_text import extract_json_loose, loose_parse_error
 from gradeloom.functions.text import let
@@ -74,12 +75,17 @@ def conformance(output: Column, schema: dict) -> Column:
 
 
 def _schema_comment(output: Column, result: Column) -> Column:
-    errors = json_schema.marks_errors(result["marks"])
-    ratio = F.concat_ws(
-        "/",
-        json_schema.marks_passed(result["marks"]).cast("string"),
-        json_schema.marks_checked(result["marks"]).cast("string"),
+    return _comment(
+        output,
+        result["parsed"],
+        json_schema.marks_errors(result["marks"]),
+        json_schema.marks_passed(result["marks"]),
+        json_schema.marks_checked(result["marks"]),
     )
+
+
+def _comment(output: Column, parsed: Column, errors: Column, passed: Column, checked: Column) -> Column:
+    ratio = F.concat_ws("/", passed.cast("string"), checked.cast("string"))
     unreadable = F.concat(
         F.lit("Not parseable as JSON: "),
         loose_parse_error(output),
@@ -95,7 +101,34 @@ def _schema_comment(output: Column, result: Column) -> Column:
         F.lit(" constraints passed): "),
         F.array_join(errors, "; "),
     )
-    return F.when(~result["parsed"], unreadable).when(F.size(errors) == 0, conforms).otherwise(violates)
+    return F.when(~parsed, unreadable).when(F.size(errors) == 0, conforms).otherwise(violates)
+
+
+def with_item_schema(df: DataFrame, schema: str = "score_schema", output: str = "output") -> DataFrame:
+    """Adds schema_value and schema_comment of each output against its own row's schema.
+
+    Null where the row has no readable schema, or carries an error. However many
+    schemas there are, the plan stays the same.
+    """
+    asked = F.col(schema).isNotNull() & F.try_parse_json(F.col(schema)).isNotNull()
+    if "error" in df.columns:
+        asked = asked & F.col("error").isNull()
+    value = F.when(asked, F.to_json(extract_json_loose(F.col(output))))
+    found = df.withColumn("_value", value).withColumn("_found", check_json("_value", schema))
+    errors, parsed = F.col("_found.errors"), F.col("_value").isNotNull()
+    fits = parsed & (F.size(errors) == 0)
+    comment = _comment(F.col(output), parsed, errors, F.col("_found.passed"), F.col("_found.checked"))
+    return found.withColumns(
+        {
+            "schema_value": F.when(asked, F.when(fits, 1).otherwise(0)),
+            "schema_comment": F.when(asked, comment),
+        }
+    ).drop("_value", "_found")
+
+
+def found_schema_score(value: str = "schema_value", comment: str = "schema_comment") -> Scorer:
+    """The score row of columns that `with_item_schema` or a dict of schemas has filled."""
+    return lambda df: F.when(F.col(value).isNotNull(), numeric_score(fixed.SCHEMA_SCORE, F.col(value), F.col(comment)))
 
 
 def _schema_value(result: Column) -> Column:

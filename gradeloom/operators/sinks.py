@@ -17,24 +17,28 @@ def write_scores(scores: DataFrame, path: str) -> None:
     scores.hint("rebalance", "session_id").write.mode("append").partitionBy("session_id").parquet(path)
 
 
-def project_names(projects: DataFrame | list[str] | None) -> list[str]:
-    """Names of the target projects; one default project where none are given.
+def write_generations(generations: DataFrame, path: str) -> None:
+    """Appends generation rows, partitioned by session (see `generations_of`)."""
+    generations.hint("rebalance", "session_id").write.mode("append").partitionBy("session_id").parquet(path)
 
-    A project is a configured output, so a table of them is read to the driver,
-    after a check that it is such a list and not a data table.
-    """
-    if isinstance(projects, DataFrame):
-        limit = 1000
-        rows = projects.select("project").distinct().orderBy("project").limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise ValueError(f"more than {limit} projects: this is not a project list")
-        projects = [r["project"] for r in rows]
-    return list(dict.fromkeys(projects or [DEFAULT_PROJECT]))
+
+def write_sessions(sessions: DataFrame, path: str) -> None:
+    """Appends session rows, which are few."""
+    sessions.write.mode("append").parquet(path)
 
 
 def with_projects(df: DataFrame, projects: DataFrame | list[str] | None) -> DataFrame:
-    """Every row once per project."""
-    names = F.array(*[F.lit(p) for p in project_names(projects)])
+    """Every row once per project; one default project where none are given.
+
+    A table of projects stays a table: its names become one array, which every
+    row is joined with as a scalar.
+    """
+    if isinstance(projects, DataFrame):
+        named = F.array_compact(F.sort_array(F.collect_set("project")))
+        names = projects.agg(named.alias("names")).scalar()
+        names = F.when(F.size(names) > 0, names).otherwise(F.array(F.lit(DEFAULT_PROJECT)))
+    else:
+        names = F.array(*[F.lit(p) for p in dict.fromkeys(projects or [DEFAULT_PROJECT])])
     return df.withColumn("project", F.explode(names))
 
 

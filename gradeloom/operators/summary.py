@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions.identity import is_finite
+from gradeloom.operators.spread import join_null_safe
 
 GROUP = ("model", "provider")
 
@@ -188,7 +189,7 @@ def progress(results: DataFrame, chunk: int = 65536) -> DataFrame:
     )
     placed = (
         timed.withColumns({"_sum_in": F.sum("_ms").over(inside), "_count_in": F.count("*").over(inside)})
-        .join(before, ["session_id", "_chunk"])
+        .transform(lambda df: join_null_safe(df, before, ["session_id", "_chunk"], "inner"))
         .withColumn("completed", F.col("_count_before") + F.col("_count_in"))
         .withColumn("mean_ms", (F.col("_sum_before") + F.col("_sum_in")) / F.col("completed"))
         .withColumn("total", F.col("total") if "total" in results.columns else F.col("_count_all"))

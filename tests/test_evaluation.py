@@ -1,5 +1,6 @@
 """Whole runs, and the streams."""
 
+import hashlib
 import json
 import sys
 
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 
 from gradeloom import scratch_path
 from gradeloom.functions import identity, json_text
-from gradeloom.operators import report, scoring
+from gradeloom.operators import report, scoring, summary
 from gradeloom.plans import evaluation
+from gradeloom.plans.report import session_report
+from gradeloom.sources import store
 from gradeloom.streaming import jobs
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -72,11 +75,69 @@ def test_judge_that_returns_prose(spark):
 
 def test_schema_scored_run(spark):
     image = "data:image/png;base64,AAAA"
-    made = run(spark, plan(spark, image, "s", 1), judge_json, schemas={"s": SCHEMA})
+    media = spark.createDataFrame([(hashlib.sha256(image.encode()).hexdigest(), image)], "media_id string, image string")
+    made = run(spark, plan(spark, image, "s", 1), judge_json, schemas={"s": SCHEMA}, media=media)
     assert {r["name"]: r["value_num"] for r in rows(made.scores)} == {"llm-judge-score": 4.0, "json-schema-valid": 1.0}
     assert one(made.results)["metadata"]["hasImage"] == "true"
 
 
+def seeing():
+    def call(body, row):
+        assert body["messages"][0]["content"][1]["image_url"]["url"].startswith("data:image/png")
+        return {"choices": [{"message": {"content": "seen"}}]}
+
+    return call
+
+
+def test_images_meet_the_requests_only_at_the_call(spark):
+    models = spark.createDataFrame([(f"m{i}", "groq", None, i) for i in range(3)], "model string, provider string, params map<string,string>, model_index int")
+    items = spark.createDataFrame([("d", "i", "look", "c", "data:image/png;base64,AAAA", None, None, None, 0)], ITEM)
+    requests = evaluation.plan_requests(models, items, "eval-1")
+    assert "image" not in requests.columns and "messages" not in requests.columns
+    assert {r["metadata"]["hasImage"] for r in requests.collect()} == {"true"}
+    replies = evaluation.evaluate(
+        requests, client_factory=seeing, responses_path=scratch_path(spark, "r"), media=evaluation.media_table(items),
+        judge_recorded=spark.createDataFrame([], "model string, provider string, item_id string, raw string"),
+    )
+    assert [r["output"] for r in replies.results.collect()] == ["seen"] * 3
+
+
+def test_items_bring_their_schema_and_bad_items_are_not_sent(spark):
+    models = spark.createDataFrame([("m", "groq", None, 0)], "model string, provider string, params map<string,string>, model_index int")
+    wanted = json.dumps(SCHEMA)
+    items = spark.createDataFrame(
+        [("d", "good", "q", "c", None, None, None, wanted, None, 0), ("d", "bad", None, "c", None, None, None, wanted, "missing: input", 1),
+         ("d", "free", "q", "c", None, None, None, None, None, 2)],
+        "dataset_id string, item_id string, input string, criteria string, image string, options map<string,string>, "
+        "response_format string, score_schema string, error string, item_index int",
+    )
+    requests = evaluation.plan_requests(models, items, "eval-1")
+    formats = {r["item_id"]: r["effective"].get("response_format") for r in requests.collect()}
+    assert json.loads(formats["good"])["json_schema"]["schema"] == SCHEMA and formats["free"] is None
+    made = run(spark, requests, judge_json)
+    found = {r["item_id"]: r for r in made.results.collect()}
+    assert (found["good"]["schema_value"], found["bad"]["error"], found["free"]["schema_value"]) == (1, "missing: input", None)
+    assert found["bad"]["attempts"] == 0
+    names = [(r["observation_id"], r["name"]) for r in made.scores.collect()]
+    assert ("eval-1/groq/m/good", "json-schema-valid") in names and len(names) == 3
+    assert one(summary.schema_validity_by_model(made.results)) == {"model": "m", "provider": "groq", "passed": 1, "total": 1}
+    total = [r for r in summary.timing_with_total(made.results).collect() if r["model"] == "ALL"]
+    assert total[0]["n"] == 3 and total[0]["total_ms"] >= 0
+
+
+def test_a_stored_run_is_reported(spark):
+    base = scratch_path(spark, "store")
+    made = run(spark, plan(spark), judge_json)
+    evaluation.store(made, base, "test")
+    found = session_report(store.read_generations(spark, f"{base}/generations"), store.read_scores(spark, f"{base}/scores"),
+                           spark.read.parquet(f"{base}/sessions"), dataset_id="text")
+    row = one(found)
+    assert (row["model"], row["provider"], row["n"], row["judge_avg"], row["tokens_in"]) == ("vendor/m:free", "groq", 3, 4.0, 33)
+    assert row["latency_mean_ms"] is not None
+    seen = rows(made.observations.where("type = 'GENERATION'"))
+    assert seen[0]["tags"][0] == "dataset:text" and seen[0]["start_time"] is not None and seen[0]["metadata"]["provider"] == "groq"
+
+
 def test_live_runs_need_paths(spark):
     with pytest.raises(ValueError, match="responses_path"):
         evaluation.evaluate(plan(spark), client_factory=answers)

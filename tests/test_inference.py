@@ -29,6 +29,8 @@ def test_retry_wait():
     assert retry_wait("Wed, 21 Oct 2015 07:27:00 GMT", 0, 30, now) == 0
     assert [retry_wait(None, n, 30) for n in (0, 1, 2, 10)] == [1, 2, 4, 30]
     assert retry_wait("soon", 1, 30) == retry_wait("  ", 1, 30) == 2
+    assert retry_wait("2015-10-21T07:28:07.000Z", 0, 30, now) == 7 and retry_wait("2015-10-21T07:28:05", 0, 30, now) == 5
+    assert retry_wait("nan", 1, 30) == retry_wait("inf", 1, 30) == retry_wait(float("-inf"), 1, 30) == 2
 
 
 def flaky():
@@ -103,6 +105,58 @@ def test_interval_holds_over_all_lanes(spark):
     assert times[-1] - times[0] >= 0.28
 
 
+def test_interval_holds_for_providers_of_the_callers_own(spark):
+    df = requests(spark, 6, "mine")
+    found = rows(infer(df, stamped, max_concurrency=1, min_interval_ms=60))
+    times = sorted(json.loads(r["raw"])["at"] for r in found)
+    assert times[-1] - times[0] >= 0.28
+
+
+def test_limits_by_provider(spark):
+    df = requests(spark, 2, "mine").unionAll(requests(spark, 2, "groq"))
+    found = rows(infer(df, limited, max_concurrency=1, max_retries={"mine": 1, "groq": 3}), "provider")
+    assert [r["attempts"] for r in found] == [4, 4, 2, 2]
+    assert inference.provider_limits()["max_retries"]["ollama"] == 2
+
+
+def test_rows_with_an_error_are_not_sent(spark):
+    df = requests(spark, 3).withColumn("error", F.when(F.col("item_id") == "i1", "missing: input"))
+    found = rows(infer(df, stamped, max_concurrency=1), "item_id")
+    assert [r["error"] for r in found] == [None, "missing: input", None]
+    assert [r["attempts"] for r in found] == [1, 0, 1] and found[0]["started_ms"] > 0 and found[1]["started_ms"] is None
+
+
+class Moody:
+    """Refuses every item the first time that the folder sees it."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def __call__(self):
+        folder = self.folder
+
+        def call(body, row):
+            seen = pathlib.Path(folder, row["item_id"])
+            if not seen.exists():
+                seen.write_text("x")
+                raise RuntimeError("rate limited (429)")
+            return {"n": body["n"]}
+
+        return call
+
+
+def test_failed_calls_are_asked_again_and_sessions_kept_apart(spark, tmp_path):
+    path = scratch_path(spark, "responses")
+    one_session = requests(spark, 3).withColumn("session_id", F.lit("a"))
+    first = infer_to(one_session, path, Moody(str(tmp_path)), max_concurrency=1)
+    assert {r["error"] for r in first.collect()} == {"rate limited (429)"}
+    second = infer_to(one_session, path, Moody(str(tmp_path)), max_concurrency=1)
+    assert [(r["error"], r["raw"] is not None) for r in second.collect()] == [(None, True)] * 3
+    other = infer_to(requests(spark, 2).withColumn("session_id", F.lit("b")), path, Counting(str(tmp_path)), max_concurrency=1)
+    assert sorted((r["session_id"], r["item_id"]) for r in other.collect()) == [("b", "i0"), ("b", "i1")]
+    assert "request" not in spark.read.parquet(path).columns
+
+
 class Counting:
     """A client factory that leaves one file per call."""
 
@@ -123,7 +177,7 @@ class Counting:
 def test_resume_repeats_no_call(spark, tmp_path):
     path = scratch_path(spark, "responses")
     infer_to(requests(spark, 3), path, Counting(str(tmp_path)), max_concurrency=2)
-    table = infer_to(requests(spark, 7), path, Counting(str(tmp_path)), parts=3, max_concurrency=2)
+    table = infer_to(requests(spark, 7), path, Counting(str(tmp_path)), calls_per_commit=2, max_concurrency=2)
     assert sorted(r["item_id"] for r in table.collect()) == [f"i{i}" for i in range(7)]
     assert len(list(tmp_path.iterdir())) == 7
 
@@ -166,3 +220,28 @@ def test_live_judge_that_talks(spark):
     found = one(judging.judge(df, prose, max_concurrency=1))
     assert found["score"] is None and found["judge_failed"] is False and found["provider"] == "ollama"
     assert found["reasoning"] == "Failed to parse judge output (not valid JSON). Raw: Nice."
+
+
+def test_verdicts_are_kept_and_asked_once(spark, tmp_path):
+    df = spark.createDataFrame([("s", "m", "groq", f"i{i}", "in", "out", "crit", None if i else "failed") for i in range(3)],
+                               "session_id string, model string, provider string, item_id string, input string, output string, criteria string, error string")
+    path = scratch_path(spark, "verdicts")
+    for _ in range(2):
+        found = rows(judging.judge(df, Verdicts(str(tmp_path)), model="j", provider="ollama", think=True, path=path, max_concurrency=1), "item_id")
+        assert [(r["score"], r["judge_failed"], r["provider"]) for r in found] == [(None, None, "groq"), (3.0, False, "groq"), (3.0, False, "groq")]
+    bodies = [json.loads(p.read_text()) for p in tmp_path.iterdir()]
+    assert len(bodies) == 2 and all(b["model"] == "j" and b["think"] is True for b in bodies)
+
+
+class Verdicts:
+    def __init__(self, folder):
+        self.folder = folder
+
+    def __call__(self):
+        folder = self.folder
+
+        def call(body, row):
+            pathlib.Path(folder, f"{time.time_ns()}").write_text(json.dumps(body))
+            return {"message": {"content": '{"score": 3}'}}
+
+        return call

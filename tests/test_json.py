@@ -9,17 +9,22 @@ from pyspark.sql import functions as F
 from gradeloom.functions import json_text
 from gradeloom.operators import scoring
 
+LINE = {
+    "type": "object",
+    "properties": {"sku": {"type": "string"}, "qty": {"type": "integer"}},
+    "required": ["sku"],
+}
 SCHEMA = {
     "type": "object",
+    "required": ["paid", "lines"],
     "properties": {
-        "summary": {"type": "string"},
-        "confidence": {"type": "number"},
-        "points": {"type": "array", "items": {"type": "string"}},
-        "nested": {"type": "object", "properties": {"stance": {"type": "string"}}, "required": ["stance"]},
+        "lines": {"type": "array", "items": LINE},
+        "paid": {"type": "boolean"},
+        "total": {"type": "number"},
+        "channel": {"enum": ["web", "shop"]},
     },
-    "required": ["summary", "confidence", "points", "nested"],
 }
-BASE = {"summary": "s", "confidence": 0.5, "points": [], "nested": {"stance": "x"}}
+BASE = {"paid": True, "lines": [{"sku": "k1", "qty": 2}]}
 
 
 @pytest.mark.parametrize(
@@ -83,33 +88,30 @@ def validate(spark, value, schema):
 
 
 def test_conforming_value(spark):
-    good = {"summary": "s", "confidence": 0.9, "points": ["a"], "nested": {"stance": "wide"}}
+    good = {"paid": False, "lines": [{"sku": "k1"}, {"sku": "k2", "qty": 3}], "total": 9.5, "channel": "shop"}
     result = validate(spark, good, SCHEMA)
     assert result["valid"] and result["checked"] == result["passed"] and not result["errors"]
 
 
 def test_missing_fields(spark):
-    result = validate(spark, {"summary": "s"}, SCHEMA)
-    assert result["errors"] == [
-        "$.confidence: required property is missing",
-        "$.points: required property is missing",
-        "$.nested: required property is missing",
-    ]
-    assert (result["checked"], result["passed"]) == (6, 3)
+    result = validate(spark, {"total": 1, "note": "free"}, SCHEMA)
+    assert result["errors"] == ["$.paid: required property is missing", "$.lines: required property is missing"]
+    assert (result["checked"], result["passed"]) == (4, 2)
 
 
 @pytest.mark.parametrize(
     "change,error",
     [
-        ({"confidence": "high"}, "$.confidence: expected number, got string"),
-        ({"confidence": None}, "$.confidence: expected number, got null"),
-        ({"points": "x"}, "$.points: expected array, got string"),
-        ({"points": ["a", 2]}, "$.points[1]: expected string, got number"),
-        ({"nested": []}, "$.nested: expected object, got array"),
-        ({"nested": {}}, "$.nested.stance: required property is missing"),
-        ({"summary": 42}, "$.summary: expected string, got number"),
-        ({"summary": True}, "$.summary: expected string, got boolean"),
-        ({"summary": {"a": 1}}, "$.summary: expected string, got object"),
+        ({"paid": "yes"}, "$.paid: expected boolean, got string"),
+        ({"paid": None}, "$.paid: expected boolean, got null"),
+        ({"lines": "k1"}, "$.lines: expected array, got string"),
+        ({"lines": {"sku": "k1"}}, "$.lines: expected array, got object"),
+        ({"lines": [{"sku": "k1"}, 7]}, "$.lines[1]: expected object, got number"),
+        ({"lines": [{"sku": "k1"}, {"qty": 1}]}, "$.lines[1].sku: required property is missing"),
+        ({"lines": [{"sku": "k1", "qty": 1.5}]}, "$.lines[0].qty: expected integer, got number"),
+        ({"lines": [{"sku": []}]}, "$.lines[0].sku: expected string, got array"),
+        ({"total": "9"}, "$.total: expected number, got string"),
+        ({"channel": "fax"}, '$.channel: "fax" is not one of ["web","shop"]'),
     ],
 )
 def test_one_error_without_cascade(spark, change, error):
@@ -136,6 +138,9 @@ def test_unknown_keywords_and_types_pass(spark):
         ("null", {"enum": ["a", 1, None]}, True),
         ("true", {"enum": [1]}, False),
         ("true", {"enum": [True]}, True),
+        ('{"a":1}', {"properties": {"a": {"enum": []}}}, False),
+        ('{"a":1}', {"properties": {"a": {"type": []}}}, False),
+        ('{"b":1}', {"properties": {"a": {"type": []}}}, True),
         ('{"a":1}', {"enum": [{"a": 1}]}, False),
         ('"x"', {"required": ["a"]}, True),
         ('{"it\'s":1}', {"properties": {"it's": {"type": "string"}}}, False),
@@ -166,7 +171,7 @@ def test_schema_scores(spark):
         (1, json.dumps(BASE)),
         (2, "```json\n" + json.dumps(BASE) + "\n```"),
         (3, "I'm afraid I can't do that"),
-        (4, '{"summary":"s"}'),
+        (4, '{"paid":1,"lines":[{}]}'),
         (5, ""),
     ]
     df = spark.createDataFrame(texts, "observation_id long, output string")
@@ -176,7 +181,7 @@ def test_schema_scores(spark):
     assert found[2]["comment"] == (
         "Not parseable as JSON: output is not parseable JSON. First 200 chars: I'm afraid I can't do that"
     )
-    assert "does not match the schema (3 problem(s), 3/6 constraints passed)" in found[3]["comment"]
+    assert "does not match the schema (2 problem(s), 5/7 constraints passed)" in found[3]["comment"]
     assert found[4]["comment"] == "Not parseable as JSON: empty response. First 200 chars: "
 
 
@@ -191,15 +196,31 @@ def test_schema_by_id(spark):
 
 
 def test_violations(spark):
-    df = spark.createDataFrame([(1, json.dumps({**BASE, "points": [1, "a", 2]})), (2, "no")], "observation_id long, output string")
+    df = spark.createDataFrame([(1, json.dumps({**BASE, "lines": [1, {"sku": "k"}, 2]})), (2, "no")], "observation_id long, output string")
     found = rows(scoring.schema_violations(df, SCHEMA), "path")
     assert [(r["observation_id"], r["path"], r["problem"]) for r in found] == [
-        (1, "$.points[0]", "expected string, got number"),
-        (1, "$.points[2]", "expected string, got number"),
+        (1, "$.lines[0]", "expected object, got number"),
+        (1, "$.lines[2]", "expected object, got number"),
     ]
 
 
 def test_schema_fields(spark):
     df = spark.createDataFrame([(json.dumps(SCHEMA),), ('{"type":"array"}',), ("x",)], "s string")
     found = [r["f"] for r in rows(df.select(json_text.schema_fields(F.col("s")).alias("f")))]
-    assert found == [["summary", "confidence", "points", "nested"], None, None]
+    assert found == [["lines", "paid", "total", "channel"], None, None]
+
+
+def test_schemas_as_data_agree_with_compiled_ones(spark):
+    """Each row with its own schema gives what the schema gives as an expression."""
+    outputs = [json.dumps(BASE), json.dumps({"lines": [{"sku": 1}, 2], "paid": True, "channel": "fax"}), "```json\n{}\n```", "[1, 2]", "no", "", None, "null"]
+    schemas = [SCHEMA, {"type": []}, {"enum": []}, {"enum": [None, 1]}, {"type": ["array", "null"], "items": {"type": "integer"}},
+               {"properties": {"paid": {}}, "additionalProperties": False}, {}]
+    cases = [(i, o, json.dumps(s), str(k)) for i, (o, (k, s)) in enumerate((o, x) for o in outputs for x in enumerate(schemas))]
+    df = spark.createDataFrame(cases, "observation_id int, output string, score_schema string, schema_id string")
+    own = rows(scoring.with_item_schema(df), "observation_id")
+    for k, schema in enumerate(schemas):
+        compiled = rows(scoring.score_json_schema(df.where(F.col("schema_id") == str(k)), schema), "observation_id")
+        mine = [r for r in own if r["schema_id"] == str(k)]
+        assert [(r["value_num"], r["comment"]) for r in compiled] == [(r["schema_value"], r["schema_comment"]) for r in mine]
+    none = df.limit(2).withColumn("score_schema", F.when(F.col("observation_id") == 0, "{not json"))
+    assert [(r["schema_value"], r["schema_comment"]) for r in rows(scoring.with_item_schema(none))] == [(None, None)] * 2

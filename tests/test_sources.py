@@ -154,8 +154,10 @@ def test_fan_out(spark):
     sinks.fan_out(df, spark.createDataFrame([("b",), ("c",), ("b",)], "project string"), path)
     found = {(r["project"], r["n"]) for r in rows(spark.read.parquet(path).groupBy("project").agg(F.count("*").alias("n")))}
     assert found == {("default", 3), ("b", 3), ("c", 3)}
-    with pytest.raises(ValueError, match="not a project list"):
-        sinks.project_names(spark.range(1001).selectExpr("cast(id as string) project"))
+    many = sinks.with_projects(df, spark.range(1500).selectExpr("cast(id as string) project"))
+    assert many.count() == 4500 and many.select("project").distinct().count() == 1500
+    none = sinks.with_projects(df, spark.createDataFrame([(None,)], "project string"))
+    assert {r["project"] for r in none.collect()} == {"default"}
 
 
 def test_report_json(spark):

@@ -158,13 +158,13 @@ PAIR_MATRIX = f"""{PAIRS}, matrix AS (
 
 OUTPUTS = """bodies AS (
   SELECT event_id, event_type, user_id, event_id % 12 AS c,
-    '{"summary":"' || event_type || '","confidence":' ||
+    '{"event":"' || event_type || '","amount":' ||
     CASE WHEN event_id % 12 = 5 THEN '"' || (event_id % 100) || '"' ELSE (event_id % 100) || '.5' END ||
-    ',"points":[' ||
+    ',"codes":[' ||
     CASE WHEN event_id % 12 = 7 THEN '"a",' || (event_id % 100) || ',null' ELSE '"p' || (event_id % 100) || '"' END || ']' ||
     CASE event_id % 12 WHEN 6 THEN ''
-      WHEN 8 THEN ',"nested":{"stance":"s","rank":1.5,"extra":' || props || '}'
-      ELSE ',"nested":{"stance":"s","rank":' || (event_id % 100) || '}' END || '}' AS body
+      WHEN 8 THEN ',"origin":{"page":"s","rank":1.5,"extra":' || props || '}'
+      ELSE ',"origin":{"page":"s","rank":' || (event_id % 100) || '}' END || '}' AS body
   FROM events),
 outputs AS (
   SELECT event_id AS observation_id, event_type AS model, 'p' || (user_id % 3) AS provider,
@@ -189,38 +189,38 @@ parsed AS (
                  WHEN json_valid(span) THEN span END AS doc
   FROM candidates),
 checks AS (
-  SELECT *, json_type(doc, '$.confidence') IN ('DOUBLE', 'BIGINT', 'UBIGINT') AS confidence_ok,
-    json_extract_string(doc, '$.summary') IN ('view', 'click', 'purchase', 'signup') AS summary_ok,
-    json_type(doc, '$.nested') IS NOT NULL AS has_nested,
-    coalesce(json_extract_string(doc, '$.nested.rank') NOT LIKE '%.5', true) AS rank_ok,
-    json_type(doc, '$.nested.extra') IS NOT NULL AS has_extra,
-    CAST(json_array_length(doc, '$.points') AS BIGINT) AS points,
-    len(list_filter(json_extract(doc, '$.points[*]'), lambda x: json_type(x) <> 'VARCHAR')) AS bad_points
+  SELECT *, json_type(doc, '$.amount') IN ('DOUBLE', 'BIGINT', 'UBIGINT') AS amount_ok,
+    json_extract_string(doc, '$.event') IN ('view', 'click', 'purchase', 'signup') AS event_ok,
+    json_type(doc, '$.origin') IS NOT NULL AS has_origin,
+    coalesce(json_extract_string(doc, '$.origin.rank') NOT LIKE '%.5', true) AS rank_ok,
+    json_type(doc, '$.origin.extra') IS NOT NULL AS has_extra,
+    CAST(json_array_length(doc, '$.codes') AS BIGINT) AS codes,
+    len(list_filter(json_extract(doc, '$.codes[*]'), lambda x: json_type(x) <> 'VARCHAR')) AS bad_codes
   FROM parsed),
 problems AS (
-  SELECT observation_id, 1 AS ord, 0 AS i, '$.nested' AS path, 'required property is missing' AS problem, true AS counted
-  FROM checks WHERE doc IS NOT NULL AND NOT has_nested
-  UNION ALL SELECT observation_id, 2, 0, '$.summary',
-    '"' || json_extract_string(doc, '$.summary') || '" is not one of ["view","click","purchase","signup"]', true
-  FROM checks WHERE doc IS NOT NULL AND NOT summary_ok
-  UNION ALL SELECT observation_id, 3, 0, '$.confidence', 'expected number, got string', true
-  FROM checks WHERE doc IS NOT NULL AND NOT confidence_ok
-  UNION ALL SELECT observation_id, 4, u.i, '$.points[' || u.i || ']', 'expected string, got ' ||
-    CASE json_type(doc, '$.points[' || u.i || ']') WHEN 'NULL' THEN 'null' ELSE 'number' END, true
+  SELECT observation_id, 1 AS ord, 0 AS i, '$.origin' AS path, 'required property is missing' AS problem, true AS counted
+  FROM checks WHERE doc IS NOT NULL AND NOT has_origin
+  UNION ALL SELECT observation_id, 2, 0, '$.event',
+    '"' || json_extract_string(doc, '$.event') || '" is not one of ["view","click","purchase","signup"]', true
+  FROM checks WHERE doc IS NOT NULL AND NOT event_ok
+  UNION ALL SELECT observation_id, 3, 0, '$.amount', 'expected number, got string', true
+  FROM checks WHERE doc IS NOT NULL AND NOT amount_ok
+  UNION ALL SELECT observation_id, 4, u.i, '$.codes[' || u.i || ']', 'expected string, got ' ||
+    CASE json_type(doc, '$.codes[' || u.i || ']') WHEN 'NULL' THEN 'null' ELSE 'number' END, true
   FROM checks, range(3) u(i)
-  WHERE doc IS NOT NULL AND u.i < points AND json_type(doc, '$.points[' || u.i || ']') <> 'VARCHAR'
-  UNION ALL SELECT observation_id, 5, 0, '$.nested.extra', 'unexpected property', false
+  WHERE doc IS NOT NULL AND u.i < codes AND json_type(doc, '$.codes[' || u.i || ']') <> 'VARCHAR'
+  UNION ALL SELECT observation_id, 5, 0, '$.origin.extra', 'unexpected property', false
   FROM checks WHERE doc IS NOT NULL AND has_extra
-  UNION ALL SELECT observation_id, 6, 0, '$.nested.rank', 'expected integer, got number', true
-  FROM checks WHERE doc IS NOT NULL AND has_nested AND NOT rank_ok),
+  UNION ALL SELECT observation_id, 6, 0, '$.origin.rank', 'expected integer, got number', true
+  FROM checks WHERE doc IS NOT NULL AND has_origin AND NOT rank_ok),
 folded AS (
   SELECT observation_id, count(*) AS n_errors, count(*) FILTER (WHERE counted) AS n_counted,
     string_agg(path || ': ' || problem, '; ' ORDER BY ord, i) AS errors
   FROM problems GROUP BY observation_id),
 judged AS (
   SELECT p.*, coalesce(f.n_errors, 0) AS n_errors, coalesce(f.errors, '') AS errors,
-    CASE WHEN doc IS NOT NULL THEN 5 + 2 + 1 + 1 + points + CASE WHEN has_nested THEN 1 + 1 + 2 ELSE 0 END END AS checked,
-    CASE WHEN doc IS NOT NULL THEN 5 + 2 + 1 + 1 + points + CASE WHEN has_nested THEN 1 + 1 + 2 ELSE 0 END
+    CASE WHEN doc IS NOT NULL THEN 5 + 2 + 1 + 1 + codes + CASE WHEN has_origin THEN 1 + 1 + 2 ELSE 0 END END AS checked,
+    CASE WHEN doc IS NOT NULL THEN 5 + 2 + 1 + 1 + codes + CASE WHEN has_origin THEN 1 + 1 + 2 ELSE 0 END
       - coalesce(f.n_counted, 0) END AS passed
   FROM checks p LEFT JOIN folded f USING (observation_id)),
 schema_scores AS (

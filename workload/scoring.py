@@ -10,7 +10,7 @@ from workload import registry as r
 from workload import tables as t
 from workload.registry import query
 
-FIELDS = {"summary": "$.summary", "confidence": "$.confidence", "point": "$.points[0]", "rank": "$.nested.rank"}
+FIELDS = {"event": "$.event", "amount": "$.amount", "code": "$.codes[0]", "rank": "$.origin.rank"}
 
 
 @query(

@@ -213,17 +213,17 @@ def pair_matrix(spark, sf_dir) -> DataFrame:
 SCHEMA = {
     "type": "object",
     "properties": {
-        "summary": {"type": "string", "enum": ["view", "click", "purchase", "signup"]},
-        "confidence": {"type": "number"},
-        "points": {"type": "array", "items": {"type": "string"}},
-        "nested": {
+        "event": {"type": "string", "enum": ["view", "click", "purchase", "signup"]},
+        "amount": {"type": "number"},
+        "codes": {"type": "array", "items": {"type": "string"}},
+        "origin": {
             "type": "object",
-            "properties": {"stance": {"type": "string"}, "rank": {"type": "integer"}},
-            "required": ["stance"],
+            "properties": {"page": {"type": "string"}, "rank": {"type": "integer"}},
+            "required": ["page"],
             "additionalProperties": False,
         },
     },
-    "required": ["summary", "confidence", "points", "nested"],
+    "required": ["event", "amount", "codes", "origin"],
 }
 
 
@@ -233,15 +233,15 @@ def outputs_json(spark, sf_dir, events: DataFrame | None = None) -> DataFrame:
     case = F.col("event_id") % 12
     number = _text(F.col("event_id") % 100)
     body = F.concat(
-        F.lit('{"summary":"'), F.col("event_type"),
-        F.lit('","confidence":'),
+        F.lit('{"event":"'), F.col("event_type"),
+        F.lit('","amount":'),
         F.when(case == 5, F.concat(F.lit('"'), number, F.lit('"'))).otherwise(F.concat(number, F.lit(".5"))),
-        F.lit(',"points":['),
+        F.lit(',"codes":['),
         F.when(case == 7, F.concat(F.lit('"a",'), number, F.lit(",null"))).otherwise(F.concat(F.lit('"p'), number, F.lit('"'))),
         F.lit("]"),
         F.when(case == 6, "")
-        .when(case == 8, F.concat(F.lit(',"nested":{"stance":"s","rank":1.5,"extra":'), F.col("props"), F.lit("}")))
-        .otherwise(F.concat(F.lit(',"nested":{"stance":"s","rank":'), number, F.lit("}"))),
+        .when(case == 8, F.concat(F.lit(',"origin":{"page":"s","rank":1.5,"extra":'), F.col("props"), F.lit("}")))
+        .otherwise(F.concat(F.lit(',"origin":{"page":"s","rank":'), number, F.lit("}"))),
         F.lit("}"),
     )
     text = (
