@@ -66,3 +66,19 @@ def verdict_client():
         return _reply(row["provider"], text, prompt)
 
     return call
+
+
+def plain_client():
+    """Answers with the prompt and an exclamation mark."""
+    return lambda body, row: _reply(row["provider"], _prompt(body) + "!", _prompt(body))
+
+
+def refusing_client():
+    """The same, but prompts of a length divisible by 3 fail."""
+
+    def call(body: dict, row: dict) -> dict:
+        if len(_prompt(body)) % 3 == 0:
+            raise RuntimeError("API error (500)")
+        return plain_client()(body, row)
+
+    return call

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gradeloom import scratch_path
 from gradeloom.functions import identity
-from gradeloom.operators import matrix, quantiles, report, spread, summary
+from gradeloom.operators import matrix, quantiles, report, sinks, spread, summary
 from gradeloom.plans.report import session_report
 from gradeloom.sources import store
 from workload import registry as r
@@ -96,9 +96,10 @@ def latest_sessions(spark, d):
     FROM events WHERE day(ts) % 2 = 0 GROUP BY 1 HAVING min(ts) >= TIMESTAMP '2024-01-16 00:00:00'""",
 )
 def read_sessions(spark, d):
-    sessions = t.sessions_events(spark, d)
+    path = scratch_path(spark, "sessions")
+    sinks.write_sessions(t.sessions_events(spark, d), path)
     now = dt.datetime(2024, 1, 31)
-    return store.recent_sessions(sessions, 15, "production", now).select("session_id")
+    return store.read_sessions(spark, path, 15, "production", now).select("session_id")
 
 
 @query("filter_dataset", f"WITH {r.GENS} SELECT observation_id, model, tokens_out FROM gens WHERE list_contains(tags, 'dataset:purchase')")
@@ -149,10 +150,10 @@ def _report(spark, d):
       row_number() OVER (ORDER BY coalesce(judge_avg, -1) DESC, n DESC, model) AS place FROM report""",
 )
 def order_report(spark, d):
-    ordered = report.order_report(_report(spark, d)).select("model", "n", "judge_avg")
-    # One row per model; the place only makes the order visible to a comparison of sets.
-    place = F.row_number().over(Window.orderBy(F.coalesce("judge_avg", F.lit(-1.0)).desc(), F.col("n").desc(), "model"))
-    return ordered.withColumn("place", place.cast("long"))
+    # The operator's own order, made visible to a comparison of sets: ids grow from row to row.
+    ordered = report.order_report(_report(spark, d)).withColumn("id", F.monotonically_increasing_id())
+    placed = F.array_position(ordered.agg(F.sort_array(F.collect_list("id"))).scalar(), F.col("id"))
+    return ordered.select("model", "n", "judge_avg", placed.alias("place"))
 
 
 @query(

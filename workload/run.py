@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
-from gradeloom import fixed
+from gradeloom import fixed, scratch_path
 from gradeloom.functions import identity
-from gradeloom.operators import inference, judging, matrix, media, observations, preflight, requests, responses, spread
+from gradeloom.operators import inference, judging, matrix, media, observations, preflight, requests, responses, spread, summary
 from gradeloom.plans import evaluation
-from gradeloom.sources import datasets
+from gradeloom.plans.report import session_report
+from gradeloom.sources import datasets, store
 from workload import clients
 from workload import registry as r
 from workload import tables as t
@@ -477,29 +480,36 @@ EVALUATION = """WITH models AS (SELECT lang AS model, CASE lang WHEN 'de' THEN '
     row_number() OVER (ORDER BY lang) - 1 AS model_index FROM (SELECT DISTINCT lang FROM documents)),
   items AS (SELECT conv_id, turn, 'c-' || conv_id || '-' || turn AS item_id, text AS input,
     row_number() OVER (ORDER BY 'c-' || conv_id || '-' || turn) - 1 AS item_index FROM conversations WHERE role = 'user'),
-  answers AS (SELECT conv_id, turn - 1 AS turn, text AS output FROM conversations WHERE role = 'assistant'),
-  runs AS (SELECT *, model_index * (SELECT count(*) FROM items) + item_index + 1 AS position FROM models, items LEFT JOIN answers USING (conv_id, turn)),
-  scored AS (SELECT *, output IS NOT NULL AS ok, CASE WHEN output IS NOT NULL AND (conv_id + turn) % 6 <> 5 THEN (conv_id + turn) % 6 + model_index % 2 END AS score FROM runs)"""
+  answers AS (SELECT conv_id, turn - 1 AS turn, text AS answer FROM conversations WHERE role = 'assistant'),
+  runs AS (SELECT *, model_index * (SELECT count(*) FROM items) + item_index + 1 AS position,
+    CASE WHEN model = 'fr' AND conv_id % 2 = 0 THEN '{"answer":' || conv_id || '}' ELSE answer END AS output
+    FROM models, items LEFT JOIN answers USING (conv_id, turn)),
+  scored AS (SELECT * REPLACE (CASE WHEN answer IS NOT NULL THEN output END AS output), answer IS NOT NULL AS ok,
+    'eval-run/' || provider || '/' || model || '/' || item_id AS observation_id,
+    CASE WHEN answer IS NOT NULL AND (conv_id + turn) % 6 <> 5 THEN (conv_id + turn) % 6 + model_index % 2 END AS score,
+    CASE WHEN answer IS NULL OR conv_id % 3 = 2 THEN NULL WHEN conv_id % 3 = 0 AND model = 'fr' AND conv_id % 2 = 0 THEN 1 ELSE 0 END AS schema_value,
+    CASE WHEN answer IS NOT NULL THEN conv_id * 1000 + turn END AS started_ms FROM runs)"""
 
 
 @query(
     "evaluation_results",
     EVALUATION
-    + """ SELECT model, provider, item_id, position, CASE WHEN ok THEN output END AS output, CAST(score AS DOUBLE) AS score,
+    + """ SELECT model, provider, item_id, position, output, CAST(score AS DOUBLE) AS score, schema_value,
       CASE WHEN NOT ok THEN 'no recorded response' END AS error FROM scored""",
 )
 def evaluation_results(spark, d):
-    return _evaluation(spark, d).results.select("model", "provider", "item_id", "position", "output", "score", "error")
+    return _evaluation(spark, d).results.select(
+        "model", "provider", "item_id", "position", "output", "score", "schema_value", "error"
+    )
 
 
 @query(
     "evaluation_scores",
     EVALUATION
-    + """ SELECT 'eval-run/' || provider || '/' || model || '/' || item_id AS observation_id,
-        CASE WHEN score IS NULL THEN 'llm-judge-error' ELSE 'llm-judge-score' END AS name, CAST(score AS DOUBLE) AS value_num
+    + """ SELECT observation_id, CASE WHEN score IS NULL THEN 'llm-judge-error' ELSE 'llm-judge-score' END AS name, CAST(score AS DOUBLE) AS value_num
       FROM scored WHERE ok
-      UNION ALL SELECT 'eval-run/' || provider || '/' || model || '/' || item_id, 'response-truncated', CAST(0 AS DOUBLE)
-      FROM scored WHERE ok AND provider IN ('ollama', 'gemini')""",
+      UNION ALL SELECT observation_id, 'json-schema-valid', schema_value FROM scored WHERE schema_value IS NOT NULL
+      UNION ALL SELECT observation_id, 'response-truncated', CAST(0 AS DOUBLE) FROM scored WHERE ok AND provider IN ('ollama', 'gemini')""",
 )
 def evaluation_scores(spark, d):
     return _evaluation(spark, d).scores.select("observation_id", "name", "value_num")
@@ -508,16 +518,85 @@ def evaluation_scores(spark, d):
 @query(
     "evaluation_observations",
     EVALUATION
-    + """ SELECT type, CASE WHEN type = 'SPAN' AND NOT ok THEN 'ERROR' END AS level, count(*) AS n
-      FROM scored, (SELECT unnest(['SPAN', 'GENERATION']) AS type) GROUP BY ALL""",
+    + """ SELECT observation_id || '-root' AS id, CAST(NULL AS VARCHAR) AS parent_id, 'SPAN' AS type, 'eval:' || model || ':' || item_id AS name,
+        CASE WHEN NOT ok THEN 'ERROR' END AS level, 'dataset:chat' AS tag, started_ms, coalesce(output, 'no recorded response') AS said FROM scored
+      UNION ALL SELECT observation_id, observation_id || '-root', 'GENERATION', provider || '-completion', NULL, 'dataset:chat', started_ms,
+        coalesce(output, 'no recorded response') FROM scored""",
 )
 def evaluation_observations(spark, d):
-    made = _evaluation(spark, d).observations
-    return made.groupBy("type", "level").agg(F.count("*").alias("n"))
+    return _evaluation(spark, d).observations.select(
+        "id", "parent_id", "type", "name", "level", F.get("tags", F.lit(0)).alias("tag"),
+        F.unix_millis("start_time").alias("started_ms"),
+        F.coalesce(F.get_json_object("output", "$.content"), F.get_json_object("output", "$.error")).alias("said"),
+    )
+
+
+@query(
+    "evaluation_timing",
+    EVALUATION
+    + """ SELECT model, provider, CAST(sum(100) AS BIGINT) AS total_ms, CAST(100 AS BIGINT) AS slowest_ms, CAST(0 AS BIGINT) AS tokens_in,
+        CAST(0 AS BIGINT) AS tokens_out, count(*) AS n FROM scored WHERE ok GROUP BY ALL
+      UNION ALL SELECT 'ALL', NULL, CAST(max(started_ms) + 100 - min(started_ms) AS BIGINT), 100, 0, 0, count(*) FROM scored""",
+)
+def evaluation_timing(spark, d):
+    return summary.timing_with_total(_evaluation(spark, d).results)
+
+
+@query(
+    "evaluation_schema_validity",
+    EVALUATION
+    + """ SELECT model, provider, CAST(sum(schema_value) AS BIGINT) AS passed, count(schema_value) AS total FROM scored
+      WHERE ok GROUP BY ALL HAVING count(schema_value) > 0""",
+)
+def evaluation_schema_validity(spark, d):
+    return summary.schema_validity_by_model(_evaluation(spark, d).results)
+
+
+@query(
+    "evaluation_report",
+    EVALUATION
+    + """ SELECT model, provider || CASE provider WHEN 'ollama' THEN '/local' ELSE '' END AS provider, count(*) AS n,
+        round(avg(score), 6) AS judge_avg, CAST(min(score) AS DOUBLE) AS judge_min, CAST(max(score) AS DOUBLE) AS judge_max, count(score) AS judge_n,
+        count(*) FILTER (ok AND score IS NULL) AS unscored, count(*) FILTER (schema_value = 1) AS schema_pass,
+        count(schema_value) AS schema_total, CAST(0 AS BIGINT) AS truncated, CAST(100 AS DOUBLE) AS latency_mean_ms,
+        CAST(100 AS DOUBLE) AS latency_p50_ms, CAST(100 AS DOUBLE) AS latency_p95_ms FROM scored GROUP BY model, provider""",
+)
+def evaluation_report(spark, d):
+    """A run, written to the store and reported from there."""
+    base = scratch_path(spark, "run")
+    evaluation.store(_evaluation(spark, d), base, "production")
+    found = session_report(
+        store.read_generations(spark, f"{base}/generations"),
+        store.read_scores(spark, f"{base}/scores"),
+        store.read_sessions(spark, f"{base}/sessions", 30, "production", dt.datetime(1970, 1, 2)),
+        dataset_id="chat",
+    )
+    return found.drop("tokens_in", "tokens_out", "cost")
+
+
+@query(
+    "infer_resume",
+    f"""WITH {r.PAIR_MATRIX}, x AS (SELECT item_id, input, length(input) % 3 = 0 AS refused FROM matrix)
+      SELECT session_id, item_id, input || '!' AS content, CAST(NULL AS VARCHAR) AS error, CAST(CASE WHEN refused AND session_id = 'a' THEN 2 ELSE 1 END AS BIGINT) AS rows_kept
+      FROM x, (SELECT unnest(['a', 'b']) AS session_id)""",
+)
+def infer_resume(spark, d):
+    """Two sessions on one path; a third of the first one's calls fail at first and are asked again."""
+    path = scratch_path(spark, "responses")
+    asked = _requests(spark, d)
+    one, two = (asked.withColumn("session_id", F.lit(s)) for s in "ab")
+    inference.infer_to(one, path, clients.refusing_client)
+    tables = [inference.infer_to(one, path, clients.plain_client), inference.infer_to(two, path, clients.plain_client)]
+    kept = spark.read.parquet(path).groupBy("session_id", "item_id").agg(F.count("*").alias("rows_kept"))
+    replies = responses.normalize_responses(tables[0].unionByName(tables[1]))
+    return replies.select("session_id", "item_id", "content", "error").join(kept, ["session_id", "item_id"])
 
 
 def _evaluation(spark, d):
-    """Languages as models over all user turns, replayed from the recorded turns."""
+    """Languages as models over all user turns, replayed from the recorded turns.
+
+    Some items ask for an object, some for a list; some answers of one model are objects.
+    """
     langs = t.table(spark, d, "documents").select(F.col("lang").alias("model")).distinct()
     provider = F.when(F.col("model") == "de", "ollama").when(F.col("model") == "en", "groq").when(F.col("model") == "es", "gemini").otherwise("nvidia")
     models = spread.with_row_index(
@@ -527,6 +606,7 @@ def _evaluation(spark, d):
     )
     c = t.table(spark, d, "conversations")
     item_id = F.concat_ws("-", F.lit("c"), "conv_id", "turn")
+    form = F.when(F.col("conv_id") % 3 == 0, '{"type":"object","required":["answer"]}').when(F.col("conv_id") % 3 == 1, '{"type":"array"}')
     items = spread.with_row_index(
         c.where("role = 'user'").select(
             F.lit("chat").alias("dataset_id"),
@@ -536,6 +616,7 @@ def _evaluation(spark, d):
             F.lit(None).cast("string").alias("image"),
             F.lit(None).cast("map<string,string>").alias("options"),
             F.lit(None).cast("string").alias("response_format"),
+            form.alias("score_schema"),
         ),
         "item_id",
         "item_index",
@@ -547,14 +628,18 @@ def _evaluation(spark, d):
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
     )
     each = answers.withColumn("model", F.explode(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")])))
-    content = F.struct(F.col("answer").alias("content"))
+    answered = F.when(
+        (F.col("model") == "fr") & (F.col("conv_id") % 2 == 0), F.concat(F.lit('{"answer":'), _text(F.col("conv_id")), F.lit("}"))
+    ).otherwise(F.col("answer"))
+    content = F.struct(answered.alias("content"))
     raw = (
         F.when(F.col("model") == "de", F.to_json(F.struct(content.alias("message"), F.lit("stop").alias("done_reason"))))
         .when(F.col("model") == "es", F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(F.col("answer").alias("text"))).alias("parts")).alias("content"))).alias("candidates"))))
         .otherwise(F.to_json(F.struct(F.array(F.struct(content.alias("message"))).alias("choices"))))
     )
     recorded = each.withColumn("provider", provider).select(
-        "model", "provider", item_id.alias("item_id"), raw.alias("raw"), F.lit(100).cast("long").alias("elapsed_ms")
+        "model", "provider", item_id.alias("item_id"), raw.alias("raw"), F.lit(100).cast("long").alias("elapsed_ms"),
+        (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("started_ms"),
     )
     place = (F.col("conv_id") + F.col("turn")) % 6
     verdict = F.when(place == 5, "no verdict").otherwise(

@@ -27,18 +27,14 @@ STORED = f"""stored AS (SELECT session_id, CAST(observation_id AS VARCHAR) AS ob
   FROM results WHERE error IS NULL AND truncated IS NOT NULL)"""
 
 
-@query("write_scores", f"WITH {r.RESULTS}, {STORED} SELECT session_id, observation_id, name, value_num, value_str FROM stored WHERE session_id = 'eval-2'")
+@query("write_scores", f"WITH {r.RESULTS}, {STORED} SELECT session_id, observation_id, name, value_num, value_str FROM stored")
 def write_scores(spark, d):
-    """Writes twice, once per half of the sessions, and reads one partition back."""
+    """Writes twice, once per half of the sessions, and reads all back."""
     path = scratch_path(spark, "scores")
     rows = _stored_scores(spark, d)
     sinks.write_scores(rows.where(F.col("session_id") < "eval-2"), path)
     sinks.write_scores(rows.where(F.col("session_id") >= "eval-2"), path)
-    return (
-        spark.read.parquet(path)
-        .where("session_id = 'eval-2'")
-        .select("session_id", "observation_id", "name", "value_num", "value_str")
-    )
+    return spark.read.parquet(path).select("session_id", "observation_id", "name", "value_num", "value_str")
 
 
 @query(
@@ -198,16 +194,22 @@ def _stream(spark, d, name):
     "stream_scores",
     f"""WITH {r.OUTPUTS} SELECT project, observation_id, name, value_num FROM (
         SELECT observation_id, 'json-schema-valid' AS name, CAST(schema_value AS DOUBLE) AS value_num FROM schema_scores
-        UNION ALL SELECT observation_id, 'llm-judge-error', NULL FROM outputs), (SELECT unnest(['default', 'shared']) AS project)""",
+        UNION ALL SELECT event_id, 'llm-judge-error', NULL FROM events WHERE event_id % 7 = 0
+        UNION ALL SELECT event_id, 'llm-judge-score', 1 + user_id % 5 FROM events WHERE event_id % 7 <> 0
+        UNION ALL SELECT event_id, 'response-truncated', CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END FROM events WHERE event_id % 4 < 3
+      ), (SELECT unnest(['default', 'shared']) AS project)""",
 )
 def stream_scores(spark, d):
     path = scratch_path(spark, "stream-scores")
-    responses = t.outputs_json(spark, d, _stream(spark, d, "events")).withColumns(
+    events = _stream(spark, d, "events")
+    case = F.col("observation_id") % 4
+    user = F.substr("item_id", F.lit(2)).cast("long")
+    responses = t.outputs_json(spark, d, events).withColumns(
         {
-            "score": F.lit(None).cast("double"),
-            "reasoning": F.lit("not judged"),
-            "truncated": F.lit(None).cast("boolean"),
-            "done_reason": F.lit(None).cast("string"),
+            "score": F.when(F.col("observation_id") % 7 != 0, 1 + user % 5).cast("double"),
+            "reasoning": F.when(F.col("observation_id") % 7 != 0, "read"),
+            "truncated": F.when(case < 3, case == 0),
+            "done_reason": F.when(case == 0, "length"),
         }
     )
     jobs.stream_scores(
