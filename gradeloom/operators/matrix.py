@@ -65,7 +65,8 @@ def eval_matrix(models: DataFrame, items: DataFrame) -> DataFrame:
     Needs `model_index` and `item_index`, 0-based and without gaps (see
     `with_row_index`). Items are repeated once per model by an index sequence
     and meet the models in an equi-join, so neither side has to fit in memory.
-    Keep images out of `items`: carry a media id and join the bytes later.
+    Keep images out of `items`: carry a media id and join the bytes later, as
+    `plan_requests` does.
     """
     sides = models.agg(F.count("*")).scalar()
     n_items = items.agg(F.count("*")).scalar()

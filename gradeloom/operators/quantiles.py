@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradeloom.operators.spread import constant_array, join_null_safe, with_count_below
+from gradeloom.operators.spread import broadcast_bytes, constant_array, join_null_safe, partitions, with_count_below
 
-# Up to this many groups the wanted buckets are broadcast: a few rows per group.
-BROADCAST_GROUPS = 20_000
+# Bytes that a group's wanted buckets take in a broadcast, for each wanted quantile: two rows at most.
+GROUP_BYTES = 256
 
 
 def _low(q: float) -> Column:
@@ -25,7 +25,7 @@ def _within(rank: Column, start: Column, end: Column) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, by: list[str], value: str, wanted: dict[str, float], buckets: int = 256
+    df: DataFrame, by: list[str], value: str, wanted: dict[str, float], buckets: int | None = None
 ) -> DataFrame:
     """One row per group with a column per entry of `wanted` (name -> quantile).
 
@@ -33,11 +33,14 @@ def exact_quantiles(
     buffer. Here the value range is cut into `buckets` even parts, the parts are
     counted per group, and only those that hold a wanted rank are shuffled and
     sorted, each part in its own task. No task sorts more than about 1/buckets
-    of the distinct values of the whole table, however large one group is.
+    of the distinct values of the whole table, however large one group is. There
+    are as many parts as the session has partitions, and 256 at least.
 
     Cutting the range runs a job when this is called; it returns `buckets`
-    numbers and the rough number of groups, which decides on the broadcast.
+    numbers and the rough number of groups, which says whether the wanted parts
+    are small enough to broadcast by the session's own limit.
     """
+    buckets = buckets or max(256, partitions(df))
     present = df.select(*by, F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
@@ -64,7 +67,7 @@ def exact_quantiles(
         for rank in (_low(q), _high(q)):
             holds_a_rank = holds_a_rank | _within(rank, F.col("_before"), F.col("_before") + F.col("_c"))
     targets = placed.where(holds_a_rank).select(*by, "_bucket", "_n", "_before")
-    if sketch[1] <= BROADCAST_GROUPS:
+    if sketch[1] * GROUP_BYTES * len(wanted) <= broadcast_bytes(df):
         targets = F.broadcast(targets)
 
     # Only the wanted buckets are left; equal values are merged before they are shuffled.

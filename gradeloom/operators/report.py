@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom import fixed
@@ -106,9 +106,10 @@ def model_report(
     """One row per model over stored generations and scores.
 
     Generations are counted and summed without any join. Only `(id, group)`
-    pairs meet the folded scores, so that join shuffles two narrow columns.
-    Groups by model name alone unless `by` also names the provider. Two sketch
-    jobs run when this is called (see `exact_quantiles`, `join_unique`).
+    pairs meet the folded scores, so that join shuffles two narrow columns; ids
+    are unique here, so no key of it is hot. Groups by model name alone unless
+    `by` also names the provider. A sketch job runs when this is called (see
+    `exact_quantiles`).
     """
     keys = list(by)
     named = named_generations(generations)
@@ -138,9 +139,8 @@ def model_report(
     )
 
     scored = (
-        join_unique(
-            named.select("observation_id", *keys), scores_by_observation(scores), "observation_id", "inner"
-        )
+        named.select("observation_id", *keys)
+        .join(scores_by_observation(scores), "observation_id")
         .groupBy(*keys)
         .agg(
             *[F.sum(c).alias(c) for c in SCORE_TOTALS],
@@ -184,11 +184,10 @@ def order_report(report: DataFrame) -> DataFrame:
 
 def best_models(report: DataFrame) -> DataFrame:
     """Models within the tie margin of the highest judge average, with a tie flag."""
-    best = report.agg(F.max("judge_avg")).scalar()
-    close = report.where(F.abs(F.col("judge_avg") - best) < fixed.TIE_MARGIN)
-    # A scalar over the same filter; one row per model, so this stays small.
-    tied = close.agg(F.count("*")).scalar()
-    return close.select("model", "judge_avg", "judge_n", (tied > 1).alias("tie"))
+    every = Window.partitionBy(F.lit(0))  # one row per model, so this stays small
+    best = report.select("model", "judge_avg", "judge_n", F.max("judge_avg").over(every).alias("_best"))
+    close = best.where(F.abs(F.col("judge_avg") - F.col("_best")) < fixed.TIE_MARGIN)
+    return close.select("model", "judge_avg", "judge_n", (F.count("*").over(every) > 1).alias("tie"))
 
 
 def fastest_model(report: DataFrame) -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradeloom.session import scratch_path
+
 
 def salted_join(
     large: DataFrame,
@@ -16,46 +19,62 @@ def salted_join(
     on: list[str],
     how: str,
     salt_by: list[str],
-    salts: int = 16,
+    salts: int | None = None,
 ) -> DataFrame:
     """Joins a large table to a much smaller one that has one row per key.
 
     The small side is copied once per salt and each row of the large side picks
     one salt, so a key that holds a third of the large side is spread over
     `salts` tasks. No broadcast is forced: where the small side is measured to
-    be small, Spark broadcasts it by itself and the salt costs nothing.
+    be small, Spark broadcasts it by itself and the salt costs nothing. Without
+    a number of salts it is the root of the session's number of partitions, so
+    that both the copies and the share of a task stay small against the whole.
     """
+    salts = salts or max(2, math.isqrt(partitions(large)))
     salt = "_salt"
     spread = large.withColumn(salt, F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
     copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [*on, salt], how).drop(salt)
 
 
-def hot_keys(df: DataFrame, key: str, share: float = 0.005, least: int = 1_000_000) -> list:
-    """Keys (null included) that hold more than `share` of the rows and at least `least` of them.
+def partitions(df: DataFrame) -> int:
+    """Partitions of a shuffle in the table's session."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def broadcast_bytes(df: DataFrame) -> int:
+    """Size up to which the table's session broadcasts, 0 where it never does."""
+    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").lower().removesuffix("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(text[-1:], 1)
+    return max(0, int(text.rstrip("kmg")) * unit)
 
-    Runs a job: a bounded frequent-items sketch over one column. Its error is
-    far below `share`, so no such key is missed; at most 1/share keys come back.
+
+def hot_keys(df: DataFrame, key: str, share: float | None = None) -> list:
+    """Keys (null included) that hold more than `share` of the rows: by default more than a partition's.
+
+    Runs a job: a bounded frequent-items sketch over one column. At most
+    1/share keys come back.
     """
-    limit = int(1 / share)
+    share = share or 1 / partitions(df)
+    limit = math.ceil(1 / share)
     counted = df.agg(
         F.count("*").alias("n"),
         F.count_if(F.col(key).isNull()).alias("nulls"),
-        F.expr(f"approx_top_k(`{key}`, {limit}, 50000)").alias("top"),
+        F.expr(f"approx_top_k(`{key}`, {limit}, {max(50_000, 10 * limit)})").alias("top"),
     ).first()
-    floor = max(share * counted["n"], least)
+    floor = max(share * counted["n"], 2)
     found = [row[0] for row in counted["top"] or [] if row[0] is not None and row[1] >= floor]
     return found + ([None] if counted["nulls"] >= floor else [])
 
 
-def join_unique(large: DataFrame, unique: DataFrame, key: str, how: str, least: int = 1_000_000) -> DataFrame:
+def join_unique(large: DataFrame, unique: DataFrame, key: str, how: str, share: float | None = None) -> DataFrame:
     """Joins a table with one that has a row per key, whatever the skew of the first.
 
     Rows of hot keys are joined apart: the other side has one row for each of
     those few keys, so that part is a broadcast of bounded size. For left, inner
     and left_semi joins. Finding the hot keys runs a job when this is called.
     """
-    hot = hot_keys(large, key, least=least)
+    hot = hot_keys(large, key, share)
     if not hot:
         return large.join(unique, key, how)
     values = [k for k in hot if k is not None]
@@ -94,40 +113,22 @@ def with_count_below(df: DataFrame, value: str, bounds: Column, size: int, name:
     return found
 
 
-def key_bounds(df: DataFrame, key: str, buckets: int) -> list:
-    """Up to `buckets - 1` ascending keys that cut a unique key into even ranges.
-
-    The keys with the smallest hashes are an even, repeatable sample of any
-    orderable type. This runs a job; its result is at most `buckets - 1` keys.
-    """
-    sample = df.select(F.col(key).alias("k")).orderBy(F.xxhash64("k"), "k").limit(buckets - 1)
-    return sample.agg(F.sort_array(F.collect_list("k"))).first()[0]
-
-
-def with_row_index(df: DataFrame, key: str, name: str, buckets: int = 256) -> DataFrame:
+def with_row_index(df: DataFrame, key: str, name: str) -> DataFrame:
     """Adds the 0-based position of each row in the order of a unique key.
 
-    A plain row_number over the whole table would sort it in one task. Here rows
-    are numbered inside key ranges, and each range adds the size of those before.
-    Finding the ranges runs a job when this is called.
+    A plain row_number over the whole table would sort it in one task. Here the
+    keys alone are sorted in ranges and written to the shared folder, with
+    numbers that begin anew in each range. A range adds the size of those
+    before it; the ranges are as many as the session has partitions, so their
+    sizes are few. The rows then get the numbers by a join on the key.
     """
-    bounds = constant_array(key_bounds(df, key, buckets), df.schema[key].dataType)
-    ranged = with_count_below(df, key, bounds, buckets - 1, "_range")
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    # At most `buckets` rows, so one task and a broadcast are bounded.
-    before = sizes.select(
-        "_range",
-        F.coalesce(
-            F.sum("_n").over(
-                Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("_before"),
-    )
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
-    return (
-        ranged.withColumn("_inside", inside)
-        .join(F.broadcast(before), "_range")
-        .withColumn(name, F.col("_before") + F.col("_inside"))
-        .drop("_range", "_inside", "_before")
-    )
+    keys = df.select(key).repartitionByRange(partitions(df), key).sortWithinPartitions(key)
+    path = scratch_path(df.sparkSession, "row-index")
+    keys.select(key, F.monotonically_increasing_id().alias("_id")).write.parquet(path)
+    numbered = df.sparkSession.read.parquet(path).withColumn("_range", F.shiftright("_id", 33))
+    sizes = numbered.groupBy("_range").agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    index = numbered.join(before, "_range").select(F.col(key).alias("_key"), (F.col("_before") + inside).alias(name))
+    return df.join(index, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from gradeloom import fixed
 from gradeloom.operators import report
-from gradeloom.sources.store import of_sessions
+from gradeloom.sources.store import of_sessions, read_generations, read_scores, read_sessions
 
 
 def session_report(
@@ -26,3 +26,20 @@ def session_report(
     if dataset_id is not None:
         kept = report.filter_dataset(kept, dataset_id)
     return report.order_report(report.model_report(kept, scores, by, exact))
+
+
+def stored_report(
+    spark: SparkSession, base: str, since_days: float = fixed.DEFAULT_SINCE_DAYS, environment: str | None = None,
+    now=None, last: float = fixed.DEFAULT_LAST_SESSIONS, dataset_id: str | None = None,
+) -> DataFrame:
+    """The report over a store's folders (generations, scores, sessions), reading the chosen sessions' folders alone.
+
+    The chosen sessions are at most `last`, so their ids are read first.
+    """
+    sessions = read_sessions(spark, f"{base}/sessions", since_days, environment, now)
+    chosen = [r["session_id"] for r in report.latest_sessions(sessions, last).collect()]
+    kept = read_generations(spark, f"{base}/generations", chosen)
+    if dataset_id is not None:
+        kept = report.filter_dataset(kept, dataset_id)
+    scores = read_scores(spark, f"{base}/scores", session_ids=chosen)
+    return report.order_report(report.model_report(kept, scores))

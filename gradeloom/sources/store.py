@@ -32,9 +32,21 @@ def read_generations(
     return of_sessions(spark.read.schema(schemas.GENERATIONS).parquet(path), session_ids)
 
 
-def read_scores(spark: SparkSession, path: str, observation_ids: DataFrame | None = None) -> DataFrame:
-    """Stored score rows that belong to an observation, optionally to given ones."""
-    scores = spark.read.schema(schemas.SCORES).parquet(path).where(F.col("observation_id").isNotNull())
+def read_scores(
+    spark: SparkSession,
+    path: str,
+    observation_ids: DataFrame | None = None,
+    session_ids: DataFrame | list[str] | None = None,
+) -> DataFrame:
+    """Stored score rows that belong to an observation, optionally to given ones or to given sessions.
+
+    Sessions prune the folders that `write_scores` makes, so that other
+    sessions' scores aren't read.
+    """
+    layout = schemas.SCORES if session_ids is None else f"{schemas.SCORES}, session_id string"
+    scores = spark.read.schema(layout).parquet(path).where(F.col("observation_id").isNotNull())
+    if session_ids is not None:
+        scores = of_sessions(scores, session_ids).drop("session_id")
     if observation_ids is None:
         return scores
     wanted = observation_ids.select("observation_id").distinct()

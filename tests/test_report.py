@@ -8,8 +8,9 @@ import pytest
 from conftest import one, rows
 from pyspark.sql import functions as F
 
+from gradeloom import schemas, scratch_path
 from gradeloom.functions import identity
-from gradeloom.operators import quantiles, report, spread
+from gradeloom.operators import quantiles, report, sinks, spread
 from gradeloom.plans.report import session_report
 from gradeloom.sources import store
 
@@ -104,10 +105,10 @@ def test_join_unique_splits_hot_keys(spark):
     data = [("hot", i) for i in range(400)] + [(None, i) for i in range(300)] + [(f"k{i}", i) for i in range(300)]
     large = spark.createDataFrame(data, "k string, i long").repartition(8)
     unique = spark.createDataFrame([("hot", 1)] + [(f"k{i}", 2) for i in range(0, 300, 2)], "k string, v long")
-    assert set(spread.hot_keys(large, "k", least=100)) == {"hot", None}
+    assert set(spread.hot_keys(large, "k", 0.1)) == {"hot", None}
     for how in ("left", "inner", "left_semi"):
         plain = large.join(unique, "k", how)
-        split = spread.join_unique(large, unique, "k", how, least=100)
+        split = spread.join_unique(large, unique, "k", how, 0.1)
         assert sorted(map(str, rows(split))) == sorted(map(str, rows(plain)))
         assert split.columns == plain.columns
 
@@ -147,7 +148,7 @@ def test_exact_quantiles_against_brute_force(spark, buckets):
 
 
 def test_exact_quantiles_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(quantiles, "GROUP_BYTES", 1 << 40)
     df = spark.range(1000).selectExpr("id % 7 as g", "cast(id * id % 101 as double) as v")
     found = rows(quantiles.exact_quantiles(df, ["g"], "v", {"m": 0.5}), "g")
     expected = [brute([float(i * i % 101) for i in range(1000) if i % 7 == g], 0.5) for g in range(7)]
@@ -164,11 +165,10 @@ def test_approx_quantiles(spark):
     assert one(quantiles.approx_quantiles(df, ["g"], "v", {"m": 0.5}))["m"] == pytest.approx(500, abs=2)
 
 
-@pytest.mark.parametrize("buckets", [2, 7, 256])
-def test_row_index(spark, buckets):
+def test_row_index(spark):
     keys = [f"key-{i * 37 % 1000:04d}" for i in range(1000)]
     df = spark.createDataFrame([(k,) for k in keys], "k string").repartition(6)
-    found = rows(spread.with_row_index(df, "k", "at", buckets), "k")
+    found = rows(spread.with_row_index(df, "k", "at"), "k")
     assert [r["at"] for r in found] == list(range(1000))
 
 
@@ -265,3 +265,32 @@ def test_provider_tag(spark):
         identity.provider_tag(F.col("p"), F.col("u")).alias("given"), identity.provider_tag(F.col("p")).alias("default")
     )
     assert rows(tagged) == [{"given": "ollama/remote", "default": "ollama/local"}, {"given": "groq", "default": "groq"}]
+
+
+def test_other_sessions_scores_are_not_read(spark):
+    path = scratch_path(spark, "scores")
+    made = [(f"eval-{i}", f"o{i}", "llm-judge-score", 1.0, None, "NUMERIC", None) for i in range(6)]
+    sinks.write_scores(spark.createDataFrame(made, f"session_id string, {schemas.SCORES}"), path)
+    kept = store.read_scores(spark, path, session_ids=["eval-1", "eval-4"])
+    assert "PartitionFilters: [session_id" in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["observation_id"] for r in kept.collect()) == ["o1", "o4"]
+    chosen = spark.createDataFrame([("eval-2",)], "session_id string")
+    assert [r["observation_id"] for r in store.read_scores(spark, path, session_ids=chosen).collect()] == ["o2"]
+
+
+def test_the_report_runs_no_job_for_hot_ids(spark):
+    gens = spark.createDataFrame([gen("1"), gen("2")], GENS)
+    scores = spark.createDataFrame([("1", "llm-judge-score", 4.0, None)], SCORES)
+    plan = report.model_report(gens, scores, exact=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "approx_top_k" not in plan and plan.count("LogicalRDD") <= 4
+
+
+def test_broadcast_limit_is_read_from_the_session(spark):
+    df = spark.range(1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for text, size in (("256k", 256 << 10), ("10MB", 10 << 20), ("-1", 0), ("77", 77), ("77b", 77)):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", text)
+            assert spread.broadcast_bytes(df) == size
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

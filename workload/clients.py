@@ -82,3 +82,15 @@ def refusing_client():
         return plain_client()(body, row)
 
     return call
+
+
+def probed_client():
+    """Refuses the key of one provider; another one is out of order."""
+
+    def call(body: dict, row: dict) -> dict:
+        failing = {"nvidia": "API error (403)", "gemini": "API error (500)"}
+        if row["provider"] in failing:
+            raise RuntimeError(failing[row["provider"]])
+        return _reply(row["provider"], "pong", "ping")
+
+    return call

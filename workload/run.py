@@ -10,8 +10,9 @@ from gradeloom import fixed, scratch_path
 from gradeloom.functions import identity
 from gradeloom.operators import inference, judging, matrix, media, observations, preflight, requests, responses, spread, summary
 from gradeloom.plans import evaluation
-from gradeloom.plans.report import session_report
-from gradeloom.sources import datasets, store
+from gradeloom.plans import preflight as preflight_plan
+from gradeloom.plans.report import stored_report
+from gradeloom.sources import datasets
 from workload import clients
 from workload import registry as r
 from workload import tables as t
@@ -114,6 +115,22 @@ def not_vision_capable(spark, d):
     return preflight.not_vision_capable(t.model_list(spark, d), _catalog(spark, d))
 
 
+@query(
+    "preflight",
+    f"""WITH {MODELS}, {CATALOG}, asked AS (SELECT provider, model FROM models UNION SELECT 'groq', 'openai/gpt-oss-20b')
+      SELECT 'missing' AS "check", provider, model AS name, CAST(NULL AS VARCHAR) AS message, true AS fatal FROM asked ANTI JOIN catalog USING (provider, model)
+      UNION ALL SELECT 'probe', provider, min(model), CASE provider WHEN 'nvidia' THEN 'API error (403)' ELSE 'API error (500)' END, provider = 'nvidia'
+        FROM asked WHERE provider IN ('nvidia', 'gemini') GROUP BY provider
+      UNION ALL SELECT DISTINCT 'vision', provider, model, NULL, false FROM models JOIN catalog USING (provider, model) WHERE NOT vision""",
+)
+def preflight_findings(spark, d):
+    """Models of a run and its judge; one provider refuses the key, one is out of order."""
+    listed = _catalog(spark, d)
+    return preflight_plan.preflight(
+        t.model_list(spark, d), listed, clients.probed_client, details=listed, max_concurrency=2, max_retries=0
+    )
+
+
 def _catalog_replies(spark, d):
     """One catalog reply per supplier, in the shape of its provider."""
     s = t.table(spark, d, "supplier")
@@ -565,12 +582,7 @@ def evaluation_report(spark, d):
     """A run, written to the store and reported from there."""
     base = scratch_path(spark, "run")
     evaluation.store(_evaluation(spark, d), base, "production")
-    found = session_report(
-        store.read_generations(spark, f"{base}/generations"),
-        store.read_scores(spark, f"{base}/scores"),
-        store.read_sessions(spark, f"{base}/sessions", 30, "production", dt.datetime(1970, 1, 2)),
-        dataset_id="chat",
-    )
+    found = stored_report(spark, base, 30, "production", dt.datetime(1970, 1, 2), dataset_id="chat")
     return found.drop("tokens_in", "tokens_out", "cost")
 
 
