@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions.json_text import strict_json
 from gradeloom.functions.text import not_empty
+from gradeloom.session import scratch_path
 
 
 def missing_models(requested: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -126,11 +127,49 @@ def _deletions(text: Column, depth: int) -> Column:
     return F.transform(F.array_distinct(found), lambda x: F.xxhash64(x))
 
 
+# Texts up to this length meet on deletion variants, which grow with the square of it; longer ones on segments.
+SHORT = 32
+
+
+def _cut(length: Column, i: int, parts: int) -> Column:
+    return F.floor(length * i / parts).cast("int")
+
+
+def _segments(text: Column, distance: int) -> Column:
+    """Hashes of the text's distance + 1 segments: two texts within the distance share one, nearly in place."""
+    parts, n = distance + 1, F.length(text)
+    return F.array(
+        *[
+            F.xxhash64(n, F.lit(i), F.substr(text, _cut(n, i, parts) + 1, _cut(n, i + 1, parts) - _cut(n, i, parts)))
+            for i in range(parts)
+        ]
+    )
+
+
+def _segment_probes(text: Column, distance: int) -> Column:
+    """Hashes of all that could be a segment of a text within the distance: of any length near, at any place near."""
+    parts, steps, found = distance + 1, range(-distance, distance + 1), []
+    for longer in steps:
+        n = (F.length(text) + longer).cast("int")
+        for i in range(parts):
+            begin, size = _cut(n, i, parts), _cut(n, i + 1, parts) - _cut(n, i, parts)
+            for shift in steps:
+                piece = F.substr(text, begin + shift + 1, size)
+                found.append(F.when(begin + shift >= 0, F.xxhash64(n, F.lit(i), piece)))
+    return F.array_distinct(F.array_compact(F.array(*found)))
+
+
 def _matches(unknown: DataFrame, names: DataFrame, distance: int) -> DataFrame:
     """Best name within `distance` edits of each key that has one."""
-    variants = F.explode(_deletions(F.col("key"), distance)).alias("_variant")
-    probes = unknown.select("key", variants)
-    index = names.select(F.col("key").alias("candidate"), "ordinal", variants)
+    none, n = F.array().cast("array<bigint>"), F.length("key")
+    deletions = F.when(n <= SHORT + distance, _deletions(F.col("key"), distance)).otherwise(none)
+    segments = F.when(n > SHORT - distance, _segments(F.col("key"), distance)).otherwise(none)
+    # A short key looks among deletion variants, a long one among segments; names near the limit are in both.
+    variants = F.when(n <= SHORT, deletions).otherwise(_segment_probes(F.col("key"), distance))
+    probes = unknown.select("key", F.explode(variants).alias("_variant"))
+    index = names.select(
+        F.col("key").alias("candidate"), "ordinal", F.explode(F.concat(deletions, segments)).alias("_variant")
+    )
     # Sizes are estimated without the growth by variants, so neither side may be
     # taken for small enough to broadcast.
     return (
@@ -150,16 +189,21 @@ def closest_match(keys: DataFrame, known: DataFrame, max_distance: int = 2) -> D
     """Best known name for each unknown key, if at most `max_distance` edits away.
 
     Two texts within d edits share a text reachable from each by at most d
-    deletions, so an equi-join on those finds every true pair without comparing
-    all keys with all names. Distances are tried in turn, and only keys without
-    a match go on to the next, wider one. Smaller distance wins, then the smaller
-    `ordinal`. Known keys are not reported; keys without a match have nulls.
+    deletions, and one of d + 1 segments, so an equi-join on those finds every
+    true pair without comparing all keys with all names. Distances are tried in
+    turn, and only keys without a match go on to the next, wider one; what a
+    distance found is written to the shared folder, so that it is found once.
+    Smaller distance wins, then the smaller `ordinal`. Known keys are not
+    reported; keys without a match have nulls.
     """
+    spark = keys.sparkSession
     names = known.groupBy("key").agg(F.min("ordinal").alias("ordinal"))
     left = keys.select("key").distinct().join(names, "key", "left_anti")
     found = None
     for distance in range(1, max_distance + 1):
-        matched = _matches(left, names, distance)
+        path = scratch_path(spark, "matches")
+        _matches(left, names, distance).write.parquet(path)
+        matched = spark.read.parquet(path)
         found = matched if found is None else found.unionByName(matched)
         left = left.join(matched.select("key"), "key", "left_anti")
     nothing = {"suggestion": F.lit(None).cast("string"), "distance": F.lit(None).cast("int")}

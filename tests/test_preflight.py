@@ -1,11 +1,13 @@
 """Model lists, matrix, catalogs, misspelt names."""
 
 import json
+import random
 
 import pytest
 from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+
 from gradeloom.operators import matrix, preflight
 
 
@@ -108,3 +110,31 @@ def test_closest_match(spark):
 )
 def test_closest_match_against_brute_force(spark, keys, known):
     assert suggestions(spark, keys, known) == {k: closest(k, known) for k in keys if k not in known}
+
+
+def test_long_keys_meet_on_segments(spark):
+    """Brute force over lengths around the limit, and a key of a thousand characters."""
+    rng = random.Random(11)
+    names = ["".join(rng.choice("abcd") for _ in range(n)) for n in range(28, 40) for _ in range(3)] + ["x" * 500 + "y" * 500]
+    keys = set()
+    for name in names:
+        for edits in (1, 2, 3):
+            text = list(name)
+            for _ in range(edits):
+                at = rng.randrange(len(text))
+                rng.choice([lambda: text.pop(at), lambda: text.insert(at, "z"), lambda: text.__setitem__(at, "q")])()
+            keys.add("".join(text))
+    known = spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "key string, ordinal int")
+    found = {r["key"]: r["distance"] for r in preflight.closest_match(spark.createDataFrame([(k,) for k in keys], "key string"), known).collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    for key in keys:
+        near = [distance(key, name) for name in names if abs(len(key) - len(name)) <= 2]
+        assert found[key] == (min(near) if near and min(near) <= 2 else None), key
