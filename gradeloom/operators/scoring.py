@@ -74,16 +74,6 @@ def conformance(output: Column, schema: dict) -> Column:
     )
 
 
-def _schema_comment(output: Column, result: Column) -> Column:
-    return _comment(
-        output,
-        result["parsed"],
-        json_schema.marks_errors(result["marks"]),
-        json_schema.marks_passed(result["marks"]),
-        json_schema.marks_checked(result["marks"]),
-    )
-
-
 def _comment(output: Column, parsed: Column, errors: Column, passed: Column, checked: Column) -> Column:
     ratio = F.concat_ws("/", passed.cast("string"), checked.cast("string"))
     unreadable = F.concat(
@@ -131,10 +121,14 @@ def found_schema_score(value: str = "schema_value", comment: str = "schema_comme
     return lambda df: F.when(F.col(value).isNotNull(), numeric_score(fixed.SCHEMA_SCORE, F.col(value), F.col(comment)))
 
 
-def _schema_value(result: Column) -> Column:
-    return F.when(
-        result["parsed"] & (F.size(json_schema.marks_errors(result["marks"])) == 0), 1
-    ).otherwise(0)
+def _judged(result: Column) -> Column:
+    """Struct (parsed, errors, passed, checked) of a `conformance`; bound once, as score and comment name them often."""
+    return F.struct(
+        result["parsed"].alias("parsed"),
+        json_schema.marks_errors(result["marks"]).alias("errors"),
+        json_schema.marks_passed(result["marks"]).alias("passed"),
+        json_schema.marks_checked(result["marks"]).alias("checked"),
+    )
 
 
 def schema_score(schema: dict | None = None, schemas: dict[str, dict] | None = None,
@@ -146,10 +140,12 @@ def schema_score(schema: dict | None = None, schemas: dict[str, dict] | None = N
     """
 
     def one(body: dict) -> Column:
-        return let(
-            conformance(F.col(output), body),
-            lambda r: numeric_score(fixed.SCHEMA_SCORE, _schema_value(r), _schema_comment(F.col(output), r)),
-        )
+        def score(r: Column) -> Column:
+            value = F.when(r["parsed"] & (F.size(r["errors"]) == 0), 1).otherwise(0)
+            comment = _comment(F.col(output), r["parsed"], r["errors"], r["passed"], r["checked"])
+            return numeric_score(fixed.SCHEMA_SCORE, value, comment)
+
+        return let(let(conformance(F.col(output), body), _judged), score)
 
     def score(df: DataFrame) -> Column:
         if schema is not None:
