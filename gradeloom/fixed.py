@@ -100,3 +100,22 @@ TRIM_CHARACTERS = (
     "           "
     "    　﻿"
 )
+
+# --- fixed values: texts of score comments and reasons ------------------------
+CUT_OFF = ("Provider stopped generation early (done_reason: ", "). The output is incomplete.")
+FINISHED = ("Provider finished normally (done_reason: ", ").")
+UNPARSEABLE = ("Not parseable as JSON: ", ". First 200 chars: ")
+CONFORMS = ("Valid JSON matching the schema (", " constraints checked).")
+VIOLATES = ("Valid JSON but does not match the schema (", " problem(s), ", " constraints passed): ")
+MISSING_PROPERTY = "required property is missing"
+UNEXPECTED_PROPERTY = "unexpected property"
+WRONG_TYPE = ("expected ", ", got ")
+NOT_IN_ENUM = " is not one of "
+JUDGE_CUT_OFF = ("Judge response was truncated at ", " tokens, so no verdict could be read. Raw: ")
+JUDGE_UNREADABLE = ("Failed to parse judge output (", "). Raw: ")
+JUDGE_NOT_JSON = "not valid JSON"
+JUDGE_NO_SCORE = "score is not a finite number"
+JUDGE_CALL_FAILED = "Judge call failed: "
+
+# --- fixed values: structured output ------------------------------------------
+RESPONSE_FORMAT = ('{"type":"json_schema","json_schema":{"name":"eval_response","strict":true,"schema":', "}}")

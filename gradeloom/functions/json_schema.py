@@ -13,6 +13,7 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gradeloom import fixed
 from gradeloom.functions.text import let
 
 MARKS = "array<struct<counted:boolean,path:string,problem:string>>"
@@ -112,7 +113,7 @@ def _object_marks(node: _Node, schema: dict, path: Column) -> Column:
 
     required = schema.get("required") or []
     if required:
-        missing = F.lit("required property is missing")
+        missing = F.lit(fixed.MISSING_PROPERTY)
         groups.append(
             F.array(
                 *[
@@ -129,7 +130,7 @@ def _object_marks(node: _Node, schema: dict, path: Column) -> Column:
         groups.append(
             F.transform(
                 extra,
-                lambda key: _mark(F.concat(path, F.lit("."), key), F.lit("unexpected property"), counted=False),
+                lambda key: _mark(F.concat(path, F.lit("."), key), F.lit(fixed.UNEXPECTED_PROPERTY), counted=False),
             )
         )
 
@@ -164,7 +165,7 @@ def _marks(node: _Node, schema: dict, path: Column) -> Column:
     if isinstance(schema.get("enum"), list):
         allowed = schema["enum"]
         shown = json.dumps(allowed, separators=(",", ":"), ensure_ascii=False)
-        problem = F.concat(F.to_json(node.value), F.lit(f" is not one of {shown}"))
+        problem = F.concat(F.to_json(node.value), F.lit(f"{fixed.NOT_IN_ENUM}{shown}"))
         groups.append(F.array(_mark(path, F.when(~_in_enum(node, allowed), problem))))
 
     if schema.get("required") or schema.get("properties") or schema.get("additionalProperties") is False:
@@ -185,7 +186,7 @@ def _marks(node: _Node, schema: dict, path: Column) -> Column:
     for name in types:
         matches = matches | F.coalesce(_has_type(node, name), F.lit(False))
     passed = F.array(_mark(path, F.lit(None)))
-    failed = F.array(_mark(path, F.concat(F.lit(f"expected {'|'.join(types)}, got "), _type_name(node))))
+    failed = F.array(_mark(path, F.concat(F.lit(f"{fixed.WRONG_TYPE[0]}{'|'.join(types)}{fixed.WRONG_TYPE[1]}"), _type_name(node))))
     return F.when(matches, F.concat(passed, body) if body is not None else passed).otherwise(failed)
 
 

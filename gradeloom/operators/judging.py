@@ -87,8 +87,8 @@ def parse_verdicts(
         bare = F.regexp_replace(bare, fence, "")
     verdict = F.col("_verdict")
     cut = F.coalesce(F.col(truncated), F.lit(False))
-    problem = F.when(~verdict["readable"], "not valid JSON").otherwise("score is not a finite number")
-    too_long = f"Judge response was truncated at {max_tokens} tokens, so no verdict could be read. Raw: "
+    problem = F.when(~verdict["readable"], fixed.JUDGE_NOT_JSON).otherwise(fixed.JUDGE_NO_SCORE)
+    too_long = str(max_tokens).join(fixed.JUDGE_CUT_OFF)
     return (
         df.withColumn("_verdict", let(strict_json(bare), _read_verdict))
         .withColumns(
@@ -97,7 +97,7 @@ def parse_verdicts(
                 "reasoning": F.when(cut, F.concat(F.lit(too_long), text))
                 .when(
                     verdict["score"].isNull(),
-                    F.concat(F.lit("Failed to parse judge output ("), problem, F.lit("). Raw: "), text),
+                    F.concat(F.lit(fixed.JUDGE_UNREADABLE[0]), problem, F.lit(fixed.JUDGE_UNREADABLE[1]), text),
                 )
                 .otherwise(F.coalesce(verdict["reasoning"], F.lit(""))),
             }
@@ -158,7 +158,7 @@ def judge(
         F.when(answered & ~failed, F.col("score")).alias("score"),
         F.when(
             answered,
-            F.when(failed, F.concat(F.lit("Judge call failed: "), F.col("error"))).otherwise(F.col("reasoning")),
+            F.when(failed, F.concat(F.lit(fixed.JUDGE_CALL_FAILED), F.col("error"))).otherwise(F.col("reasoning")),
         ).alias("reasoning"),
         F.when(answered, failed).alias("judge_failed"),
     )

@@ -62,11 +62,7 @@ def to_response_format(schema: Column) -> Column:
     """JSON text of the structured-output request for a schema text; null without one."""
     return F.when(
         schema.isNotNull(),
-        F.concat(
-            F.lit('{"type":"json_schema","json_schema":{"name":"eval_response","strict":true,"schema":'),
-            schema,
-            F.lit("}}"),
-        ),
+        F.concat(F.lit(fixed.RESPONSE_FORMAT[0]), schema, F.lit(fixed.RESPONSE_FORMAT[1])),
     )
 
 

@@ -57,8 +57,8 @@ def truncation_score(truncated: str = "truncated", done_reason: str = "done_reas
         cut = F.col(truncated)
         reason = F.coalesce(F.col(done_reason), F.when(cut, "length").otherwise("stop"))
         comment = F.when(
-            cut, F.concat(F.lit("Provider stopped generation early (done_reason: "), reason, F.lit("). The output is incomplete."))
-        ).otherwise(F.concat(F.lit("Provider finished normally (done_reason: "), reason, F.lit(").")))
+            cut, F.concat(F.lit(fixed.CUT_OFF[0]), reason, F.lit(fixed.CUT_OFF[1]))
+        ).otherwise(F.concat(F.lit(fixed.FINISHED[0]), reason, F.lit(fixed.FINISHED[1])))
         return F.when(cut.isNotNull(), numeric_score(fixed.TRUNCATION_SCORE, cut.cast("int"), comment))
 
     return score
@@ -77,18 +77,18 @@ def conformance(output: Column, schema: dict) -> Column:
 def _comment(output: Column, parsed: Column, errors: Column, passed: Column, checked: Column) -> Column:
     ratio = F.concat_ws("/", passed.cast("string"), checked.cast("string"))
     unreadable = F.concat(
-        F.lit("Not parseable as JSON: "),
+        F.lit(fixed.UNPARSEABLE[0]),
         loose_parse_error(output),
-        F.lit(". First 200 chars: "),
+        F.lit(fixed.UNPARSEABLE[1]),
         F.left(F.coalesce(output, F.lit("")), F.lit(200)),
     )
-    conforms = F.concat(F.lit("Valid JSON matching the schema ("), ratio, F.lit(" constraints checked)."))
+    conforms = F.concat(F.lit(fixed.CONFORMS[0]), ratio, F.lit(fixed.CONFORMS[1]))
     violates = F.concat(
-        F.lit("Valid JSON but does not match the schema ("),
+        F.lit(fixed.VIOLATES[0]),
         F.size(errors).cast("string"),
-        F.lit(" problem(s), "),
+        F.lit(fixed.VIOLATES[1]),
         ratio,
-        F.lit(" constraints passed): "),
+        F.lit(fixed.VIOLATES[2]),
         F.array_join(errors, "; "),
     )
     return F.when(~parsed, unreadable).when(F.size(errors) == 0, conforms).otherwise(violates)
