@@ -243,8 +243,10 @@ def scored(
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label")).where(
         F.col("label").isin(0, 1)
     )
+    # Labels are drawn before they meet the vectors: a bounded number of narrow rows, so they can be broadcast.
+    drawn = known.orderBy(F.xxhash64("id"), "id", "label").limit(how.sample)
     order = [F.xxhash64("id"), "id", "_k1", "_k2", "label"]
-    sample = pooled.join(known, "id").orderBy(*order).limit(how.sample).select("vector", "label").toArrow()
+    sample = pooled.join(F.broadcast(drawn), "id").orderBy(*order).limit(how.sample).select("vector", "label").toArrow()
     data = b"".join(sample.column("vector").to_pylist())
     x = np.frombuffer(data, "<f4").reshape(-1, 2 * SIZE).astype(np.float64)
     network = Network(x, np.array(sample.column("label").to_pylist(), np.float64), how)
