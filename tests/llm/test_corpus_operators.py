@@ -25,6 +25,7 @@ from gradeloom.llm import (
     queries,
     simhash,
 )
+from gradeloom.llm.common import keyed
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -461,6 +462,24 @@ def test_held_out_texts_teach_nothing(spark):
     assert kept and all(one[d] == pytest.approx(two[d]) for d in kept)
 
 
+def test_what_weights_are_fitted_on_and_what_is_not_drawn_for_it_is_counted(spark, monkeypatch):
+    for name, value in (("KEPT_BACK", 2), ("FITTED", 5), ("FITTED_WORDS", 7), ("FREQUENT", 20)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    made, given = [], mixing_model.logits_of
+    monkeypatch.setattr(mixing_model, "logits_of", lambda totals: made.append([t.copy() for t in totals]) or given(totals))
+    texts = [" ".join(f"w{(i * i + j) % 90}" for j in range(20)) for i in range(60)]
+    rows = keyed(docs(spark, texts).select(F.col("doc_id").alias("id"), "text"), ["id", "text"])
+    words = Counter(w for t in texts for w in t.split()) + Counter({"": len(texts)})
+    known = lm_scoring.trained(rows, spark.createDataFrame(list(words.items()), "word string, n long"))
+    _, tokens, _, spelling = made
+    codes, numbers = known["tokens"]["codes"], lm_scoring.numbers_of(known["words"][: known["frequent"]])
+    symbols = np.concatenate([lm_scoring.symbols_of(lm_scoring.words_of(t), numbers, known["frequent"]) for t in texts])
+    assert all(t.sum() == np.diff(codes["starts"])[symbols].sum() for t in tokens)
+    codes = known["spelling"]["codes"]
+    symbols, _ = mixing_model.spelled([w.encode() for w in words if w.encode() not in numbers])
+    assert all(t.sum() == np.diff(codes["starts"])[symbols].sum() for t in spelling)
+
+
 def test_rare_words_are_scored_alike_joined_or_looked_up(spark, monkeypatch):
     texts = ["a b c d e f g h", "a b zz zz q", "b b b x1 x2 x3", None, ""] * 8
     monkeypatch.setattr(lm_scoring, "FREQUENT", 3)
