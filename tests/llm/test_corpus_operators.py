@@ -424,6 +424,16 @@ def test_texts_are_scored_alike_together_alone_and_in_stretches():
     assert mixing_model.text_scores(model, texts, 4, 10, at_once=95) == pytest.approx(together, rel=0.02)
 
 
+def test_long_texts_are_scored_as_if_in_one_stretch():
+    rng = np.random.default_rng(3)
+    codes = mixing_model.huffman(np.arange(1, 41))
+    totals = [rng.integers(0, 9, 2 << size) for size in mixing_model.TOKEN_SIZES]
+    model = mixing_model.model_of(codes, mixing_model.TOKEN_SIZES, totals, mixing_model.TOKEN_GATES)
+    text = rng.integers(0, 40, 3000)
+    whole, parts = (mixing_model.text_scores(model, [text], 39, 128, at_once)[0] for at_once in (4096, 512))
+    assert math.isclose(whole, parts, rel_tol=1e-6)
+
+
 def test_copies_cost_what_a_walk_says():
     words = [b"a", b"b", b"a", b"c", b"c", b"c", b"a", b"d"]
     total, seen, copies = 0.0, [], 0
