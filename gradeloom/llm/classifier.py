@@ -243,7 +243,9 @@ def scored(
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label")).where(
         F.col("label").isin(0, 1)
     )
-    # Labels are drawn before they meet the vectors: a bounded number of narrow rows, so they can be broadcast.
+    # Labels that have a document are drawn before they meet the vectors: a bounded number of narrow rows, so they
+    # can be broadcast.
+    known = known.distinct().join(pooled.select("id"), "id", "left_semi")
     drawn = known.orderBy(F.xxhash64("id"), "id", "label").limit(how.sample)
     order = [F.xxhash64("id"), "id", "_k1", "_k2", "label"]
     sample = pooled.join(F.broadcast(drawn), "id").orderBy(*order).limit(how.sample).select("vector", "label").toArrow()

@@ -358,6 +358,19 @@ def test_scores_without_labels_texts_or_rows(spark):
     assert kept.schema == df.schema and kept.count() == 5
 
 
+def test_labels_without_a_document_or_repeated_take_no_place_in_the_sample(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["good", "fine", "nice"] if i % 2 else ["spam", "buy", "win"]) for _ in range(30)) for i in range(60)]
+    df, how = docs(spark, texts), classifier.Training(sample=60)
+    labels = [(i, i % 2) for i in range(60)]
+    more = [(i, i % 2) for i in range(1000, 6000)] + labels * 50
+    found = [
+        {r["id"]: r["score"] for r in classifier.scored(df, spark.createDataFrame(x, "doc_id long, quality int"), how).collect()}
+        for x in (labels, labels + more)
+    ]
+    assert found[0] == pytest.approx(found[1])
+
+
 def test_shapes_tell_kinds_of_words_apart():
     assert [classifier.shape(w) for w in ("word", "Word,", "ABC!!", "a1b22", "x***", "|", "Éé")] == ["a", "Aa,", "A!", "a0a0", "a*", "|", "Aa"]
 
