@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import WORD, packed, table, written
+from gradeloom.llm.common import WORD, keyed, packed, table, written
 
 
 @dataclass(frozen=True)
@@ -128,19 +128,27 @@ def mix_sources(
 
     A column `copy` that the documents have is replaced.
     """
-    rows = written(sizes_of(documents, doc_id, source, text), "mix-sizes")
-    taken = sampled(rows, mix).where(F.col("copies") > 0).groupBy("_k1", "_k2").agg(F.collect_list("copies").alias("_c"))
-    # Rows that agree in id, source and text are told apart by no order, so they
-    # come once per group and are repeated by the sum of the group's copies.
-    held = packed(documents, [doc_id, source, text]).dropDuplicates(["_k1", "_k2"])
-    copies = F.aggregate("_c", F.lit(0).cast("long"), lambda a, b: a + b)
-    chosen = held.join(taken, ["_k1", "_k2"]).select("_row", F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("_copy"))
+    keys = packed_by_all(documents)
+    rows = written(sizes_of(documents, doc_id, source, text, keys), "mix-sizes")
+    taken = sampled(rows, mix).where(F.col("copies") > 0).groupBy("_k1", "_k2").agg(F.sum("copies").alias("_c"))
+    # Rows that agree in all columns are told apart by no order, so they come
+    # once per group and are repeated by the sum of the group's copies.
+    held = keys.dropDuplicates(["_k1", "_k2"])
+    chosen = held.join(taken, ["_k1", "_k2"]).select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_c")).alias("_copy"))
     return chosen.select("_row.*", "_copy").drop("copy").withColumnRenamed("_copy", "copy")
 
 
-def sizes_of(documents: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
-    """(id, source, size, tie) and the row key of each document."""
-    keys = packed(documents, [doc_id, source, text])
+def packed_by_all(documents: DataFrame) -> DataFrame:
+    """`packed` with keys of all columns, whatever they are called."""
+    names = [f"`{c}`" for c in documents.columns]
+    row = F.struct(*[F.col(c) for c in names]).alias("_row")
+    rows = documents.select(row, *[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)])
+    return keyed(rows, [f"_c{i}" for i in range(len(names))]).select("_row", "_k1", "_k2")
+
+
+def sizes_of(documents: DataFrame, doc_id: str, source: str, text: str, keys: DataFrame | None = None) -> DataFrame:
+    """(id, source, size, tie) and the row key of each document, or the key that `keys` gives it."""
+    keys = packed(documents, [doc_id, source, text]) if keys is None else keys
     return keys.select(
         F.col(f"_row.`{doc_id}`").alias("id"),
         F.col(f"_row.`{source}`").cast("string").alias("source"),

@@ -309,6 +309,13 @@ def test_the_mix_repeats_documents_with_all_their_columns(spark):
     assert only_empty == []
 
 
+def test_rows_that_differ_in_other_columns_only_stay_apart_in_the_mix(spark):
+    df = docs(spark, ["a b c d", "a b c d", "e f", "g h i"]).withColumns({"doc_id": F.lit(7).cast("long"), "source": F.lit("s")})
+    df = df.withColumn("lang", F.concat(F.lit("l"), F.monotonically_increasing_id().cast("string"))).withColumn("a.b", F.lit(1))
+    got = [r["lang"] for r in mixing.mix_sources(df, mixing.Mix(percent=100)).collect()]
+    assert sorted(got) == sorted(r["lang"] for r in df.collect())
+
+
 # --- classifier -------------------------------------------------------------------------------
 
 
