@@ -69,9 +69,21 @@ class Page:
 
     A label is the element and the first words of its names. `!` marks what is
     left out, `^` what says that it is the article.
+
+    Elements that words leave out are numbered; those that turn out to hold the
+    article, or most of the text that isn't links, stay in when read again.
     """
 
     def __init__(self, source: str):
+        self.spared: frozenset[int] = frozenset()
+        self.begin()
+        self.read(source)
+        if spared := self.to_spare():
+            self.spared = spared
+            self.begin()
+            self.read(source)
+
+    def begin(self) -> None:
         self.slots: list[tuple[str, str, int]] = []
         self.root: list = ["", 0, []]
         self.nodes: list[list] = [self.root]
@@ -80,7 +92,10 @@ class Page:
         self.left_out: list[bool] = [False]
         self.pieces: list[str] = []
         self.link, self.linked = 0, 0
-        self.read(source)
+        # By number, 0 for the page: the number around it, and its own articles, mains and characters outside links.
+        self.around, self.own = [0], [[0, 0, 0]]
+        self.number: list[int] = [0]
+        self.gone: list[bool] = [False]
 
     def read(self, source: str) -> None:
         at = 0
@@ -117,6 +132,8 @@ class Page:
         block = " ".join("".join(self.pieces).split())
         if block:
             self.slots.append((self.paths[-1], block, self.linked))
+            if not self.gone[-1]:
+                self.own[self.number[-1]][2] += max(0, len(block) - self.linked)
             children = self.nodes[-1][2]
             if not children or children[-1][0] != TEXT:
                 children.append([TEXT, 0, []])
@@ -138,19 +155,46 @@ class Page:
             found, hidden = names(attributes) if "=" in attributes or "hidden" in attributes else ([], False)
             inside = "^" in self.paths[-1]
             out = hidden or tag in LEFT_OUT or (tag in HEADERS or "header" in found) and not inside
-            out = out or tag not in ("html", "body", "article", "main") and not LEFT_OUT_WORDS.isdisjoint(found)
+            number, gone = self.number[-1], out or self.gone[-1]
+            if not out and tag not in ("html", "body", "article", "main") and not LEFT_OUT_WORDS.isdisjoint(found):
+                self.around.append(number)
+                self.own.append([0, 0, 0])
+                number = len(self.own) - 1
+                out = number not in self.spared
+            if tag in ("article", "main") and not gone:
+                self.own[number][tag == "main"] += 1
             says = tag in ("article", "main") or not out and tag == "div" and not ARTICLE_WORDS.isdisjoint(found)
             label = ".".join([tag, *found[:3]]) + ("!" if out else "^" if says and tag in ("article", "main") else "~" if says else "")
             path = f"{self.paths[-1]}>{label}"
             if len(self.tags) <= DEPTH:
                 self.nodes[-1][2].append([label, 0, []])
                 self.nodes.append(self.nodes[-1][2][-1])
-            else:  # part of the last level, and out of it if left out
-                path = path if out and not self.left_out[-1] else self.paths[-1]
+            else:  # part of the last level, and out of it if left out; marks stay, each once
+                marks = says and not out and label[-1] not in self.paths[-1]
+                path = path if out and not self.left_out[-1] or marks else self.paths[-1]
                 self.nodes.append(self.nodes[-1])
             self.tags.append(tag)
             self.left_out.append(out or self.left_out[-1])
             self.paths.append(path)
+            self.number.append(number)
+            self.gone.append(gone)
+
+    def to_spare(self) -> frozenset[int]:
+        """Numbers of what holds the page's article, or most of its text, while no article stands outside."""
+        whole = [list(x) for x in self.own]
+        for i in range(len(whole) - 1, 0, -1):
+            for k in range(3):
+                whole[self.around[i]][k] += whole[i][k]
+        articles, _, chars = whole[0]
+        spared, outside = {0}, self.own[0][0] + self.own[0][1]
+        for i in range(1, len(whole)):
+            if outside:
+                break
+            holds = whole[i][1] or whole[i][0] == articles == 1 or 2 * whole[i][2] > chars
+            if self.around[i] in spared and holds:
+                spared.add(i)
+                outside += self.own[i][0] + self.own[i][1]
+        return frozenset(spared - {0})
 
     def boring(self, attributes: str) -> bool:
         found, hidden = names(attributes)
@@ -170,6 +214,8 @@ class Page:
         self.nodes.pop()
         self.paths.pop()
         self.left_out.pop()
+        self.number.pop()
+        self.gone.pop()
         return self.tags.pop()
 
     def skeleton(self) -> list:

@@ -212,6 +212,20 @@ def test_main_text_of_a_page_alone(html, text):
     assert html_extraction.main_text(html, set()) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (PAGE.format("<div class='layout has-sidebar'><article><p>in</p><div class=ad>no</div></article><div class=sidebar>no</div></div>"), "in"),
+        (PAGE.format("<div id=page class='no-sidebar'><div class=widget><main>in</main></div><div class=comments><article>no</article></div></div>"), "in"),
+        (PAGE.format("<div class='social-study'><p>most of the text of this page</p></div><div>x</div>"), "most of the text of this page"),
+        (PAGE.format("<div class=content><p>most of the text of this page</p></div><div class=related><article>no</article><article>no</article></div>"), "most of the text of this page"),
+        (PAGE.format("<div>" * 80 + "<article>in</article><p>the rest is around it</p>"), "in"),
+    ],
+)
+def test_words_leave_out_no_element_that_holds_the_article(html, text):
+    assert html_extraction.main_text(html, set()) == text
+
+
 def test_wrappers_fold_repeats_and_make_differences_optional():
     pages = ["<div><h1>a</h1><p>b</div>", "<div><h1>a</h1><p>b<p>c</div><ul><li>1<li>2</ul>"]
     a, b = (html_tree.Page(p).skeleton() for p in pages)
