@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm.common import keyed, mapped, packed, table, texts, union_all, unpacked, written
 from gradeloom.llm.components import components
-from gradeloom.llm.similarity import similar_groups
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 #: Fingerprints of a shard above which it is cut.
@@ -206,14 +205,8 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
 
 
 def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, each group of similar ones reduced to its row with the smallest id; repeated rows to one.
-
-    The groups are those of `similarity`, not those of the fingerprints, which miss most edited copies.
-    """
-    rows = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    groups = similar_groups(keyed(rows, ["id", "text"]))
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "_k1", "_k2")
-    keep = groups.groupBy("root").agg(F.min(place).alias("first")).select("first._k1", "first._k2")
+    """The documents, each group of near-duplicates reduced to its row with the smallest id; repeated rows to one."""
+    keep = near_duplicates(documents, doc_id, text).select("first._k1", "first._k2").distinct()
     # The key hashes the id as text, as `keyed` does for any type of id.
     rows = packed(documents.withColumn(doc_id, F.col(doc_id).cast("long")), [doc_id, text])
     return unpacked(rows.join(keep, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]))

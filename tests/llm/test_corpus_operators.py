@@ -141,41 +141,6 @@ def test_one_of_each_group_stays(spark):
     assert simhash.one_of_each(df.limit(0)).collect() == []
 
 
-def brute_similar(texts):
-    sets = []
-    for t in texts:
-        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
-    top = list(range(len(sets)))
-    for i in range(len(sets)):
-        for j in range(i):
-            common = len(sets[i] & sets[j])
-            if 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common) and top[i] != top[j]:
-                a, b = sorted((top[i], top[j]))
-                top = [a if t == b else t for t in top]
-    return top
-
-
-def test_edited_copies_go_and_unlike_texts_stay_as_by_brute_force(spark):
-    rng = random.Random(9)
-    texts = [None, "", " ", "One two", "one  TWO", "one two three"]
-    for _ in range(25):
-        words = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(4, 160))]
-        texts.append(" ".join(words))
-        for _ in range(rng.randrange(5)):  # each a copy of the one before, so that chains form
-            for _ in range(rng.randrange(1, 5)):
-                words[rng.randrange(len(words))] = f"new{rng.randrange(9)}"
-            texts.append("  ".join(words))
-    # A dense group with similarities around the limit to each other.
-    base = [f"b{i}" for i in range(90)]
-    texts += [" ".join([*base[:i], "x", *base[i + 1 :]]) for i in range(0, 90, 3)]
-    groups = brute_similar(texts)
-    by_prints = brute_components([brute_fingerprint(t) for t in texts])
-    expected = [i for i, g in enumerate(groups) if g == i]
-    assert expected != [i for i, g in enumerate(by_prints) if g == i]
-    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs(spark, texts)).collect()) == expected
-
-
 # --- line dedup -------------------------------------------------------------------------------
 
 
