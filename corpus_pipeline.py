@@ -28,7 +28,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves one document, that with the smallest id, of each group of near-copies (0.8 of the 5-word shingles)."""
+    """Leaves one document, that with the smallest id, of each group of SimHash near-duplicates."""
     return one_of_each(docs)
 
 
@@ -45,7 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", quality),
     ("line dedup", lines),
-    ("near-duplicates", near_copies),
+    ("SimHash near-dedup", near_copies),
     ("decontamination", benchmarks),
     ("mixing", mix),
 ]
