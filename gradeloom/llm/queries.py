@@ -5,12 +5,15 @@ from __future__ import annotations
 from gradeloom.llm import (
     chat_format,
     classifier,
+    collocations,
+    conversation_repair,
     decontamination,
     html_extraction,
     line_dedup,
     lm_scoring,
     mixing,
     quality_rules,
+    secrets,
     simhash,
     token_counts,
 )
@@ -28,6 +31,9 @@ QUERIES = {
         lm_scoring.op8_lm_scoring,
         mixing.op9_mixing,
         chat_format.op10_chat_format,
+        secrets.op11_secret_scans,
+        conversation_repair.op12_conversation_repair,
+        collocations.op13_collocations,
     )
 }
 
@@ -37,4 +43,6 @@ ORACLES = {
     "op7_decontamination": decontamination.OP7_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op10_chat_format": chat_format.OP10_SQL,
+    "op12_conversation_repair": conversation_repair.OP12_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }
