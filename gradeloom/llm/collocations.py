@@ -40,7 +40,7 @@ COLUMNS = ["w1", "w2", "w3", "w4"]
 #: Slots of the sketch, and slots of one block of it.
 LEAST_SLOTS, MOST_SLOTS, BLOCK = 1 << 16, 1 << 30, 1 << 16
 #: Words that are made windows at once, slot numbers that a task gathers before it sums them, bytes of a text at once.
-AT_ONCE, GATHERED, BYTES = 1 << 19, 12 << 20, 4 << 20
+AT_ONCE, GATHERED, BYTES = 1 << 18, 2 << 20, 4 << 20
 
 #: Ends a piece; no byte of UTF-8.
 _END = b"\xff"
@@ -85,18 +85,18 @@ class Windows:
         self.lang_hashes = np.array([xxhash.xxh64_intdigest(x.encode(), 1) for x in self.langs], np.uint64)
 
     def slots(self, slots: int) -> Iterator[np.ndarray]:
-        """For the prefixes of 2, 3 and 4 words, the slot of each window."""
+        """For the prefixes of 2, 3 and 4 words, the slot of each window, in 32 bits."""
         h = self.lang_hashes[self.lang] ^ self.hashes[self.columns[0]]
         for column in self.columns[1:]:
             h = (h * _ODD) ^ self.hashes[column]
             h ^= h >> np.uint64(29)
-            yield ((h * _ODD) >> np.uint64(20)) & np.uint64(slots - 1)
+            yield (((h * _ODD) >> np.uint64(20)) & np.uint64(slots - 1)).astype(np.uint32)
 
     def padded(self, bits: np.ndarray) -> None:
         """Pads each window behind its longest prefix whose slots are all marked."""
         goes_on = np.ones(len(self.lang), bool)
         for k, slot in enumerate(self.slots(len(bits) * 8), 1):
-            goes_on &= (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1) > 0
+            goes_on &= (bits[slot >> np.uint32(3)] >> (slot & np.uint32(7)).astype(np.uint8) & 1) > 0
             self.columns[k] = np.where(goes_on, self.columns[k], 0)
 
     def counted(self) -> pa.RecordBatch:
@@ -140,10 +140,10 @@ def in_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[Windows]:
 def block_rows(slots: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Counted slots as one row per block: numbers inside the block, then their counts, compressed."""
     found, n = np.unique(slots, return_counts=True)
-    blocks = found // np.uint64(BLOCK)
+    blocks = found // np.uint32(BLOCK)
     starts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])) if len(found) else np.zeros(0, int)
     for a, b in zip(starts, [*starts[1:], len(found)], strict=True):
-        inside = (found[a:b] % np.uint64(BLOCK)).astype("<u2")
+        inside = (found[a:b] % np.uint32(BLOCK)).astype("<u2")
         steps = np.diff(inside, prepend=np.uint16(0)).astype("<u2")
         yield int(blocks[a]), zlib.compress(steps.view("u1").reshape(-1, 2).T.tobytes() + n[a:b].astype("<u4").view("u1").reshape(-1, 4).T.tobytes(), 1)
 
