@@ -5,26 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.sources import commits
+
 DEFAULT_PROJECT = "default"
 
 
-def write_scores(scores: DataFrame, path: str) -> None:
-    """Appends score rows, partitioned by session.
+def _write(rows: DataFrame, path: str, attempt: str | None, sessions: DataFrame | None, by_session: bool = True) -> None:
+    """Appends, or with an attempt commits, so that the newest attempt at a session replaces the ones before."""
+    if attempt is not None:
+        commits.commit(rows, path, sessions, attempt, by_session=by_session)
+    elif by_session:
+        # The hint keeps a session in few files and still splits one that holds most of the rows.
+        rows.hint("rebalance", "session_id").write.mode("append").partitionBy("session_id").parquet(path)
+    else:
+        rows.write.mode("append").parquet(path)
+
+
+def write_scores(scores: DataFrame, path: str, attempt: str | None = None, sessions: DataFrame | None = None) -> None:
+    """Writes score rows, partitioned by session.
 
-    The rebalance hint keeps a session in few files and still splits one that
-    holds most of the rows.
+    Without an attempt rows are appended. With one, they are a commit (see
+    `commits`): written again, they replace what their sessions had, and those
+    of `sessions` that have no rows are emptied.
     """
-    scores.hint("rebalance", "session_id").write.mode("append").partitionBy("session_id").parquet(path)
+    _write(scores, path, attempt, sessions)
 
 
-def write_generations(generations: DataFrame, path: str) -> None:
-    """Appends generation rows, partitioned by session (see `generations_of`)."""
-    generations.hint("rebalance", "session_id").write.mode("append").partitionBy("session_id").parquet(path)
+def write_generations(generations: DataFrame, path: str, attempt: str | None = None, sessions: DataFrame | None = None) -> None:
+    """Writes generation rows, partitioned by session (see `generations_of`), as `write_scores` does."""
+    _write(generations, path, attempt, sessions)
 
 
-def write_sessions(sessions: DataFrame, path: str) -> None:
-    """Appends session rows, which are few."""
-    sessions.write.mode("append").parquet(path)
+def write_sessions(sessions: DataFrame, path: str, attempt: str | None = None) -> None:
+    """Writes session rows, which are few, as `write_scores` does."""
+    _write(sessions, path, attempt, None, by_session=False)
 
 
 def with_projects(df: DataFrame, projects: DataFrame | list[str] | None) -> DataFrame:

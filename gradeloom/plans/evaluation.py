@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -23,6 +24,7 @@ from gradeloom.operators.scoring import (
     with_item_schema,
 )
 from gradeloom.operators.sinks import write_generations, write_scores, write_sessions
+from gradeloom.session import scratch_path
 
 
 @dataclass
@@ -143,8 +145,18 @@ def with_schema_results(results: DataFrame, schemas: dict[str, dict] | None) ->
     return found
 
 
-def store(made: Evaluation, base: str, environment: str) -> None:
-    """Writes a run to the store that the report reads: generations, scores, sessions."""
-    write_generations(generations_of(made.results), f"{base}/generations")
-    write_scores(made.scores, f"{base}/scores")
-    write_sessions(sessions_of(made.results, environment), f"{base}/sessions")
+def store(made: Evaluation, base: str, environment: str, attempt: str | None = None) -> None:
+    """Writes a run to the store that the report reads: generations, scores, sessions.
+
+    Each table is a commit, and the sessions come last, so that a session is
+    seen when all of it is. Stored again, a run replaces what its sessions had.
+    """
+    attempt = attempt or uuid.uuid4().hex
+    # Few rows, which all three commits ask for; read again, they cost the results once.
+    path = scratch_path(made.results.sparkSession, "run-sessions")
+    found = sessions_of(made.results, environment)
+    found.write.parquet(path)
+    sessions = found.sparkSession.read.schema(found.schema).parquet(path)
+    write_generations(generations_of(made.results), f"{base}/generations", attempt, sessions)
+    write_scores(made.scores, f"{base}/scores", attempt, sessions)
+    write_sessions(sessions, f"{base}/sessions", attempt)

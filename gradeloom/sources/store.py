@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gradeloom import fixed, schemas
 from gradeloom.operators.spread import join_unique, salted_join
+from gradeloom.sources import commits
 
 
 def of_sessions(generations: DataFrame, session_ids: DataFrame | list[str] | None) -> DataFrame:
@@ -25,11 +26,21 @@ def of_sessions(generations: DataFrame, session_ids: DataFrame | list[str] | Non
     return salted_join(generations, wanted, ["session_id"], "left_semi", ["observation_id"])
 
 
+def stored(spark: SparkSession, path: str, layout: str, session_ids: list[str] | None = None) -> DataFrame:
+    """Rows of a table, committed (what is seen of it) or appended (all of it), optionally of some sessions."""
+    if commits.has_log(spark, path):
+        return commits.read(spark, path, layout, session_ids)
+    rows = spark.read.schema(layout).parquet(path)
+    return rows if session_ids is None else of_sessions(rows, session_ids)
+
+
 def read_generations(
     spark: SparkSession, path: str, session_ids: DataFrame | list[str] | None = None
 ) -> DataFrame:
     """Stored generation observations, optionally of some sessions."""
-    return of_sessions(spark.read.schema(schemas.GENERATIONS).parquet(path), session_ids)
+    if isinstance(session_ids, list):
+        return stored(spark, path, schemas.GENERATIONS, session_ids)
+    return of_sessions(stored(spark, path, schemas.GENERATIONS), session_ids)
 
 
 def read_scores(
@@ -43,10 +54,15 @@ def read_scores(
     Sessions prune the folders that `write_scores` makes, so that other
     sessions' scores aren't read.
     """
-    layout = schemas.SCORES if session_ids is None else f"{schemas.SCORES}, session_id string"
-    scores = spark.read.schema(layout).parquet(path).where(F.col("observation_id").isNotNull())
-    if session_ids is not None:
-        scores = of_sessions(scores, session_ids).drop("session_id")
+    layout = f"{schemas.SCORES}, session_id string"
+    if isinstance(session_ids, list):
+        scores = stored(spark, path, layout, session_ids)
+    elif session_ids is not None:
+        scores = of_sessions(stored(spark, path, layout), session_ids)
+    else:
+        # Scores that somebody else wrote may come without their sessions.
+        scores = stored(spark, path, layout if commits.has_log(spark, path) else schemas.SCORES)
+    scores = scores.where(F.col("observation_id").isNotNull()).drop("session_id")
     if observation_ids is None:
         return scores
     wanted = observation_ids.select("observation_id").distinct()
@@ -74,6 +90,4 @@ def read_sessions(
     environment: str | None = None,
     now: dt.datetime | None = None,
 ) -> DataFrame:
-    return recent_sessions(
-        spark.read.schema(schemas.SESSIONS).parquet(path), since_days, environment, now
-    )
+    return recent_sessions(stored(spark, path, schemas.SESSIONS), since_days, environment, now)

@@ -6,13 +6,13 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from gradeloom import fixed, scratch_path
+from gradeloom import fixed, schemas, scratch_path
 from gradeloom.functions import identity
 from gradeloom.operators import inference, judging, matrix, media, observations, preflight, requests, responses, spread, summary
 from gradeloom.plans import evaluation
 from gradeloom.plans import preflight as preflight_plan
 from gradeloom.plans.report import stored_report
-from gradeloom.sources import datasets
+from gradeloom.sources import commits, datasets
 from workload import clients
 from workload import registry as r
 from workload import tables as t
@@ -569,15 +569,17 @@ def evaluation_schema_validity(spark, d):
     return summary.schema_validity_by_model(_evaluation(spark, d).results)
 
 
-@query(
-    "evaluation_report",
+REPORTED = (
     EVALUATION
     + """ SELECT model, provider || CASE provider WHEN 'ollama' THEN '/local' ELSE '' END AS provider, count(*) AS n,
         round(avg(score), 6) AS judge_avg, CAST(min(score) AS DOUBLE) AS judge_min, CAST(max(score) AS DOUBLE) AS judge_max, count(score) AS judge_n,
         count(*) FILTER (ok AND score IS NULL) AS unscored, count(*) FILTER (schema_value = 1) AS schema_pass,
         count(schema_value) AS schema_total, CAST(0 AS BIGINT) AS truncated, CAST(100 AS DOUBLE) AS latency_mean_ms,
-        CAST(100 AS DOUBLE) AS latency_p50_ms, CAST(100 AS DOUBLE) AS latency_p95_ms FROM scored GROUP BY model, provider""",
+        CAST(100 AS DOUBLE) AS latency_p50_ms, CAST(100 AS DOUBLE) AS latency_p95_ms FROM scored GROUP BY model, provider"""
 )
+
+
+@query("evaluation_report", REPORTED)
 def evaluation_report(spark, d):
     """A run, written to the store and reported from there."""
     base = scratch_path(spark, "run")
@@ -586,6 +588,20 @@ def evaluation_report(spark, d):
     return found.drop("tokens_in", "tokens_out", "cost")
 
 
+@query("store_rerun", REPORTED)
+def store_rerun(spark, d):
+    """A run whose first attempt lost half of its rows is stored twice more; the report is that of one."""
+    base = scratch_path(spark, "rerun")
+    whole = _evaluation(spark, d)
+    half = F.pmod(F.xxhash64("observation_id"), F.lit(2)) == 0
+    lost = evaluation.Evaluation(whole.results.where(half), whole.scores.where(half), whole.observations)
+    for made in (lost, whole, whole):
+        evaluation.store(made, base, "production")
+    commits.compact(spark, f"{base}/sessions", schemas.SESSIONS, by_session=False)
+    found = stored_report(spark, base, 30, "production", dt.datetime(1970, 1, 2), dataset_id="chat")
+    return found.drop("tokens_in", "tokens_out", "cost")
+
+
 @query(
     "infer_resume",
     f"""WITH {r.PAIR_MATRIX}, x AS (SELECT item_id, input, length(input) % 3 = 0 AS refused FROM matrix)
