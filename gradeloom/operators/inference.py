@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradeloom import fixed
+from gradeloom.session import scratch_path
+from gradeloom.sources import files
 
 KEYS = ["model", "provider", "item_id"]
 
@@ -164,41 +166,70 @@ def infer_to(
     path: str,
     client_factory: Callable[[], Client],
     calls_per_commit: int = 10_000,
+    max_concurrency: int = 8,
     **options,
 ) -> DataFrame:
     """`infer` into a table, leaving out the calls that it holds a reply to.
 
     Replies are written before anything reads them, so a later failure never
     repeats a paid call, and about `calls_per_commit` of them are committed at a
-    time. Failed calls are asked again. The request bodies are not stored.
-    Returns the latest row of each asked call, replies before failures.
+    time. Failed calls are asked again. Returns the latest row of each asked
+    call, replies before failures.
+
+    The requests are evaluated once, when they are dealt: each lane's calls go
+    to files by their place in the lane, and every commit reads the files of its
+    own places alone, however many commits there are. These files, which hold
+    the request bodies, are removed with the commit; replies are stored without
+    bodies. A run that was cut off goes on behind the last commit when it is
+    called again.
     """
     spark = requests.sparkSession
     if spark.conf.get("spark.speculation", "false") == "true":
         raise ValueError("spark.speculation would send requests twice; turn it off")
     keys = resume_keys(requests)
-    todo = requests
-    existing = _existing(spark, path)
-    if existing is not None:
-        done = existing.where(F.col("raw").isNotNull() | (F.col("attempts") == 0))
-        todo = requests.join(done.select(*keys).distinct(), keys, "left_anti")
-    parts = max(1, math.ceil(todo.count() / calls_per_commit))
-    for part in range(parts):
-        share = todo.where(F.pmod(F.xxhash64(F.lit("part"), *keys), F.lit(parts)) == part) if parts > 1 else todo
-        infer(share, client_factory, **options).drop("request").write.mode("append").parquet(path)
-    stored = spark.read.parquet(path).join(requests.select(*keys).distinct(), keys, "left_semi")
+    dealt = _dealt(requests, path, keys, max_concurrency, max(1, calls_per_commit // max_concurrency))
+    asked = scratch_path(spark, "asked")
+    spark.read.parquet(dealt).select(*keys).distinct().write.parquet(asked)
+    for name in sorted(files.names(spark, dealt), key=_place):
+        if _place(name) >= 0:
+            share = spark.read.schema(requests.schema).parquet(f"{dealt}/{name}")
+            replies = infer(share, client_factory, max_concurrency, **options).drop("request")
+            replies.write.mode("append").parquet(path)
+            files.delete(spark, dealt, name)
+    stored = spark.read.parquet(path).join(spark.read.parquet(asked), keys, "left_semi")
     payload = [c for c in stored.columns if c not in keys]
     latest = F.max_by(F.struct(*payload), F.struct(F.col("raw").isNotNull(), F.coalesce("started_ms", F.lit(0))))
     return stored.groupBy(*keys).agg(latest.alias("_latest")).select(*keys, "_latest.*")
 
 
-def _existing(spark, path: str) -> DataFrame | None:
-    jvm = spark.sparkContext._jvm
-    location = jvm.org.apache.hadoop.fs.Path(path)
-    files = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(location) or not files.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
-        return None
-    return spark.read.parquet(path)
+#: Rows that need no call are dealt to this place.
+ANSWERED = -1
+
+
+def _place(name: str) -> int:
+    """The place that a folder of dealt requests holds; other names come before all."""
+    return int(name.removeprefix("_place=")) if name.startswith("_place=") else ANSWERED
+
+
+def _dealt(requests: DataFrame, path: str, keys: list[str], lanes: int, at_once: int) -> str:
+    """Writes the requests by their place in their lane, `at_once` to a place, and returns where.
+
+    Lanes are those of `infer`. Those with a reply are kept apart, for their keys.
+    """
+    spark = requests.sparkSession
+    rows = requests.withColumn("_done", F.lit(False))
+    if files.exists(spark, path, "_SUCCESS"):
+        done = spark.read.parquet(path).where(F.col("raw").isNotNull() | (F.col("attempts") == 0))
+        rows = requests.join(done.select(*keys, F.lit(True).alias("_done")).distinct(), keys, "left")
+        rows = rows.withColumn("_done", F.coalesce("_done", F.lit(False)))
+    lane = F.pmod(F.xxhash64(*KEYS), F.lit(lanes)).cast("int")
+    in_lane = rows.repartitionById(lanes, lane).sortWithinPartitions("_done")
+    # Calls to make come first in a lane, so that their places have no gaps.
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    place = F.when(F.col("_done"), ANSWERED).otherwise(F.floor(nth / at_once).cast("int"))
+    dealt = scratch_path(spark, "dealt")
+    in_lane.withColumn("_place", place).drop("_done").write.partitionBy("_place").parquet(dealt)
+    return dealt
 
 
 def replay_responses(matrix: DataFrame, recorded: DataFrame, unique: bool = False) -> DataFrame:

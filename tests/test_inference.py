@@ -245,3 +245,51 @@ class Verdicts:
             return {"message": {"content": '{"score": 3}'}}
 
         return call
+
+
+def test_requests_are_evaluated_once_however_many_commits(spark, tmp_path):
+    evaluated = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        evaluated.add(1)
+        return x
+
+    path = scratch_path(spark, "responses")
+    asked = requests(spark, 60).withColumn("request", F.udf(counted, "string")("request"))
+    table = infer_to(asked, path, Counting(str(tmp_path)), calls_per_commit=6, max_concurrency=2)
+    assert table.count() == 60 and table.where("raw IS NULL").count() == 0
+    assert evaluated.value == 60 and len(list(tmp_path.iterdir())) == 60
+
+
+class Dying:
+    """Answers so many calls in all, then takes the task down."""
+
+    def __init__(self, folder, calls):
+        self.folder, self.calls = folder, calls
+
+    def __call__(self):
+        folder, calls = self.folder, self.calls
+
+        def call(body, row):
+            if len(list(pathlib.Path(folder).iterdir())) >= calls:
+                raise KeyboardInterrupt
+            pathlib.Path(folder, row["item_id"]).write_text("x")
+            return {"n": body["n"]}
+
+        return call
+
+
+def test_a_run_that_was_cut_off_goes_on_behind_its_last_commit(spark, tmp_path):
+    path = scratch_path(spark, "responses")
+    dying, counting = tmp_path / "dying", tmp_path / "counting"
+    for folder in (dying, counting):
+        folder.mkdir()
+    try:
+        infer_to(requests(spark, 40), path, Dying(str(dying), 25), calls_per_commit=8, max_concurrency=1)
+        raise AssertionError("must end")
+    except Exception as err:  # noqa: BLE001 - whatever a lost worker is reported as
+        assert "must end" not in str(err)
+    kept = spark.read.parquet(path).count()
+    assert kept == 24
+    table = infer_to(requests(spark, 40), path, Counting(str(counting)), calls_per_commit=8, max_concurrency=1)
+    assert table.count() == 40 and len(list(counting.iterdir())) == 16
