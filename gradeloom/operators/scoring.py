@@ -97,8 +97,9 @@ def _comment(output: Column, parsed: Column, errors: Column, passed: Column, che
 def with_item_schema(df: DataFrame, schema: str = "score_schema", output: str = "output") -> DataFrame:
     """Adds schema_value and schema_comment of each output against its own row's schema.
 
-    Null where the row has no readable schema, or carries an error. However many
-    schemas there are, the plan stays the same.
+    Null where the row has no readable schema, or carries an error. Keywords that
+    are malformed constrain nothing. However many schemas there are, the plan
+    stays the same.
     """
     asked = F.col(schema).isNotNull() & F.try_parse_json(F.col(schema)).isNotNull()
     if "error" in df.columns:
@@ -107,6 +108,8 @@ def with_item_schema(df: DataFrame, schema: str = "score_schema", output: str =
     found = df.withColumn("_value", value).withColumn("_found", check_json("_value", schema))
     errors, parsed = F.col("_found.errors"), F.col("_value").isNotNull()
     fits = parsed & (F.size(errors) == 0)
+    # A schema or an answer may be too deeply nested to be read: then there is nothing to score by.
+    asked = asked & (~parsed | errors.isNotNull())
     comment = _comment(F.col(output), parsed, errors, F.col("_found.passed"), F.col("_found.checked"))
     return found.withColumns(
         {

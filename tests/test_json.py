@@ -224,3 +224,73 @@ def test_schemas_as_data_agree_with_compiled_ones(spark):
         assert [(r["value_num"], r["comment"]) for r in compiled] == [(r["schema_value"], r["schema_comment"]) for r in mine]
     none = df.limit(2).withColumn("score_schema", F.when(F.col("observation_id") == 0, "{not json"))
     assert [(r["schema_value"], r["schema_comment"]) for r in rows(scoring.with_item_schema(none))] == [(None, None)] * 2
+
+
+def random_schema(rng, depth=0):
+    keywords = {}
+    if rng.random() < 0.6:
+        names = ["object", "array", "string", "number", "integer", "boolean", "null", "odd"]
+        keywords["type"] = rng.choice([*names, rng.sample(names, 2), "object", "array"])
+    if rng.random() < 0.2:
+        keywords["enum"] = rng.sample([None, True, 1, 1.5, "a", "b"], 3)
+    if rng.random() < 0.4:
+        keywords["required"] = rng.sample(["a", "b", "c"], 2)
+    if rng.random() < 0.3:
+        keywords["additionalProperties"] = rng.choice([False, False, True])
+    if depth < 3 and rng.random() < 0.7:
+        keywords["properties"] = {k: random_schema(rng, depth + 1) for k in rng.sample(["c", "b", "a"], rng.randrange(1, 4))}
+    if depth < 3 and rng.random() < 0.4:
+        keywords["items"] = random_schema(rng, depth + 1)
+    return keywords
+
+
+def random_value(rng, depth=0):
+    kind = rng.randrange(8 if depth < 3 else 6)
+    if kind == 6:
+        return [random_value(rng, depth + 1) for _ in range(rng.randrange(4))]
+    if kind == 7 or depth == 0:
+        return {k: random_value(rng, depth + 1) for k in rng.sample(["a", "b", "c", "d"], rng.randrange(4))}
+    return [None, True, 1, 1.5, "a", "x"][kind]
+
+
+def test_random_schemas_as_data_agree_with_compiled_ones(spark):
+    import random
+
+    rng = random.Random(8)
+    schemas = [random_schema(rng) for _ in range(12)]
+    cases = [(i, json.dumps(random_value(rng)), json.dumps(schemas[i % 12]), i % 12) for i in range(600)]
+    df = spark.createDataFrame(cases, "observation_id int, output string, score_schema string, k int")
+    own = {r["observation_id"]: r for r in scoring.with_item_schema(df).collect()}
+    failing = 0
+    for k, schema in enumerate(schemas):
+        for r in scoring.score_json_schema(df.where(F.col("k") == k), schema).collect():
+            mine = own[r["observation_id"]]
+            assert (r["value_num"], r["comment"]) == (mine["schema_value"], mine["schema_comment"]), (schema, mine)
+            failing += r["value_num"] == 0
+    assert 100 < failing < 590
+
+
+def test_malformed_schemas_end_no_job(spark):
+    """Keywords of the wrong form constrain nothing; what can't be read leaves the row unscored."""
+    deep = '{"items":' * 3000 + "{}" + "}" * 3000
+    cases = [
+        ('{"type": [1]}', 1), ('{"type": {"x": 1}}', 1), ('{"properties": [1, 2]}', 1), ('{"required": 5}', 1), ('{"required": "ab"}', 1),
+        ('{"required": [1, "a"]}', 1), ('{"required": [null, "z"]}', 0), ('{"enum": 3}', 1), ('{"items": [{"type": "null"}]}', 1),
+        ('{"properties": {"a": 7}}', 1), ('{"additionalProperties": false, "properties": 3}', 0), ("[]", 1), ("5", 1), ("{", None), (deep, None),
+    ]
+    df = spark.createDataFrame([(i, '{"a": 1}', s) for i, (s, _) in enumerate(cases)], "observation_id int, output string, score_schema string")
+    found = rows(scoring.with_item_schema(df), "observation_id")
+    assert [r["schema_value"] for r in found] == [v for _, v in cases]
+    assert all((r["schema_comment"] is None) == (r["schema_value"] is None) for r in found)
+    scores = scoring.score_rows(scoring.with_item_schema(df), [scoring.found_schema_score()])
+    assert scores.count() == sum(v is not None for _, v in cases)
+
+
+def test_depth_is_no_limit_of_the_walk():
+    from gradeloom.functions import json_check
+
+    schema, value = {"type": "integer"}, "x"
+    for _ in range(5000):
+        schema, value = {"type": "array", "items": schema}, [value]
+    checked, passed, errors = json_check.check(value, json_check.compiled(schema))
+    assert (checked, passed) == (5001, 5000) and errors[0].startswith("$[0][0]") and errors[0].endswith("got string")
