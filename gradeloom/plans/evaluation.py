@@ -8,11 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom import schemas as layouts
 from gradeloom.functions.text import not_empty
 from gradeloom.operators.inference import infer_to, replay_responses
 from gradeloom.operators.judging import judge
 from gradeloom.operators.matrix import effective_params, eval_matrix, filter_enabled
-from gradeloom.operators.observations import build_observations, generations_of, sessions_of
+from gradeloom.operators.observations import build_observations, generations_of
 from gradeloom.operators.requests import build_messages, build_provider_requests, to_response_format, trace_identity
 from gradeloom.operators.responses import normalize_responses
 from gradeloom.operators.scoring import (
@@ -24,7 +25,7 @@ from gradeloom.operators.scoring import (
     with_item_schema,
 )
 from gradeloom.operators.sinks import write_generations, write_scores, write_sessions
-from gradeloom.session import scratch_path
+from gradeloom.sources import commits
 
 
 @dataclass
@@ -151,12 +152,10 @@ def store(made: Evaluation, base: str, environment: str, attempt: str | None = N
     Each table is a commit, and the sessions come last, so that a session is
     seen when all of it is. Stored again, a run replaces what its sessions had.
     """
-    attempt = attempt or uuid.uuid4().hex
-    # Few rows, which all three commits ask for; read again, they cost the results once.
-    path = scratch_path(made.results.sparkSession, "run-sessions")
-    found = sessions_of(made.results, environment)
-    found.write.parquet(path)
-    sessions = found.sparkSession.read.schema(found.schema).parquet(path)
-    write_generations(generations_of(made.results), f"{base}/generations", attempt, sessions)
+    attempt, spark = attempt or uuid.uuid4().hex, made.results.sparkSession
+    write_generations(generations_of(made.results), f"{base}/generations", attempt)
+    # Every result is a generation, so the sessions can be read from what was just written.
+    written = commits.of_attempt(spark, f"{base}/generations", layouts.GENERATIONS, attempt)
+    sessions = written.groupBy("session_id").agg(F.min("start_time").alias("created_at"))
     write_scores(made.scores, f"{base}/scores", attempt, sessions)
-    write_sessions(sessions, f"{base}/sessions", attempt)
+    write_sessions(sessions.withColumn("environment", F.lit(environment)), f"{base}/sessions", attempt)

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from gradeloom import fixed
 from gradeloom.operators import preflight as checks
+from gradeloom.operators.catalogs import list_catalogs
 from gradeloom.operators.inference import infer
 from gradeloom.operators.matrix import supported_params
 from gradeloom.operators.requests import build_messages, build_provider_requests
 from gradeloom.operators.summary import classify_errors
+from gradeloom.session import scratch_path
 
 PROBE_TOKENS = "32"
 
@@ -66,3 +68,41 @@ def preflight(
         unread = checks.unsupported_params(matrix, supported_params(spark))
         found = found.unionByName(finding("parameter", unread, "param", nothing, no))
     return found
+
+
+def live_preflight(
+    models: DataFrame,
+    lister_factory,
+    client_factory,
+    vision: bool = False,
+    matrix: DataFrame | None = None,
+    judge_model: str = fixed.JUDGE_MODEL,
+    judge_provider: str = fixed.DEFAULT_PROVIDER,
+    **options,
+) -> DataFrame:
+    """`preflight` with catalogs that the providers list themselves, each once.
+
+    A provider whose listing fails is a finding of its own (`listing`, fatal,
+    with the error), and its models are not reported as missing. With `vision`
+    models that can't see are found for providers that tell what theirs can do.
+    """
+    spark = models.sparkSession
+    judge = spark.createDataFrame([(judge_provider, judge_model)], "provider string, model string")
+    requested = models.select("provider", "model").unionByName(judge).distinct()
+    path = scratch_path(spark, "catalogs")
+    limits = {k: v for k, v in options.items() if k in ("max_retries", "max_backoff_s") and not isinstance(v, dict)}
+    list_catalogs(requested, lister_factory, **limits).write.parquet(path)
+    pages = spark.read.parquet(path)
+    failed = pages.where("error IS NOT NULL").select("provider", "error")
+    listed = pages.where("raw IS NOT NULL")
+    # What is not listed for lack of a list counts as listed.
+    unknown = requested.join(failed.select("provider").distinct(), "provider", "left_semi").select("provider", "model")
+    catalog = checks.catalog_ids(listed).unionByName(unknown)
+    details = checks.catalog_details(listed) if vision else None
+    found = preflight(models, catalog, client_factory, details, matrix, judge_model, judge_provider, **options)
+    return found.unionByName(
+        failed.select(
+            F.lit("listing").alias("check"), "provider", F.lit(None).cast("string").alias("name"),
+            F.col("error").alias("message"), F.lit(True).alias("fatal"),
+        )
+    )

@@ -114,10 +114,8 @@ def read(spark: SparkSession, path: str, layout: str, session_ids: list[str] | N
     whole = [r["commit"] for r in counts if r["n"] == r["of"]]
     overtaken = [r["commit"] for r in counts if r["n"] < r["of"]]
 
-    def scan(commits: list[str]) -> DataFrame:
-        # Commits without rows have no files; their folders are there all the same.
-        folders = [f"{path}/commit={c}" for c in commits]
-        found = spark.read.schema(f"{layout}, commit string").option("basePath", path).parquet(*folders)
+    def scan(names: list[str]) -> DataFrame:
+        found = _scan(spark, path, layout, names)
         return found if session_ids is None else found.where(F.col("session_id").isin(session_ids))
 
     nothing = spark.createDataFrame([], layout)
@@ -131,6 +129,19 @@ def read(spark: SparkSession, path: str, layout: str, session_ids: list[str] | N
     return kept.select(*nothing.columns)
 
 
+def _scan(spark: SparkSession, path: str, layout: str, names: list[str]) -> DataFrame:
+    # Commits without rows have no files; their folders are there all the same.
+    folders = [f"{path}/commit={c}" for c in names]
+    return spark.read.schema(f"{layout}, commit string").option("basePath", path).parquet(*folders)
+
+
+def of_attempt(spark: SparkSession, path: str, layout: str, attempt: str) -> DataFrame:
+    """All rows that an attempt has committed, seen or not."""
+    named = entries(spark, path).where((F.col("attempt") == attempt) & F.col("upto").isNull())
+    names = [r["commit"] for r in named.select("commit").distinct().collect()]
+    return _scan(spark, path, layout, names).drop("commit") if names else spark.createDataFrame([], layout)
+
+
 def compact(spark: SparkSession, path: str, layout: str, by_session: bool = True) -> int:
     """Folds the seen rows of each part into one commit; returns how many commits it read.
 

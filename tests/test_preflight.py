@@ -138,3 +138,45 @@ def test_long_keys_meet_on_segments(spark):
     for key in keys:
         near = [distance(key, name) for name in names if abs(len(key) - len(name)) <= 2]
         assert found[key] == (min(near) if near and min(near) <= 2 else None), key
+
+
+def lister():
+    """Catalogs of three pages; some fail on the second, never end, or can't be reached at once."""
+    from gradeloom.operators.inference import TransportError
+
+    lost = []
+
+    def ask(provider, token):
+        n = int(token or 0)
+        if provider == "fails" and n == 1:
+            raise RuntimeError("API error (503)")
+        if provider == "lost" and not lost:
+            lost.append(provider)
+            raise TransportError("reset")
+        if provider == "silent":
+            raise ValueError
+        following = str(n + 1) if n < 2 else None
+        return {"page": n}, "1" if provider == "loops" else following
+
+    return ask
+
+
+def test_catalogs_are_listed_page_by_page_and_fail_by_provider(spark):
+    import sys
+
+    from pyspark import cloudpickle
+
+    from gradeloom.operators import catalogs
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    names = ["whole", "fails", "loops", "silent", "lost", "whole", None]
+    df = spark.createDataFrame([(n,) for n in names], "provider string")
+    listed = catalogs.list_catalogs(df, lister, max_retries=1, max_backoff_s=0)
+    assert listed.rdd.getNumPartitions() == 5
+    found = {}
+    for r in rows(listed, "provider", "page"):
+        found.setdefault(r["provider"], []).append((r["page"], r["error"] or json.loads(r["raw"])["page"]))
+    assert found["whole"] == found["lost"] == [(0, 0), (1, 1), (2, 2)]
+    assert found["fails"] == [(0, 0), (1, "API error (503)")] and found["silent"] == [(0, "ValueError")]
+    assert sorted(found["loops"], key=str)[:1] == [(0, 0)] and ("the catalog repeats its page 1" in str(found["loops"]))
+    assert catalogs.list_catalogs(df.where("false"), lister).count() == 0

@@ -94,3 +94,26 @@ def probed_client():
         return _reply(row["provider"], "pong", "ping")
 
     return call
+
+
+def customer_lister():
+    """Lists customers by number, 100 a page, those of three of four numbers; one provider fails on its second page."""
+    tried: set = set()
+
+    def ask(provider: str, token: str | None):
+        start = int(token or 0)
+        if start == 100 and provider == "nvidia":
+            raise RuntimeError("API error (503)")
+        if provider not in tried:
+            tried.add(provider)
+            raise RateLimited(retry_after="0")
+        names = [f"Customer#{n:09d}" for n in range(start, start + 100) if n % 4]
+        if provider == "ollama":
+            reply = {"models": [{"name": x, "capabilities": ["vision"] if int(x[-1]) % 2 else []} for x in names]}
+        elif provider == "gemini":
+            reply = {"models": [{"name": f"models/{x}", "supportedGenerationMethods": ["generateContent"]} for x in names]}
+        else:
+            reply = {"data": [{"id": x} for x in names]}
+        return reply, str(start + 100) if start < 900 else None
+
+    return ask

@@ -131,6 +131,24 @@ def preflight_findings(spark, d):
     )
 
 
+@query(
+    "preflight_live",
+    f"""WITH {MODELS}, asked AS (SELECT provider, model FROM models UNION SELECT 'groq', 'openai/gpt-oss-20b'),
+      listed AS (SELECT 'Customer#' || lpad(CAST(n AS VARCHAR), 9, '0') AS model, n FROM range(1000) AS r(n) WHERE n % 4 <> 0)
+      SELECT 'missing' AS "check", provider, model AS name, CAST(NULL AS VARCHAR) AS message, true AS fatal
+        FROM asked WHERE provider <> 'nvidia' AND model NOT IN (SELECT model FROM listed)
+      UNION ALL SELECT 'listing', 'nvidia', NULL, 'API error (503)', true FROM (SELECT 1 FROM asked WHERE provider = 'nvidia' LIMIT 1)
+      UNION ALL SELECT 'probe', provider, min(model), CASE provider WHEN 'nvidia' THEN 'API error (403)' ELSE 'API error (500)' END, provider = 'nvidia'
+        FROM asked WHERE provider IN ('nvidia', 'gemini') GROUP BY provider
+      UNION ALL SELECT DISTINCT 'vision', provider, model, NULL, false FROM models JOIN listed USING (model) WHERE provider = 'ollama' AND n % 2 = 0""",
+)
+def preflight_live(spark, d):
+    """The same models against catalogs that providers list page by page; one provider's listing breaks off."""
+    return preflight_plan.live_preflight(
+        t.model_list(spark, d), clients.customer_lister, clients.probed_client, vision=True, max_concurrency=2, max_retries=1
+    )
+
+
 def _catalog_replies(spark, d):
     """One catalog reply per supplier, in the shape of its provider."""
     s = t.table(spark, d, "supplier")
