@@ -2,13 +2,18 @@
 
 import json
 import random
+import sys
 
 import pytest
 from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 
-from gradeloom.operators import matrix, preflight
+from gradeloom.operators import catalogs, matrix, preflight
+from gradeloom.operators.inference import TransportError
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def test_normalize_models(spark):
@@ -142,8 +147,6 @@ def test_long_keys_meet_on_segments(spark):
 
 def lister():
     """Catalogs of three pages; some fail on the second, never end, or can't be reached at once."""
-    from gradeloom.operators.inference import TransportError
-
     lost = []
 
     def ask(provider, token):
@@ -162,13 +165,6 @@ def lister():
 
 
 def test_catalogs_are_listed_page_by_page_and_fail_by_provider(spark):
-    import sys
-
-    from pyspark import cloudpickle
-
-    from gradeloom.operators import catalogs
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     names = ["whole", "fails", "loops", "silent", "lost", "whole", None]
     df = spark.createDataFrame([(n,) for n in names], "provider string")
     listed = catalogs.list_catalogs(df, lister, max_retries=1, max_backoff_s=0)
