@@ -2,11 +2,14 @@
 
 A document fails by itself if it has too few words or repeats itself. All rule
 failures are then counted by host. A host's failure rate is drawn towards what
-all hosts show, by a beta prior fitted to the hosts' rates, and hosts whose
-drawn rate is too high lose all their documents.
+all hosts show, by a beta prior fitted to the hosts' counts. A host is rejected,
+with all its documents, if its rate is almost surely above the mean of the hosts
+by a margin. Hosts that differ by no more than chance are all drawn to the mean.
 
 Null text is a text without words. A null host is a host of its own. Rows with
-the same id stay apart. An empty table gives an empty table.
+the same id stay apart. An empty table gives an empty table. Texts of any length
+are counted whole, inside one task each. Other columns of the documents, of any
+name, don't come into the result; there are no ties to break.
 """
 
 from __future__ import annotations
@@ -31,8 +34,11 @@ class Rules:
     most_repeat_percent: int = 50
     most_symbol_percent: int = 10
     most_dup_line_percent: int = 30
-    #: Hosts whose drawn failure rate is above this are rejected.
-    most_host_rate: float = 0.7
+    #: A host is rejected if its drawn rate, less `sure` standard deviations of it, is above the mean by more than this.
+    most_excess: float = 0.2
+    sure: float = 3.0
+    #: Documents that the prior is worth at least, so that single documents of small hosts decide nothing.
+    least_prior: float = 1.0
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -103,23 +109,40 @@ def document_rules(documents: DataFrame, rules: Rules, doc_id: str = "doc_id", h
 def host_verdicts(measured: DataFrame, rules: Rules) -> DataFrame:
     """One row per host: its documents, its failures, its drawn rate, and whether it is rejected.
 
-    The prior's mean is the mean rate of the hosts and its strength follows
-    from their variance. If all hosts have the same rate, no host differs from
-    the mean, so the strength doesn't matter; it is then one document.
+    Hosts' failures are taken as beta-binomial. `rho`, the correlation of two
+    documents of one host, follows from the squared deviations of the hosts'
+    rates, weighted by documents, less what chance alone gives them; the prior
+    is worth 1 / rho - 1 documents. The mean weighs each rate by its precision
+    under that rho, so that a host of a third of all documents is not the mean.
     """
-    hosts = measured.groupBy("host").agg(
+    counts = measured.groupBy("host").agg(
         F.count("*").alias("host_docs"), F.count_if("failed").alias("host_failed")
     )
-    rate = F.col("host_failed") / F.col("host_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
-    strength = F.when(F.col("v") > 0, F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(0.0))).otherwise(1.0)
-    fitted = prior.select(F.struct("m", strength.alias("s"))).scalar()
-    m, s = F.col("prior.m"), F.col("prior.s")
-    drawn = hosts.withColumn("prior", fitted).withColumn(
-        "host_rate", (F.col("host_failed") + m * s) / (F.col("host_docs") + s)
-    )
-    return drawn.select(
-        "host", "host_docs", "host_failed", "host_rate", (F.col("host_rate") > rules.most_host_rate).alias("host_rejected")
+    hosts = written(counts, "host-counts")
+    n, x = F.col("host_docs").cast("double"), F.col("host_failed").cast("double")
+    sums = hosts.agg(
+        F.sum(n).alias("n"), F.sum(x).alias("x"), F.sum(n * n).alias("nn"), F.sum(x * x / n).alias("xx"),
+        (F.count("*") - 1).alias("free"),
+    ).withColumn("p", F.col("x") / F.col("n"))
+    chance = F.col("p") * (1 - F.col("p"))
+    spread = F.col("xx") - F.col("x") * F.col("p")
+    room = F.col("n") - F.col("nn") / F.col("n") - F.col("free")
+    # Without room (single hosts, or hosts of one document each) nothing tells hosts from chance.
+    estimate = F.when((chance > 0) & (room > 0), (spread / chance - F.col("free")) / room).otherwise(0.0)
+    rho = sums.select(F.greatest(F.lit(0.0), F.least(estimate, F.lit(1 / (1 + rules.least_prior))))).scalar()
+    known = hosts.withColumn("rho", rho)
+    weight = n / (1 + F.col("rho") * (n - 1))
+    mean = known.agg(F.sum(weight * x / n) / F.sum(weight)).scalar()
+    pull = (1 - F.col("rho")) / (1 - F.col("rho") + F.col("rho") * n)
+    rate = F.col("host_rate")
+    deviation = F.sqrt(rate * (1 - rate) * F.col("rho") / (1 + F.col("rho") * n))
+    return (
+        known.withColumn("mean", mean)
+        .withColumn("host_rate", F.col("mean") * pull + x / n * (1 - pull))
+        .select(
+            "host", "host_docs", "host_failed", "host_rate",
+            (rate - rules.sure * deviation > F.col("mean") + rules.most_excess).alias("host_rejected"),
+        )
     )
 
 
@@ -173,12 +196,22 @@ WITH docs AS (
   FROM counted
 ), hosts AS (
   SELECT source, count(*) AS host_docs, count(*) FILTER (failed) AS host_failed FROM ruled GROUP BY source
-), prior AS (
-  SELECT avg(host_failed / host_docs) AS m, var_pop(host_failed / host_docs) AS v FROM hosts
+), sums AS (
+  SELECT CAST(sum(host_docs) AS DOUBLE) AS n, sum(host_failed) / n AS p, count(*) - 1 AS free,
+    n - sum(CAST(host_docs AS DOUBLE) * host_docs) / n - free AS room,
+    sum(host_docs * (host_failed / host_docs - (SELECT sum(host_failed) / sum(host_docs) FROM hosts)) ** 2) AS spread
+  FROM hosts
+), fitted AS (
+  SELECT CASE WHEN p * (1 - p) > 0 AND room > 0 THEN least(greatest((spread / (p * (1 - p)) - free) / room, 0), 0.5) ELSE 0 END AS rho
+  FROM sums
+), mean AS (
+  SELECT sum(host_failed / (1 + rho * (host_docs - 1))) / sum(host_docs / (1 + rho * (host_docs - 1))) AS m FROM hosts, fitted
+), posterior AS (
+  SELECT *, CASE WHEN rho > 0 THEN (host_failed + m * (1 / rho - 1)) / (host_docs + 1 / rho - 1) ELSE m END AS rate,
+    CASE WHEN rho > 0 THEN sqrt(rate * (1 - rate) / (host_docs + 1 / rho)) ELSE 0 END AS deviation
+  FROM hosts, fitted, mean
 ), drawn AS (
-  SELECT hosts.*, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 0) ELSE 1 END AS s,
-    (host_failed + m * s) / (host_docs + s) > 0.7 AS rejected
-  FROM hosts, prior
+  SELECT *, rate - 3 * deviation > m + 0.2 AS rejected FROM posterior
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_docs, host_failed,
   NOT base_failed AND NOT rejected AS kept

@@ -139,6 +139,72 @@ def test_hosts_lose_all_documents_only_beyond_the_drawn_rate(spark):
     assert not kept[200] and not kept[300] and kept[301] and not kept[401]
 
 
+def brute_verdicts(hosts, excess=0.2, sure=3.0, most_rho=0.5):
+    """{host: (documents, failures)} to (drawn rate, rejected), by the formulas of beta-binomial moments."""
+    n, x = sum(d for d, _ in hosts.values()), sum(f for _, f in hosts.values())
+    p, free = x / n, len(hosts) - 1
+    room = n - sum(d * d for d, _ in hosts.values()) / n - free
+    rho = 0.0
+    if 0 < p < 1 and room > 0:
+        rho = (sum(d * (f / d - p) ** 2 for d, f in hosts.values()) / (p * (1 - p)) - free) / room
+        rho = min(max(rho, 0.0), most_rho)
+    weights = {h: d / (1 + rho * (d - 1)) for h, (d, _) in hosts.items()}
+    mean = sum(w * hosts[h][1] / hosts[h][0] for h, w in weights.items()) / sum(weights.values())
+    found = {}
+    for h, (d, f) in hosts.items():
+        rate, error = mean, 0.0
+        if rho > 0:
+            worth = 1 / rho - 1
+            a, b = mean * worth + f, (1 - mean) * worth + d - f
+            rate, error = a / (a + b), (a * b / (a + b) ** 2 / (a + b + 1)) ** 0.5
+        found[h] = (rate, rate - sure * error > mean + excess)
+    return found
+
+
+@pytest.mark.parametrize(
+    ("hosts", "rejected"),
+    [
+        # One bad host among like ones goes; chance alone rejects nobody.
+        ({f"h{i}": (40, 5 + i % 3) for i in range(12)} | {"bad": (60, 50)}, {"bad"}),
+        ({f"h{i}": (20, 2 + i % 3) for i in range(20)}, set()),
+        # A small host that fails once stays, beside hosts without failures.
+        ({f"h{i}": (1, int(i == 0)) for i in range(20)} | {"big": (50, 0)}, set()),
+        # A bad host of a third of all documents is not the mean.
+        ({f"h{i}": (30, 3 + i % 2) for i in range(40)} | {"hot": (600, 420), None: (5, 1)}, {"hot"}),
+        ({"only": (7, 6)}, set()),
+        ({"none": (3, 0), "all": (2, 0)}, set()),
+    ],
+)
+def test_host_verdicts_as_brute_force(spark, hosts, rejected):
+    rows = [(h, i < f) for h, (d, f) in hosts.items() for i in range(d)]
+    measured = spark.createDataFrame(rows, "host string, failed boolean")
+    found = {r["host"]: r for r in quality_rules.host_verdicts(measured, quality_rules.Rules()).collect()}
+    expected = brute_verdicts(hosts)
+    assert {h: (r["host_docs"], r["host_failed"]) for h, r in found.items()} == hosts
+    for host, (rate, out) in expected.items():
+        assert found[host]["host_rate"] == pytest.approx(rate, abs=1e-9) and found[host]["host_rejected"] == out
+    assert {h for h, r in found.items() if r["host_rejected"]} == rejected
+
+
+def test_the_host_verdict_changes_rows_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    good = " ".join(f"w{i}" for i in range(60))
+    marked = good + " ####" * 60  # Fails a rule of the host's only, so that its own words keep it.
+    rows = [(i, marked if i % 8 == 0 else good, f"h{i % 6}") for i in range(120)]
+    rows += [(1000 + i, good if i % 10 == 0 else marked, "bad") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("kept", F.lit("x"))
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = quality_rules.op5_quality_rules(spark, str(tmp_path)).toPandas()
+    out = set(found[~found["kept"] & ~found["base_failed"]]["doc_id"])
+    assert out == set(range(1000, 1050))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = con.execute(quality_rules.OP5_SQL).df()[list(found.columns)]
+    key = lambda f: sorted(map(tuple, f.itertuples(index=False)))
+    assert key(found) == key(expected)
+
+
 def test_hosts_that_all_agree_have_their_rate(spark):
     df = docs(spark, ["x", "y", "z"])
     verdicts = quality_rules.host_verdicts(quality_rules.document_rules(df, quality_rules.Rules()), quality_rules.Rules())
