@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gradeloom import scratch_path
 from gradeloom.operators import report, scoring, sinks
 from gradeloom.sources import datasets, store
-from gradeloom.streaming import jobs
+from gradeloom.streaming import jobs, live
 from workload import registry as r
 from workload import run
 from workload import tables as t
@@ -258,3 +258,98 @@ def stream_leaderboard_windowed(spark, d):
     return board.select(
         F.date_format("window.start", "yyyy-MM-dd").alias("day"), "model", "n", "mean_score"
     )
+
+
+def _in_parts(spark, name, tables, run):
+    """Lands the parts of each table one after another and runs the stream to its end after each."""
+    path = scratch_path(spark, name)
+    for part in range(2):
+        for i, (df, belongs) in enumerate(tables):
+            df.where(belongs == part).write.mode("append").parquet(f"{path}/in{i}")
+        sources = [spark.readStream.schema(df.schema).parquet(f"{path}/in{i}") for i, (df, _) in enumerate(tables)]
+        run(*sources, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return f"{path}/out"
+
+
+@query(
+    "stream_verdicts",
+    """WITH v AS (SELECT event_id, ts, value, event_id % 7 <> 0 AS is_judged, ts + to_days(CAST(event_id % 5 AS INT)) AS judged_at FROM events),
+      w AS (SELECT least(max(ts), max(judged_at) FILTER (is_judged)) - INTERVAL 1 DAY AS passed FROM v),
+      k AS (SELECT event_id, value, CASE WHEN is_judged AND event_id % 5 <= 3 THEN 'verdict'
+          WHEN is_judged AND judged_at < passed THEN 'correction'
+          WHEN ts + INTERVAL 3 DAY < passed THEN 'expired' END AS kind FROM v, w)
+      SELECT event_id AS observation_id, CASE WHEN kind <> 'expired' THEN value END AS score, kind FROM k WHERE kind IS NOT NULL""",
+)
+def stream_verdicts(spark, d):
+    """Verdicts land up to four days after their reply, every other one before it in the stream."""
+    events = t.table(spark, d, "events").withColumn("replied_at", F.col("ts").cast("timestamp"))
+    id_, half = F.col("observation_id"), (F.dayofmonth("replied_at") > 15).cast("int")
+    replies = events.select(F.col("event_id").alias("observation_id"), "replied_at")
+    judged = F.col("replied_at") + F.make_interval(days=(F.col("event_id") % 5).cast("int"))
+    verdicts = events.where("event_id % 7 <> 0").select(
+        F.col("event_id").alias("observation_id"), "replied_at", judged.alias("judged_at"), F.col("value").alias("score")
+    )
+    out = _in_parts(
+        spark,
+        "stream-verdicts",
+        [(replies, half), (verdicts, F.when(id_ % 2 == 0, 0).otherwise(half))],
+        lambda a, b, path, checkpoint: live.stream_verdicts(a, b, path, checkpoint, watermark="1 day", patience="3 days"),
+    )
+    live.compact(spark, out, live.latest_verdict())
+    return live.read_verdicts(spark, out)
+
+
+@query(
+    "stream_closed_sessions",
+    """WITH e AS (SELECT 'eval-' || strftime(ts, '%Y-%m-%d') AS session_id, event_type AS model, ts, value,
+          event_type <> 'error' AND event_id % 11 <> 0 AS scored, event_type <> 'error' AND event_id % 11 = 0 AS unscored FROM events),
+      g AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 6 HOUR, FALSE) AS starts FROM e
+        WINDOW w AS (PARTITION BY session_id, model ORDER BY ts)),
+      i AS (SELECT *, sum(CAST(starts AS INT)) OVER (PARTITION BY session_id, model ORDER BY ts) AS island FROM g),
+      c AS (SELECT session_id, model, max(ts) + INTERVAL 6 HOUR AS ended, count(*) FILTER (scored) AS n,
+        sum(value) FILTER (scored) AS total, count(*) FILTER (unscored) AS unscored FROM i GROUP BY session_id, model, island)
+      SELECT session_id, model, CAST(sum(n) AS BIGINT) AS n, CAST(sum(unscored) AS BIGINT) AS unscored,
+        CASE WHEN sum(n) > 0 THEN round(sum(total) / sum(n), 6) END AS mean_score
+      FROM c WHERE ended < (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY session_id, model""",
+)
+def stream_closed_sessions(spark, d):
+    """Sessions are written once, when they have been idle for six hours."""
+    results = t.table(spark, d, "events").select(
+        F.concat(F.lit("eval-"), F.date_format("ts", "yyyy-MM-dd")).alias("session_id"),
+        F.col("event_type").alias("model"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("score"),
+        F.when(F.col("event_type") == "error", "failed").alias("error"),
+    )
+    out = _in_parts(
+        spark,
+        "stream-closed",
+        [(results, (F.dayofmonth("ts") > 15).cast("int"))],
+        lambda rows, path, checkpoint: live.stream_closed_sessions(rows, path, checkpoint, idle="6 hours", watermark="1 hour"),
+    )
+    return live.read_closed_sessions(spark, out).drop("first_at", "closed_at")
+
+
+@query(
+    "stream_progress",
+    """WITH r AS (SELECT 'eval-' || strftime(ts, '%Y-%m-%d') AS session_id, coalesce(CASE WHEN event_id % 9 <> 0
+          THEN CAST(round(value * 10) AS BIGINT) END, 0) AS ms FROM events)
+      SELECT session_id, count(*) AS completed, count(*) + 10 AS total, CAST(10 AS BIGINT) AS remaining,
+        round(avg(ms), 6) AS mean_ms, round(avg(ms) * 10, 6) AS eta_ms FROM r GROUP BY session_id""",
+)
+def stream_progress(spark, d):
+    """Live progress of sessions that have ten replies to come."""
+    results = t.table(spark, d, "events").select(
+        F.concat(F.lit("eval-"), F.date_format("ts", "yyyy-MM-dd")).alias("session_id"),
+        F.col("event_id"),
+        F.when(F.col("event_id") % 9 != 0, F.round(F.col("value") * 10).cast("long")).alias("elapsed_ms"),
+    )
+    planned = results.groupBy("session_id").agg((F.count("*") + 10).alias("total"))
+    out = _in_parts(
+        spark,
+        "stream-progress",
+        [(results, F.col("event_id") % 2)],
+        lambda rows, path, checkpoint: live.stream_progress(rows.join(planned, "session_id", "left"), path, checkpoint),
+    )
+    live.compact(spark, out, live.newest(("session_id",)))
+    return live.read_progress(spark, out)
