@@ -10,7 +10,9 @@ any length is named by the intervals of two powers of two that cover it.
 A repeated run counts if it has `least_words` words. Every such run is covered
 by runs that are as short as they can be from their first or from their last
 line, so only these are looked up: the copies of one form an interval, and all
-but the first copy, by document id and line, are deleted. Copies may overlap.
+but the first copy, by document id and line, are deleted. A copy that overlaps
+the first one is no copy of its own and stays, so the first is always whole:
+of thirty equal lines of five words, ten stay.
 
 Lines that occur once can't be in a repeated run, so positions are reduced to
 repeated lines before any doubling; as each line has a word, runs have no more
@@ -18,7 +20,9 @@ lines than `least_words`, and the number of rounds is its logarithm.
 
 Null texts stay null, and lines without a word stay. Null ids come last in the
 order. Rows that agree in id and text count as one document and are changed
-alike. Other columns pass through. An empty table gives an empty table.
+alike. Other columns pass through. An empty table gives an empty table. A very
+long text is a value of one task when it is split and put together again; its
+lines are rows in between.
 """
 
 from __future__ import annotations
@@ -153,7 +157,9 @@ def later_copies(documents: DataFrame, doc_id: str, text: str, least_words: int)
     where = F.struct(F.col("id").isNull(), "id", *DOC, "start").alias("where")
     runs = written(runs.select(*interval, where, *DOC, "start"), "line-runs")
     first = runs.groupBy(*interval).agg(F.min("where").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    later = runs.join(first, interval).where(F.col("where") > F.col("first"))
+    same = (F.col("_k1") == F.col("first._k1")) & (F.col("_k2") == F.col("first._k2"))
+    overlaps = same & (F.col("start") < F.col("first.start") + F.col("size"))
+    later = runs.join(first, interval).where((F.col("where") > F.col("first")) & ~overlaps)
     deleted = later.select(*DOC, F.explode(F.sequence("start", (F.col("start") + F.col("size") - 1).cast("int"))).alias("seq"))
     return (
         positions.select(*DOC, "seq", "pos")
@@ -243,8 +249,11 @@ WITH split AS (
 ), named AS (
   SELECT doc_id, first, size, array_to_string(all_lines[first : first + size - 1], chr(10)) AS content
   FROM runs JOIN lists USING (doc_id)
+), copies AS (
+  SELECT *, row_number() OVER by_place AS nth, first_value(doc_id) OVER by_place AS doc0, first_value(first) OVER by_place AS first0
+  FROM named WINDOW by_place AS (PARTITION BY content ORDER BY doc_id, first)
 ), later AS (
-  SELECT doc_id, first, size FROM named QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id, first) > 1
+  SELECT doc_id, first, size FROM copies WHERE nth > 1 AND NOT (doc_id = doc0 AND first < first0 + size)
 ), gone AS (
   SELECT DISTINCT doc_id, seq FROM (SELECT doc_id, unnest(range(first, first + size)) AS seq FROM later)
 ), removed AS (

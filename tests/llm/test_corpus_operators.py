@@ -145,25 +145,39 @@ def test_one_of_each_group_stays(spark):
 
 
 def brute_lines(texts, least):
-    """Deletes lines in runs of `least` words that stood before, by looking at all pairs of places."""
+    """Deletes what stood before, by looking at every run of lines.
+
+    A run counts if it has `least` words, but not without its first line or not
+    without its last. Of its occurrences those that don't touch the first go.
+    """
     every = []
     for t in texts:
         split = [] if t is None else t.split("\n")
         every.append([(i, x) for i, x in enumerate(split) if re.search(r"[^\x20\x09-\x0D]", x)])
-    size = lambda x: len(re.findall(r"[^\x20\x09-\x0D]+", x))
-    places = [(d, i) for d, lines in enumerate(every) for i in range(len(lines))]
-    gone = [set() for _ in texts]
-    for n, (d, i) in enumerate(places):
-        for e, j in places[:n]:
-            k = words = 0
-            while i + k < len(every[d]) and j + k < len(every[e]) and every[d][i + k][1] == every[e][j + k][1]:
-                words += size(every[d][i + k][1])
-                k += 1
-            if words >= least:
-                gone[d].update(p for p, _ in every[d][i : i + k])
+    size = lambda run: sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for _, x in run)
+    first, gone = {}, [set() for _ in texts]
+    for d, lines in enumerate(every):
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                run = lines[i:j]
+                if size(run) < least or size(run[1:]) >= least and size(run[:-1]) >= least:
+                    continue
+                e, k = first.setdefault(tuple(x for _, x in run), (d, i))
+                if (e, k) != (d, i) and not (e == d and i < k + len(run)):
+                    gone[d].update(p for p, _ in run)
     return [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g) for t, g in zip(texts, gone, strict=True)]
 
 
+def test_a_run_that_overlaps_itself_keeps_its_first_copy(spark):
+    line = "five words in every line"
+    texts = ["\n".join([line] * 30), "\n".join([line] * 15) + "\nq", "\n".join(["a b c d e", "f g h i j"] * 14)]
+    new = {r["_row"]["doc_id"]: r for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert new[0]["text"] == "\n".join([line] * 10) and new[1]["text"] == "q"
+    assert new[2]["text"] == "\n".join(["a b c d e", "f g h i j"] * 5)
+    alone = line_dedup.dedup_lines(docs(spark, ["\n".join([line] * 19)])).first()
+    assert alone["removed"] is None and alone["text"].count(line) == 19
+
+
 @pytest.mark.parametrize("least", [1, 3, 7])
 def test_later_copies_go_as_by_brute_force(spark, least):
     rng = random.Random(least)
