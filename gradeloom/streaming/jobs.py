@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from gradeloom.functions.identity import is_finite
 from gradeloom.operators.scoring import all_scores
 from gradeloom.operators.sinks import fan_out
+from gradeloom.streaming import live
 
 
 def stream_scores(
@@ -81,8 +82,14 @@ def stream_leaderboard(
 
 
 def read_leaderboard(spark: SparkSession, path: str, by: tuple[str, ...] = ("session_id", "model")) -> DataFrame:
-    """Current leaderboard: the newest written row of each group."""
-    written = spark.read.parquet(path)
-    values = [c for c in written.columns if c not in (*by, "batch_id")]
-    newest = written.groupBy(*by).agg(F.max_by(F.struct(*values), "batch_id").alias("_row"))
-    return newest.select(*by, "_row.*")
+    """Current leaderboard: the newest written row of each group.
+
+    Reads the newest snapshot and the batches after it; `compact_leaderboard` makes one.
+    """
+    return live.newest(by)(live.landed(spark, path)).drop("batch_id")
+
+
+def compact_leaderboard(spark: SparkSession, path: str, by: tuple[str, ...] = ("session_id", "model")) -> None:
+    """Folds written batches, so that readers and the folder grow with the groups and not with the batches."""
+    live.compact(spark, path, live.newest(by))
+    live.vacuum(spark, path)

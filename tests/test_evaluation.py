@@ -218,6 +218,9 @@ def test_stream_leaderboard_updates(spark):
     assert [(r["n"], r["mean_score"], r["unscored"]) for r in go()] == [(2, 1.0, 0), (2, 2.0, 0)]
     land(responses(spark, (4, 7), "if(id = 6, null, id)"), f"{base}/in")
     assert [(r["n"], r["mean_score"], r["unscored"]) for r in go()] == [(3, 2.0, 1), (3, 3.0, 0)]
+    jobs.compact_leaderboard(spark, f"{base}/out")
+    land(responses(spark, (7, 8), "9"), f"{base}/in")
+    assert [(r["n"], r["mean_score"], r["unscored"]) for r in go()] == [(3, 2.0, 1), (4, 4.5, 0)]
 
 
 def test_leaderboard_with_window_drops_old_state(spark):
