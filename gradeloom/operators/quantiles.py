@@ -50,10 +50,20 @@ def exact_quantiles(
     ).first()
     bounds = constant_array(sketch[0] or [], T.DoubleType())
     marked = with_count_below(present, "_v", bounds, buckets - 1, "_bucket")
+    counted = marked.groupBy(*by, "_bucket").agg(F.count("*").alias("_c"))
+    targets = wanted_parts(counted, by, wanted)
+    if sketch[1] * GROUP_BYTES * len(wanted) <= broadcast_bytes(df):
+        targets = F.broadcast(targets)
+    return within_parts(marked, targets, by, wanted, F.count("*"))
+
 
+def wanted_parts(counted: DataFrame, by: list[str], wanted: dict[str, float]) -> DataFrame:
+    """The parts (`_bucket`) of each group that hold a wanted rank, with the group's values and those before the part.
+
+    `counted` has one row per group and part, with the part's values as `_c`.
+    """
     group = Window.partitionBy(*by)
-    # One row per group and bucket, so at most `buckets` rows per window partition.
-    counted = marked.groupBy(*by, "_bucket").agg(F.count("*").alias("_c"))
+    # One row per group and part, so a window partition has as many rows as there are parts.
     earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.select(
         *by,
@@ -66,16 +76,21 @@ def exact_quantiles(
     for q in wanted.values():
         for rank in (_low(q), _high(q)):
             holds_a_rank = holds_a_rank | _within(rank, F.col("_before"), F.col("_before") + F.col("_c"))
-    targets = placed.where(holds_a_rank).select(*by, "_bucket", "_n", "_before")
-    if sketch[1] * GROUP_BYTES * len(wanted) <= broadcast_bytes(df):
-        targets = F.broadcast(targets)
+    return placed.where(holds_a_rank).select(*by, "_bucket", "_n", "_before")
 
-    # Only the wanted buckets are left; equal values are merged before they are shuffled.
+
+def within_parts(
+    valued: DataFrame, targets: DataFrame, by: list[str], wanted: dict[str, float], weight: Column
+) -> DataFrame:
+    """The quantiles from the values (`_v`) in the wanted parts; `weight` aggregates how often a value is there.
+
+    Only the wanted parts are left by the join; equal values are merged before they are shuffled.
+    """
     keys = [*by, "_bucket", "_n", "_before", "_v"]
     merged = (
-        join_null_safe(marked, targets, [*by, "_bucket"], "inner")
+        join_null_safe(valued, targets, [*by, "_bucket"], "inner")
         .groupBy(*keys)
-        .agg(F.count("*").alias("_w"))
+        .agg(weight.alias("_w"))
     )
     ordered = Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = merged.withColumn("_end", F.col("_before") + F.sum("_w").over(ordered))
@@ -87,8 +102,10 @@ def exact_quantiles(
             picks.append(
                 F.max(F.when(_within(rank, start, F.col("_end")), F.col("_v"))).alias(f"_{side}{i}")
             )
-    picked = ranked.groupBy(*by).agg(*picks)
+    return _between(ranked.groupBy(*by).agg(*picks), by, wanted)
+
 
+def _between(picked: DataFrame, by: list[str], wanted: dict[str, float]) -> DataFrame:
     columns = []
     for i, (name, q) in enumerate(wanted.items()):
         fraction = (F.col("_n") - 1) * F.lit(float(q)) - _low(q)

@@ -97,27 +97,9 @@ def report_items(generations: DataFrame) -> DataFrame:
     return named_generations(generations).select("model", "item_id", "latency_ms")
 
 
-def model_report(
-    generations: DataFrame,
-    scores: DataFrame,
-    by: tuple[str, ...] = ("model",),
-    exact: bool = True,
-) -> DataFrame:
-    """One row per model over stored generations and scores.
-
-    Generations are counted and summed without any join. Only `(id, group)`
-    pairs meet the folded scores, so that join shuffles two narrow columns; ids
-    are unique here, so no key of it is hot. Groups by model name alone unless
-    `by` also names the provider. A sketch job runs when this is called (see
-    `exact_quantiles`).
-    """
-    keys = list(by)
-    named = named_generations(generations)
-
-    # Folded by provider as well, so that the big pass only keeps numbers per
-    # group; the "first seen" provider, that of the earliest tagged generation,
-    # is then picked among a few rows per model.
-    per_provider = named.groupBy(*dict.fromkeys([*keys, "provider"])).agg(
+def generation_totals() -> list:
+    """Sums of named generations that add up over groups."""
+    return [
         F.count("*").alias("n"),
         F.sum("latency_ms").alias("latency_sum"),
         F.count("latency_ms").alias("latency_n"),
@@ -125,11 +107,18 @@ def model_report(
         F.sum("tokens_out").alias("tokens_out"),
         F.sum("total_cost").alias("cost"),
         F.min("start_time").alias("first_time"),
-    )
+    ]
+
+
+def totals_by(per_provider: DataFrame, keys: list[str]) -> DataFrame:
+    """Totals by provider folded to one row per group.
+
+    The "first seen" provider is that of the earliest tagged generation.
+    """
     first_provider = F.min_by(
         "provider", F.when(F.col("provider").isNotNull(), F.struct("first_time", "provider"))
     )
-    base = per_provider.groupBy(*keys).agg(
+    return per_provider.groupBy(*keys).agg(
         *([first_provider.alias("provider")] if "provider" not in keys else []),
         F.sum("n").alias("n"),
         (F.sum("latency_sum") / F.nullif(F.sum("latency_n"), F.lit(0))).alias("latency_mean_ms"),
@@ -138,22 +127,25 @@ def model_report(
         F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"),
     )
 
-    scored = (
-        named.select("observation_id", *keys)
-        .join(scores_by_observation(scores), "observation_id")
-        .groupBy(*keys)
-        .agg(
-            *[F.sum(c).alias(c) for c in SCORE_TOTALS],
-            F.min("judge_min").alias("judge_min"),
-            F.max("judge_max").alias("judge_max"),
-        )
-    )
 
-    quantiles = (exact_quantiles if exact else approx_quantiles)(
-        named, keys, "latency_ms", LATENCY_QUANTILES
-    )
+def score_sums() -> list:
+    """Sums of folded scores that add up over groups."""
+    return [
+        *[F.sum(c).alias(c) for c in SCORE_TOTALS],
+        F.min("judge_min").alias("judge_min"),
+        F.max("judge_max").alias("judge_max"),
+    ]
+
+
+def scores_by(named: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
+    """Score totals per group of named generations; only ids and keys meet the folded scores."""
+    folded = scores_by_observation(scores)
+    return named.select("observation_id", *keys).join(folded, "observation_id").groupBy(*keys).agg(*score_sums())
+
 
-    joined = join_null_safe(join_null_safe(base, scored, keys), quantiles, keys)
+def assembled(totals: DataFrame, quantiles: DataFrame, keys: list[str]) -> DataFrame:
+    """The report's columns from totals of generations and scores, and quantiles, per group."""
+    joined = join_null_safe(totals, quantiles, keys)
     counts = ["judge_n", "unscored", "schema_pass", "schema_total", "truncated"]
     return joined.fillna(0, subset=counts).select(
         *keys,
@@ -175,6 +167,36 @@ def model_report(
     )
 
 
+def model_report(
+    generations: DataFrame,
+    scores: DataFrame,
+    by: tuple[str, ...] = ("model",),
+    exact: bool = True,
+) -> DataFrame:
+    """One row per model over stored generations and scores.
+
+    Generations are counted and summed without any join. Only `(id, group)`
+    pairs meet the folded scores, so that join shuffles two narrow columns; ids
+    are unique here, so no key of it is hot. Groups by model name alone unless
+    `by` also names the provider. A sketch job runs when this is called (see
+    `exact_quantiles`).
+    """
+    keys = list(by)
+    named = named_generations(generations)
+
+    # Folded by provider as well, so that the big pass only keeps numbers per
+    # group; the provider is then picked among a few rows per model.
+    per_provider = named.groupBy(*dict.fromkeys([*keys, "provider"])).agg(*generation_totals())
+    base = totals_by(per_provider, keys)
+
+    scored = scores_by(named, scores, keys)
+    quantiles = (exact_quantiles if exact else approx_quantiles)(
+        named, keys, "latency_ms", LATENCY_QUANTILES
+    )
+
+    return assembled(join_null_safe(base, scored, keys), quantiles, keys)
+
+
 def order_report(report: DataFrame) -> DataFrame:
     """Best judge average first (none counts as -1), then most generations, then name."""
     return report.orderBy(

@@ -16,6 +16,7 @@ from gradeloom.operators.matrix import effective_params, eval_matrix, filter_ena
 from gradeloom.operators.observations import build_observations, generations_of
 from gradeloom.operators.requests import build_messages, build_provider_requests, to_response_format, trace_identity
 from gradeloom.operators.responses import normalize_responses
+from gradeloom.operators.rollup import write_rollup
 from gradeloom.operators.scoring import (
     found_schema_score,
     judge_score,
@@ -146,11 +147,12 @@ def with_schema_results(results: DataFrame, schemas: dict[str, dict] | None) ->
     return found
 
 
-def store(made: Evaluation, base: str, environment: str, attempt: str | None = None) -> None:
+def store(made: Evaluation, base: str, environment: str, attempt: str | None = None, rollup: bool = False) -> None:
     """Writes a run to the store that the report reads: generations, scores, sessions.
 
     Each table is a commit, and the sessions come last, so that a session is
     seen when all of it is. Stored again, a run replaces what its sessions had.
+    With a rollup the totals are kept that `rolled_report` reads.
     """
     attempt, spark = attempt or uuid.uuid4().hex, made.results.sparkSession
     write_generations(generations_of(made.results), f"{base}/generations", attempt)
@@ -158,4 +160,7 @@ def store(made: Evaluation, base: str, environment: str, attempt: str | None = N
     written = commits.of_attempt(spark, f"{base}/generations", layouts.GENERATIONS, attempt)
     sessions = written.groupBy("session_id").agg(F.min("start_time").alias("created_at"))
     write_scores(made.scores, f"{base}/scores", attempt, sessions)
+    if rollup:
+        scores = commits.of_attempt(spark, f"{base}/scores", f"{layouts.SCORES}, session_id string", attempt)
+        write_rollup(written, scores, f"{base}/rollup", attempt, sessions)
     write_sessions(sessions.withColumn("environment", F.lit(environment)), f"{base}/sessions", attempt)

@@ -39,25 +39,54 @@ def has_log(spark: SparkSession, path: str) -> bool:
 
 def commit(
     rows: DataFrame, path: str, sessions: DataFrame | None = None, attempt: str | None = None, part: str = "",
-    by_session: bool = True,
+    by_session: bool = True, order: tuple[str, ...] = (),
 ) -> int:
     """Writes rows and makes them seen in one step; returns the number of the commit.
 
     `sessions` are all sessions that the commit speaks for, those without rows
     included; without it, the sessions of the rows. Without an attempt the
     commit is one of its own and replaces what its sessions had. `by_session`
-    lays out a folder per session, for tables in which a session has many rows.
+    lays out a folder per session, for tables in which a session has many rows,
+    its files sorted by `order`, so that filters on these columns skip pages.
+    """
+    name = uuid.uuid4().hex
+    named = _written(rows, f"{path}/commit={name}", sessions, by_session, order)
+    return _publish(rows.sparkSession, path, name, named.withColumn("attempt", F.lit(attempt or name)), part, None)
+
+
+def amend(
+    rows: DataFrame, path: str, part: str, sessions: DataFrame | None = None, by_session: bool = True, order: tuple[str, ...] = ()
+) -> int:
+    """Commits rows as a part of the newest attempt at each session, such as what comes after a run has been stored.
+
+    A session that has no attempt begins one. Where another attempt at a session
+    begins meanwhile, the rows belong to the former one and are not seen.
     """
     spark, name = rows.sparkSession, uuid.uuid4().hex
-    folder = f"{path}/commit={name}"
-    if by_session:
-        rows.hint("rebalance", "session_id").write.partitionBy("session_id").parquet(folder)
+    named = _written(rows, f"{path}/commit={name}", sessions, by_session, order)
+    if has_log(spark, path):
+        named = join_null_safe(named, _newest(entries(spark, path)), ["session_id"])
     else:
-        rows.write.parquet(folder)
+        named = named.withColumn("newest", F.lit(None).cast("string"))
+    return _publish(spark, path, name, named.withColumn("attempt", F.coalesce("newest", F.lit(name))), part, None)
+
+
+def _written(rows: DataFrame, folder: str, sessions: DataFrame | None, by_session: bool, order: tuple[str, ...]) -> DataFrame:
+    """Writes a commit's rows; returns the sessions that it speaks for."""
+    _write(rows, folder, by_session, order)
     if sessions is None:
-        sessions = spark.read.schema(rows.schema).parquet(folder)
-    named = sessions.select(F.col("session_id").cast("string").alias("session_id")).distinct()
-    return _publish(spark, path, name, named.withColumn("attempt", F.lit(attempt or name)), part, None)
+        sessions = rows.sparkSession.read.schema(rows.schema).parquet(folder)
+    return sessions.select(F.col("session_id").cast("string").alias("session_id")).distinct()
+
+
+def _write(rows: DataFrame, folder: str, by_session: bool, order: tuple[str, ...]) -> None:
+    if not by_session:
+        rows.write.parquet(folder)
+        return
+    spread = rows.hint("rebalance", "session_id")
+    if order:
+        spread = spread.sortWithinPartitions("session_id", *order)
+    spread.write.partitionBy("session_id").parquet(folder)
 
 
 def _publish(spark: SparkSession, path: str, name: str, sessions: DataFrame, part: str, upto: int | None) -> int:
@@ -83,6 +112,12 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(layout).parquet(f"{path}/{SESSIONS}").join(log, "commit")
 
 
+def _newest(known: DataFrame) -> DataFrame:
+    """The attempt at each session that began last."""
+    attempts = known.groupBy("session_id", "attempt").agg(F.min("number").alias("begun"))
+    return attempts.groupBy("session_id").agg(F.max_by("attempt", "begun").alias("newest"))
+
+
 def seen(spark: SparkSession, path: str, session_ids: list[str] | None = None) -> DataFrame:
     """Entries with `is_seen`: whether the commit's rows of the session count.
 
@@ -93,8 +128,7 @@ def seen(spark: SparkSession, path: str, session_ids: list[str] | None = None) -
     if session_ids is not None:
         known = known.where(F.col("session_id").isin(session_ids))
     place = F.struct(F.coalesce("upto", "number").alias("place"), "number")
-    attempts = known.groupBy("session_id", "attempt").agg(F.min("number").alias("begun"))
-    newest = attempts.groupBy("session_id").agg(F.max_by("attempt", "begun").alias("newest"))
+    newest = _newest(known)
     parts = known.groupBy("session_id", "attempt", "part").agg(F.max(place).alias("last"))
     marked = join_null_safe(join_null_safe(known, newest, ["session_id"]), parts, ["session_id", "attempt", "part"])
     is_seen = (F.col("attempt") == F.col("newest")) & (F.col("number") == F.col("last.number"))
@@ -142,7 +176,7 @@ def of_attempt(spark: SparkSession, path: str, layout: str, attempt: str) -> Dat
     return _scan(spark, path, layout, names).drop("commit") if names else spark.createDataFrame([], layout)
 
 
-def compact(spark: SparkSession, path: str, layout: str, by_session: bool = True) -> int:
+def compact(spark: SparkSession, path: str, layout: str, by_session: bool = True, order: tuple[str, ...] = ()) -> int:
     """Folds the seen rows of each part into one commit; returns how many commits it read.
 
     Parts keep apart, so that one committed again later still replaces itself.
@@ -154,10 +188,7 @@ def compact(spark: SparkSession, path: str, layout: str, by_session: bool = True
         name = uuid.uuid4().hex
         rows = read(spark, path, layout, part=r["part"])
         sessions = shown.where(F.col("part") == r["part"]).select("session_id", "attempt")
-        if by_session:
-            rows.hint("rebalance", "session_id").write.partitionBy("session_id").parquet(f"{path}/commit={name}")
-        else:
-            rows.coalesce(1).write.parquet(f"{path}/commit={name}")
+        _write(rows if by_session else rows.coalesce(1), f"{path}/commit={name}", by_session, order)
         _publish(spark, path, name, sessions, r["part"], upto)
         folded += r["n"]
     return folded

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from gradeloom import scratch_path
 from gradeloom.functions import identity
-from gradeloom.operators import matrix, quantiles, report, sinks, spread, summary
-from gradeloom.plans.report import session_report
+from gradeloom.operators import matrix, quantiles, report, rollup, sinks, spread, summary
+from gradeloom.plans.report import add_late_scores, rolled_report, session_report
 from gradeloom.sources import store
 from workload import registry as r
 from workload import tables as t
@@ -46,6 +46,47 @@ def latest_session_report(spark, d):
     )
 
 
+def _kept(spark, d, late):
+    """Events as a store with kept totals; scores for which `late` is not false come in two parts, one of them twice."""
+    base = scratch_path(spark, "kept")
+    gens = t.gens_events(spark, d).withColumn("observation_id", F.col("observation_id").cast("string"))
+    sinks.write_generations(gens, f"{base}/generations", "first")
+    sinks.write_sessions(t.sessions_events(spark, d), f"{base}/sessions", "first")
+    scores = t.scores_events(spark, d).withColumn("observation_id", F.col("observation_id").cast("string"))
+    scores = scores.join(gens.select("observation_id", "session_id"), "observation_id")
+    sinks.write_scores(scores.where(late == 0), f"{base}/scores", "first", gens)
+    stored = store.read_generations(spark, f"{base}/generations")
+    first = store.read_scores(spark, f"{base}/scores")
+    for half in (F.col("session_id") < "eval-2024-01-16", F.col("session_id") >= "eval-2024-01-16"):
+        rollup.write_rollup(stored.where(half), first, f"{base}/rollup", "first")
+    for part in (1, 2, 2):
+        add_late_scores(spark, base, scores.where(late == part), f"late-{part}")
+    return base
+
+
+def _late():
+    return F.pmod(F.xxhash64("observation_id", "name"), F.lit(3))
+
+
+@query("report_rollup", f"{r.REPORT} SELECT {r.REPORT_COLUMNS} FROM report")
+def report_rollup(spark, d):
+    """The report over all sessions from kept totals, to which two thirds of the scores came late."""
+    return rollup.rollup_report(rollup.read_rollup(spark, f"{_kept(spark, d, _late())}/rollup"))
+
+
+@query(
+    "report_rollup_latest",
+    f"""WITH {r.GENS}, {LATEST}, kept AS (SELECT * FROM gens WHERE session_id IN (SELECT session_id FROM latest)
+      AND list_contains(tags, 'dataset:view')), {r.NAMED.replace("FROM gens", "FROM kept")},
+      {r.SCORES}, {r.SCORE_TOTALS}, {r.report_cte(True)} SELECT {r.REPORT_COLUMNS} FROM report""",
+)
+def report_rollup_latest(spark, d):
+    """Latest sessions and one dataset by model and provider, after the kept totals were compacted."""
+    base = _kept(spark, d, _late())
+    rollup.compact_rollup(spark, f"{base}/rollup")
+    return rolled_report(spark, base, since_days=30_000, dataset_id="view", by=("model", "provider"))
+
+
 SCORES_LINEITEM = """scores AS (SELECT l_orderkey AS observation_id,
     CASE l_returnflag WHEN 'A' THEN 'llm-judge-score' WHEN 'R' THEN 'llm-judge-error' ELSE 'json-schema-valid' END AS name,
     CAST(CASE l_returnflag WHEN 'A' THEN l_linenumber WHEN 'R' THEN NULL
