@@ -51,7 +51,16 @@ def join_scores(generations: DataFrame, scores: DataFrame) -> DataFrame:
     generations and a much-scored observation is reduced map-side. Copies of one
     generation are joined apart (see `join_unique`).
     """
-    joined = join_unique(generations, scores_by_observation(scores), "observation_id", "left")
+    return join_score_totals(generations, scores_by_observation(scores))
+
+
+def join_score_totals(generations: DataFrame, totals: DataFrame) -> DataFrame:
+    """`join_scores` with scores that are folded already, one row per observation.
+
+    Where both lie in equally many buckets of the id (see `bucketed`), the join
+    needs no shuffle.
+    """
+    joined = join_unique(generations, totals, "observation_id", "left")
     counts = ["judge_n", "unscored", "schema_pass", "schema_total", "truncated"]
     return joined.fillna(0, subset=counts)
 

@@ -10,7 +10,7 @@ from gradeloom import scratch_path
 from gradeloom.functions import identity
 from gradeloom.operators import matrix, quantiles, report, rollup, sinks, spread, summary
 from gradeloom.plans.report import add_late_scores, rolled_report, session_report
-from gradeloom.sources import store
+from gradeloom.sources import bucketed, store
 from workload import registry as r
 from workload import tables as t
 from workload.registry import query
@@ -181,6 +181,20 @@ def join_scores_orders(spark, d):
     return report.join_scores(gens, t.scores_lineitem(spark, d))
 
 
+@query(
+    "join_scores_bucketed",
+    f"""WITH {SCORES_LINEITEM}, {r.SCORE_TOTALS} SELECT {JOINED}, tokens_in
+      FROM (SELECT o_orderkey AS observation_id, o_custkey AS tokens_in FROM orders) LEFT JOIN totals USING (observation_id)""",
+)
+def join_scores_bucketed(spark, d):
+    """Generations and folded scores are written in buckets once; joins of them shuffle nothing."""
+    paths = [scratch_path(spark, name) for name in ("generations", "totals")]
+    tables = [t.gens_orders(spark, d).select("observation_id", "tokens_in"), report.scores_by_observation(t.scores_lineitem(spark, d))]
+    for rows, path in zip(tables, paths, strict=True):
+        bucketed.write(rows, path, "observation_id")
+    return report.join_score_totals(*[bucketed.read(spark, path) for path in paths])
+
+
 def _report(spark, d):
     return report.model_report(t.gens_events(spark, d), t.scores_events(spark, d))
 
