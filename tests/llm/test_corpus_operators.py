@@ -489,6 +489,27 @@ def test_what_weights_are_fitted_on_and_what_is_not_drawn_for_it_is_counted(spar
     assert all(t.sum() == np.diff(codes["starts"])[symbols].sum() for t in spelling)
 
 
+def test_no_part_of_the_model_comes_from_a_sample(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "FREQUENT", 20)
+    texts = [" ".join(f"w{(i * i + j) % 90}" for j in range(20)) for i in range(300)]
+    rows = keyed(docs(spark, texts).select(F.col("doc_id").alias("id"), "text"), ["id", "text"])
+    words = Counter(w for t in texts for w in t.split()) + Counter({"": len(texts)})
+    counts = spark.createDataFrame([*words.items(), ("heldout", 0)], "word string, n long")
+    made, given = [], getattr(mixing_model, "pairs_of", None)
+    if given:
+        monkeypatch.setattr(mixing_model, "pairs_of", lambda totals, parents: made.append([t.copy() for t in totals]) or given(totals, parents))
+    known = lm_scoring.trained(rows, counts)
+    # All weights start alike, and the tables are those of all texts and words.
+    for model in (known["tokens"], known["spelling"]):
+        assert np.ptp(model["weights"], axis=0).max() == 0
+    tokens, spelling = made
+    codes, numbers = known["tokens"]["codes"], lm_scoring.numbers_of(known["words"][: known["frequent"]])
+    symbols = np.concatenate([lm_scoring.symbols_of(lm_scoring.words_of(t), numbers, known["frequent"]) for t in texts])
+    assert all(t.sum() == np.diff(codes["starts"])[symbols].sum() for t in tokens)
+    symbols, _ = mixing_model.spelled([w.encode() for w in words if w.encode() not in numbers])
+    assert all(t.sum() == np.diff(known["spelling"]["codes"]["starts"])[symbols].sum() for t in spelling)
+
+
 def test_rare_words_are_scored_alike_joined_or_looked_up(spark, monkeypatch):
     texts = ["a b c d e f g h", "a b zz zz q", "b b b x1 x2 x3", None, ""] * 8
     monkeypatch.setattr(lm_scoring, "FREQUENT", 3)
