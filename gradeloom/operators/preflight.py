@@ -117,14 +117,37 @@ def _without_one(text: Column) -> Column:
     )
 
 
-def _deletions(text: Column, depth: int) -> Column:
-    """Hashes of all texts made by deleting up to `depth` characters."""
-    level = F.array(text)
-    found = level
-    for _ in range(depth):
-        level = F.array_distinct(F.flatten(F.transform(level, _without_one)))
-        found = F.concat(found, level)
-    return F.transform(F.array_distinct(found), lambda x: F.xxhash64(x))
+def _deletions(text: Column, depths: dict[int, list[int]]) -> Column:
+    """Hashes of all texts made by so many deletions; each depth is made for texts of the given lengths alone."""
+    none = F.array().cast("array<string>")
+    level, found = F.array(text), []
+    for depth in range(max(depths, default=-1) + 1):
+        if depth:
+            level = F.array_distinct(F.flatten(F.transform(level, _without_one)))
+        if depths.get(depth):
+            found.append(F.when(F.length(text).isin(depths[depth]), level).otherwise(none))
+    return F.transform(F.array_distinct(F.concat(none, *found)), lambda x: F.xxhash64(x))
+
+
+def _depths(keys: list[int], names: list[int], distance: int) -> tuple[dict[int, list[int]], dict[int, list[int]]]:
+    """By number of deletions, the lengths of keys and of names that have to be met so.
+
+    Of two texts whose lengths differ by n, n edits go into the difference. The
+    rest, distance - n, may cost a deletion in both; the longer text has n more.
+    """
+    of_keys: dict[int, set[int]] = {}
+    of_names: dict[int, set[int]] = {}
+    for k in keys:
+        for m in names:
+            for both in range(distance - abs(k - m) + 1):
+                of_keys.setdefault(both + max(0, k - m), set()).add(k)
+                of_names.setdefault(both + max(0, m - k), set()).add(m)
+    return tuple({d: sorted(found) for d, found in depths.items()} for depths in (of_keys, of_names))
+
+
+def _lengths(texts: DataFrame, most: int) -> list[int]:
+    n = F.length("key")
+    return [r["n"] for r in texts.where(n <= most).select(n.alias("n")).distinct().collect()]
 
 
 # Texts up to this length meet on deletion variants, which grow with the square of it; longer ones on segments.
@@ -162,13 +185,14 @@ def _segment_probes(text: Column, distance: int) -> Column:
 def _matches(unknown: DataFrame, names: DataFrame, distance: int) -> DataFrame:
     """Best name within `distance` edits of each key that has one."""
     none, n = F.array().cast("array<bigint>"), F.length("key")
-    deletions = F.when(n <= SHORT + distance, _deletions(F.col("key"), distance)).otherwise(none)
+    # Lengths up to SHORT and a little more: a few numbers that say which deletions can meet at all.
+    of_keys, of_names = _depths(_lengths(unknown, SHORT), _lengths(names, SHORT + distance), distance)
     segments = F.when(n > SHORT - distance, _segments(F.col("key"), distance)).otherwise(none)
     # A short key looks among deletion variants, a long one among segments; names near the limit are in both.
-    variants = F.when(n <= SHORT, deletions).otherwise(_segment_probes(F.col("key"), distance))
+    variants = F.when(n <= SHORT, _deletions(F.col("key"), of_keys)).otherwise(_segment_probes(F.col("key"), distance))
     probes = unknown.select("key", F.explode(variants).alias("_variant"))
     index = names.select(
-        F.col("key").alias("candidate"), "ordinal", F.explode(F.concat(deletions, segments)).alias("_variant")
+        F.col("key").alias("candidate"), "ordinal", F.explode(F.concat(_deletions(F.col("key"), of_names), segments)).alias("_variant")
     )
     # Sizes are estimated without the growth by variants, so neither side may be
     # taken for small enough to broadcast.
@@ -190,7 +214,8 @@ def closest_match(keys: DataFrame, known: DataFrame, max_distance: int = 2) -> D
 
     Two texts within d edits share a text reachable from each by at most d
     deletions, and one of d + 1 segments, so an equi-join on those finds every
-    true pair without comparing all keys with all names. Distances are tried in
+    true pair without comparing all keys with all names. Only the deletions that
+    the lengths of keys and names leave possible are made. Distances are tried in
     turn, and only keys without a match go on to the next, wider one; what a
     distance found is written to the shared folder, so that it is found once.
     Smaller distance wins, then the smaller `ordinal`. Known keys are not
@@ -201,6 +226,9 @@ def closest_match(keys: DataFrame, known: DataFrame, max_distance: int = 2) -> D
     left = keys.select("key").distinct().join(names, "key", "left_anti")
     found = None
     for distance in range(1, max_distance + 1):
+        path = scratch_path(spark, "unknown-keys")
+        left.write.parquet(path)
+        left = spark.read.parquet(path)
         path = scratch_path(spark, "matches")
         _matches(left, names, distance).write.parquet(path)
         matched = spark.read.parquet(path)

@@ -176,3 +176,11 @@ def test_catalogs_are_listed_page_by_page_and_fail_by_provider(spark):
     assert found["fails"] == [(0, 0), (1, "API error (503)")] and found["silent"] == [(0, "ValueError")]
     assert sorted(found["loops"], key=str)[:1] == [(0, 0)] and ("the catalog repeats its page 1" in str(found["loops"]))
     assert catalogs.list_catalogs(df.where("false"), lister).count() == 0
+
+
+def test_only_deletions_that_the_lengths_leave_possible_are_made():
+    assert preflight._depths([20, 14], [18], 2) == ({2: [20]}, {0: [18]})
+    assert preflight._depths([17], [18], 1) == ({0: [17]}, {1: [18]})
+    assert preflight._depths([18], [18, 19], 2) == ({0: [18], 1: [18], 2: [18]}, {0: [18], 1: [18, 19], 2: [18, 19]})
+    assert preflight._depths([3], [9], 2) == ({}, {})
+    assert preflight._depths([], [9], 2) == ({}, {})
