@@ -232,3 +232,12 @@ def test_leaderboard_with_window_drops_old_state(spark):
 def test_provider_of_tags(spark):
     df = spark.createDataFrame([(["a", "provider:x:y", "provider:z"],), (["a"],), (None,)], "t array<string>")
     assert [r["p"] for r in rows(df.select(identity.provider_from_tags(F.col("t")).alias("p")))] == ["x:y", None, None]
+
+
+def test_a_run_that_is_stored_more_than_once_is_evaluated_once(spark, tmp_path):
+    from workload import run
+
+    made = run._evaluation(spark, "/root/testdata/sf0.001", str(tmp_path / "results"))
+    for table in (made.results, made.scores):
+        files = table.inputFiles()
+        assert files and all(str(tmp_path) in f for f in files)
