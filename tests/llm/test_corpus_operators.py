@@ -6,11 +6,14 @@ import math
 import pathlib
 import random
 import re
+import sys
+import types
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -446,6 +449,95 @@ def test_copies_cost_what_a_walk_says():
     assert times.tolist() == [3, 1, 3, 1] and lm_scoring.copy_costs([])[0] == 0
 
 
+def test_copies_of_several_texts_cost_what_each_costs_alone():
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 9, n) for n in (7, 0, 1, 30, 0)]
+    starts = np.cumsum([0, *map(len, texts[:-1])])
+    cost, new, times = lm_scoring.copy_costs(np.concatenate(texts), starts)
+    alone = [lm_scoring.copy_costs(t) for t in texts]
+    assert cost == pytest.approx(np.concatenate([a[0] for a in alone]))
+    assert new.tolist() == [x for a in alone for x in a[1]] and times.tolist() == [x for a in alone for x in a[2]]
+
+
+def test_bits_of_a_context_that_is_always_the_same_are_counted_as_one_by_one():
+    rng = np.random.default_rng(8)
+    symbols = rng.integers(0, 40, 20_000)
+    codes = mixing_model.huffman(np.arange(1, 42))
+    hashes, _ = mixing_model.token_contexts(symbols, 40, np.array([0, 900]))
+    totals, sizes = [np.zeros(2 << size, np.int64) for size in mixing_model.TOKEN_SIZES], mixing_model.TOKEN_SIZES
+    mixing_model.count(totals, sizes, codes, symbols, hashes)
+    k = 0x9E3779B97F4A7C15
+    for total, size, h in zip(totals, sizes, hashes, strict=True):
+        expected = Counter()
+        for s, c in zip(symbols.tolist(), h.tolist(), strict=True):
+            for i in range(codes["starts"][s], codes["starts"][s + 1]):
+                slot = (c + int(codes["keys"][i])) * k % 2**64 >> 64 - size
+                expected[slot * 2 + int(codes["bits"][i])] += 1
+        assert {int(i): int(total[i]) for i in np.flatnonzero(total)} == expected
+
+
+def batch_of(texts, **more):
+    more = {name: pa.array(values) for name, values in more.items()}
+    return pa.RecordBatch.from_arrays([*more.values(), pa.array(texts, pa.string())], [*more, "text"])
+
+
+def test_words_are_split_together_as_one_by_one(monkeypatch):
+    texts = [" A  b\tC ", "", None, "\n\x0b\x0c\r", "\x1cx\x85y\xa0z\u2003\x00 \u00c9\u0130 I", "b b a"] * 5
+    monkeypatch.setattr(lm_scoring, "TEXTS", 4)
+    monkeypatch.setattr(lm_scoring, "BYTES", 30)
+    monkeypatch.setattr(lm_scoring, "COUNTED", 3)
+    batch, learned = batch_of(texts), [i % 4 != 1 for i in range(len(texts))]
+    column, found, at = batch.column(0), [], 0
+    for a, b in lm_scoring.slices(column):
+        words, places, lengths = lm_scoring.split(column.slice(a, b - a))
+        words = [words[i].as_py().encode() for i in places.tolist()]
+        ends = np.cumsum(lengths).tolist()
+        found += [words[e - n : e] for e, n in zip(ends, lengths.tolist(), strict=True)]
+        assert a == at and 0 < b - a <= 4
+        at = b
+    assert at == len(texts) and found == [lm_scoring.words_of(t or "") for t in texts]
+    expected = Counter()
+    for ws, use in zip(found, learned, strict=True):
+        expected.update({w.decode(): 0 for w in ws})
+        expected.update(w.decode() for w in [*ws, b""] if use)
+    counted = Counter()
+    batch = pa.RecordBatch.from_arrays([column, pa.array(learned)], ["text", "learned"])
+    for rows in lm_scoring.counting([batch, batch]):
+        for word, n in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            counted[word] += n
+    assert counted == {w: 2 * n for w, n in expected.items()}
+
+
+def test_no_step_of_scoring_or_counting_takes_the_words_one_by_one():
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(40)] + [""]
+    codes = mixing_model.huffman(np.arange(1, 12))
+    totals = [rng.integers(0, 9, 2 << size) for size in mixing_model.TOKEN_SIZES]
+    model = mixing_model.model_of(codes, mixing_model.TOKEN_SIZES, totals, mixing_model.TOKEN_GATES)
+    known = {"tokens": model, "words": words, "counts": np.full(41, 3), "frequent": 10, "mixed": np.full(31, -2.0)}
+
+    def calls(n):
+        texts = [" ".join(f"w{i}" for i in rng.integers(0, 3000, n)) for _ in range(5)]
+        counted = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([True] * 5)], ["text", "learned"])
+        scored = batch_of(texts, id=range(5), row=range(5))
+        made = 0
+
+        def seen(frame, event, arg):
+            nonlocal made
+            made += event in ("call", "c_call")
+
+        sys.setprofile(seen)
+        try:
+            list(lm_scoring.counting([counted]))
+            list(lm_scoring.scoring(types.SimpleNamespace(value=known))([scored]))
+        finally:
+            sys.setprofile(None)
+        return made
+
+    calls(10)
+    assert calls(500) < calls(100) + 200
+
+
 def test_base_scores_are_the_formula_and_the_model_beats_them(spark):
     found = queries.QUERIES["op8_lm_scoring"](spark, LARGER).collect()
     rows = spark.read.parquet(f"{LARGER}/documents.parquet").collect()

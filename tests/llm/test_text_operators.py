@@ -40,6 +40,18 @@ def test_blocks_add_up_over_tasks(spark):
     assert one[0] == one[-1] == 1000 and one.sum() == 2000 and two.tolist() == [-1000, 0]
 
 
+def test_blocks_hold_any_numbers_and_only_the_bytes_in_use():
+    import zlib
+
+    import numpy as np
+
+    for most, used in ((1, 1), (255, 1), (256, 2), (2**24, 4), (2**62, 8), (-1, 8)):
+        part = np.zeros(Blocks.WIDTH, np.int64)
+        part[[3, -1]] = 1, most
+        data = Blocks.batch(0, 0, part).column(2)[0].as_py()
+        assert (Blocks.numbers(data) == part).all() and len(zlib.decompress(data[1:])) == used * Blocks.WIDTH
+
+
 def test_keys_tell_null_from_empty_and_agree_on_equal_rows(spark):
     rows = keyed(docs(spark, ["a", None, "", "a"]).withColumn("doc_id", F.lit(1)), ["doc_id", "text"]).collect()
     keys = [(r["_k1"], r["_k2"]) for r in rows]
